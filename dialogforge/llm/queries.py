@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogforge.llm import leaks, mixing, neardup
+from dialogforge.llm import leaks, mixing, neardup, pairs, source_files, stuffing
 from dialogforge.session import cut, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.find_defects(table(spark, sf_dir, "messages"))
+
+
+def p1_defect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of turns by defect."""
+    return p1_found(spark, sf_dir).groupBy("defect").agg(F.count("*").alias("turns"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_files.invalid_files(table(spark, sf_dir, "messages")).select("msg_id")
+
+
+def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error of every invalid snippet with its place, and the snippet's first cause."""
+    found = source_files.invalid_files(table(spark, sf_dir, "messages"))
+    return found.select("msg_id", "language", "cause", F.inline("errors"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_files.invalid_rates(table(spark, sf_dir, "messages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = cut(neardup.group(neardup.openings(table(spark, sf_dir, "messages"))), "openings")
     return neardup.pairs_within(grouped)
@@ -42,8 +65,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases with their list density, share of replicated phrases and score."""
+    return stuffing.find_stuffed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_groups, p6_found, p6_leaked_items, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_defect_counts, p3_found, p3_errors, p3_rates, p5_found, p5_groups, p6_found, p6_leaked_items, p7_mix, p7_shares, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

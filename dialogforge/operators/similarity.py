@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogforge.functions.text import py_round
-
 
 def difflib_ratio(a: Column, b: Column, autojunk: bool = True) -> Column:
     """Ratcliff-Obershelp ratio of two texts; the order matters, and popular characters of long texts are junk unless switched off."""
@@ -34,19 +32,23 @@ def tfidf_similarity(a: Column, b: Column) -> Column:
     def count(word: Column, words: Column) -> Column:
         return F.size(F.filter(words, lambda w: w == word)).cast("double")
 
-    ta, tb = tokens(a), tokens(b)
-    common = F.array_intersect(ta, tb)
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, w: acc + f(w))
-    dot = total(common, lambda w: count(w, ta) * count(w, tb))
-    norm = lambda own, other: F.sqrt(total(F.array_distinct(own), lambda w: count(w, own) * count(w, own) * F.when(F.array_contains(other, w), F.lit(1.0)).otherwise(F.lit(one))))
-    score = dot / F.nullif(norm(ta, tb) * norm(tb, ta), F.lit(0.0))
+
+    def cosine(p: Column) -> Column:
+        ta, tb = p["a"], p["b"]
+        dot = total(F.array_intersect(ta, tb), lambda w: count(w, ta) * count(w, tb))
+        norm = lambda own, other: F.sqrt(total(F.array_distinct(own), lambda w: count(w, own) * count(w, own) * F.when(F.array_contains(other, w), F.lit(1.0)).otherwise(F.lit(one))))
+        return F.try_divide(dot, norm(ta, tb) * norm(tb, ta))
+
+    # Bound by a lambda, so that the words are taken apart once and not for every use.
+    score = F.element_at(F.transform(F.array(F.struct(tokens(a).alias("a"), tokens(b).alias("b"))), cosine), 1)
     return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(F.coalesce(score, F.lit(0.0)))
 
 
 def embedding_similarity(a: Column, b: Column) -> Column:
     """Cosine of two vectors, clamped to 0..1; 0 where a vector has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    cosine = dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+    cosine = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
@@ -59,7 +61,7 @@ def compare(pairs: DataFrame, expected: str, actual: str, method: str = "tfidf",
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     both = pairs.filter(F.col(expected).isNotNull() & F.col(actual).isNotNull())
-    similarity = py_round(METHODS[method](F.col(expected), F.col(actual)), 6)
+    similarity = F.round(METHODS[method](F.col(expected), F.col(actual)), 6)
     return both.select(id_column, similarity.alias("similarity"), F.lit(method).alias("method"), F.length(expected).alias("expected_chars"), F.length(actual).alias("actual_chars"))
 
 

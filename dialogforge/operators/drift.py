@@ -173,68 +173,55 @@ def _written(container: Column, kind: Column, field: Column) -> Column:
 
 def layout_changes(df: DataFrame) -> DataFrame:
     """``file_name, change_kind, old_field, new_field``: the changes of each file against the one before it in its feed."""
-    layouts = cut(_layouts(field_inventory(df)), "layouts").withColumn("feed_key", F.coalesce("feed", F.lit("")))
-    ranks = layouts.select("feed_key", "rank", "file_name", F.col("feed")).distinct()
-
-    def compare(now: DataFrame, keys: list[str], known: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Gone, new and retyped fields of each level; ``keys`` name a field within ``feed_key`` and rank."""
-        same_field = W.partitionBy(*known).orderBy("rank")
-        seen = F.last("jtype", ignorenulls=True).over(same_field.rowsBetween(W.unboundedPreceding, -1))
-        typed = now.withColumn("last_type", seen)
-        older = typed.select("feed_key", *keys, (F.col("rank") + 1).alias("rank"), F.lit(True).alias("was"), F.col("container").alias("old_container"), F.col("file_name").alias("old_file"))
-        joined = typed.withColumn("is", F.lit(True)).join(older, ["feed_key", *keys, "rank"], "full_outer")
-        # only between two files that both exist
-        joined = joined.join(ranks.select("feed_key", "rank", F.col("file_name").alias("this_file")), ["feed_key", "rank"]).filter("rank > 1")
-        gone = joined.filter("`is` is null").withColumn("container", F.col("old_container"))
-        new = joined.filter("was is null")
-        retyped = joined.filter("`is` and was and jtype is not null and last_type is not null and jtype <> last_type")
-        return gone, new, retyped
-
-    def candidates(gone: DataFrame, new: DataFrame, group: Column) -> tuple[DataFrame, DataFrame]:
-        take = ["feed", "rank", "group", "file_name", "container", "field"]
-        g = gone.withColumn("feed", F.col("feed_key")).withColumn("group", group).withColumn("file_name", F.col("old_file")).select(*take)
-        n = new.withColumn("feed", F.col("feed_key")).withColumn("group", group).withColumn("file_name", F.col("this_file")).select(*take)
-        return g, n
-
-    def report(gone: DataFrame, new: DataFrame, retyped: DataFrame, renamed: DataFrame) -> DataFrame:
-        old_key, new_key = ["feed_key", "rank", "old_container", "old_field"], ["feed_key", "rank", "new_container", "new_field"]
-        old_name = _written(F.col("old_container"), F.col("kind"), F.col("field"))
-        new_name = _written(F.col("container"), F.col("kind"), F.col("field"))
-        g = gone.withColumn("old_field", F.col("field")).join(renamed.select(*old_key), old_key, "left_anti")
-        n = new.withColumn("new_container", F.col("container")).withColumn("new_field", F.col("field")).join(renamed.select(*new_key), new_key, "left_anti")
-        r = renamed.join(ranks.select("feed_key", "rank", F.col("file_name").alias("this_file")), ["feed_key", "rank"])
+    layouts = cut(_layouts(field_inventory(df)).withColumn("feed_key", F.coalesce("feed", F.lit(""))).drop("feed"), "layouts")
+    ranks = layouts.select("feed_key", "rank", F.col("file_name").alias("this_file")).distinct()
+
+    def compare(now: DataFrame) -> DataFrame:
+        """Fields that are gone, new or retyped between two files that both exist: ``status`` and both sides' names.
+
+        A field is named by its group (level) and name; types are held against the last known one of that name.
+        """
+        seen = F.last("jtype", ignorenulls=True).over(W.partitionBy("feed_key", "group", "field").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
+        typed = now.withColumn("last_type", seen).withColumn("is", F.lit(True))
+        older = now.select("feed_key", "group", "kind", "field", (F.col("rank") + 1).alias("rank"), F.lit(True).alias("was"), F.col("container").alias("old_container"), F.col("file_name").alias("old_file"))
+        both = typed.drop("file_name").join(older, ["feed_key", "group", "kind", "field", "rank"], "full_outer").join(ranks, ["feed_key", "rank"]).filter("rank > 1")
+        status = F.when(F.col("is").isNull(), "gone").when(F.col("was").isNull(), "new").when(F.col("jtype") != F.col("last_type"), "retyped")
+        return both.select("feed_key", "rank", "group", "kind", "field", "container", "old_container", "old_file", "this_file", status.alias("status")).filter("status is not null")
+
+    def rename(changed: DataFrame, name: str) -> DataFrame:
+        side = lambda status, file, container: changed.filter(F.col("status") == status).select(F.col("feed_key").alias("feed"), "rank", "group", F.col(file).alias("file_name"), F.col(container).alias("container"), "field")
+        return cut(_renames(df, side("gone", "old_file", "old_container"), side("new", "this_file", "container")), name)
+
+    def report(changed: DataFrame, renamed: DataFrame) -> DataFrame:
+        """Rows of the result; what was renamed is neither gone nor new."""
+        moved = renamed.select("feed_key", "rank", F.lit("gone").alias("status"), F.col("old_container").alias("at"), F.col("old_field").alias("field"))
+        moved = moved.unionByName(renamed.select("feed_key", "rank", F.lit("new").alias("status"), F.col("new_container").alias("at"), F.col("new_field").alias("field")))
+        old_name, new_name = _written(F.col("old_container"), F.col("kind"), F.col("field")), _written(F.col("container"), F.col("kind"), F.col("field"))
+        left = changed.withColumn("at", F.when(F.col("status") == "gone", F.col("old_container")).otherwise(F.col("container"))).join(moved, ["feed_key", "rank", "status", "at", "field"], "left_anti")
+        names = F.create_map(*[F.lit(x) for x in ("gone", "removed", "new", "added", "retyped", "type_changed")])
+        plain = left.select("this_file", names[F.col("status")].alias("change_kind"), F.when(F.col("status") == "new", "").otherwise(old_name).alias("old_field"), F.when(F.col("status") == "gone", "").otherwise(new_name).alias("new_field"))
         kind = F.split("group", "\x1d")[0]
-        return (
-            g.select("this_file", F.lit("removed").alias("change_kind"), old_name.alias("old_field"), F.lit("").alias("new_field"))
-            .unionByName(n.select("this_file", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), new_name.alias("new_field")))
-            .unionByName(retyped.select("this_file", F.lit("type_changed").alias("change_kind"), old_name.alias("old_field"), new_name.alias("new_field")))
-            .unionByName(r.select("this_file", F.lit("renamed").alias("change_kind"), _written(F.col("old_container"), kind, F.col("old_field")).alias("old_field"), _written(F.col("new_container"), kind, F.col("new_field")).alias("new_field")))
-        )
+        both = renamed.join(ranks, ["feed_key", "rank"]).select("this_file", F.lit("renamed").alias("change_kind"), _written(F.col("old_container"), kind, F.col("old_field")).alias("old_field"), _written(F.col("new_container"), kind, F.col("new_field")).alias("new_field"))
+        return plain.unionByName(both)
 
     # Top level.
-    top = layouts.filter("container = ''")
-    gone, new, retyped = (cut(x, "top") for x in compare(top, ["field"], ["feed_key", "field"]))
-    renamed = cut(_renames(df, *candidates(gone, new, F.lit("top"))), "renamed")
-    found = report(gone, new, retyped, renamed)
+    top = cut(compare(layouts.filter("container = ''").withColumn("group", F.lit("top"))), "top")
+    renamed = rename(top, "renamed")
 
-    # Below: the fields of a container, which keeps its identity (``family``) when it is itself renamed.
+    # Below: the fields of a container, which keeps its identity when it is itself renamed.
     moved = renamed.select("feed_key", F.explode(F.array("old_field", "new_field")).alias("container")).distinct().withColumn("moved", F.lit(True))
     below = layouts.filter("container <> ''").join(moved, ["feed_key", "container"], "left")
-    family = F.concat(F.col("kind"), F.lit("\x1d"), F.when(F.col("moved"), F.lit("\x1dmoved")).otherwise(F.col("container")))
-    below = below.withColumn("group", family)
+    below = below.withColumn("group", F.concat(F.col("kind"), F.lit("\x1d"), F.when(F.col("moved"), F.lit("\x1dmoved")).otherwise(F.col("container")))).drop("moved")
     # Where the container came, went or changed its type, its fields say nothing of their own.
-    of_container = below.select("feed_key", "rank", "group", "container").distinct()
-    before = of_container.select("feed_key", (F.col("rank") + 1).alias("rank"), "group", F.col("container").alias("container_before"))
-    kept = of_container.join(before, ["feed_key", "rank", "group"])
-    kept = kept.join(renamed.select("feed_key", "rank", F.col("old_field").alias("container_before"), F.col("new_field").alias("container"), F.lit(True).alias("renamed_now")), ["feed_key", "rank", "container_before", "container"], "left")
-    kept = kept.filter("container = container_before or renamed_now").join(retyped.select("feed_key", "rank", F.col("field").alias("container")), ["feed_key", "rank", "container"], "left_anti")
-    kept = kept.select("feed_key", "rank", "group", F.col("container").alias("c_now"), F.col("container_before").alias("c_was"))
-    gone, new, retyped_below = compare(below, ["group", "kind", "field"], ["feed_key", "group", "field"])
-    gone = cut(gone.join(kept, ["feed_key", "rank", "group"]).filter("old_container = c_was"), "gone")
-    new = cut(new.join(kept, ["feed_key", "rank", "group"]).filter("container = c_now"), "new")
-    retyped_below = retyped_below.join(kept, ["feed_key", "rank", "group"]).filter("container = c_now and old_container = c_was")
-    renamed_below = cut(_renames(df, *candidates(gone, new, F.col("group"))), "renamed_below")
-    found = found.unionByName(report(gone, new, retyped_below, renamed_below))
+    held = below.select("feed_key", "rank", "group", "container").distinct()
+    before = held.select("feed_key", (F.col("rank") + 1).alias("rank"), "group", F.col("container").alias("c_was"))
+    renamed_now = renamed.select("feed_key", "rank", F.col("old_field").alias("c_was"), F.col("new_field").alias("container"), F.lit(True).alias("renamed_now"))
+    retyped = top.filter("status = 'retyped'").select("feed_key", "rank", F.col("field").alias("container"))
+    kept = held.join(before, ["feed_key", "rank", "group"]).join(renamed_now, ["feed_key", "rank", "c_was", "container"], "left").filter("container = c_was or renamed_now")
+    kept = kept.join(retyped, ["feed_key", "rank", "container"], "left_anti").select("feed_key", "rank", "group", F.col("container").alias("c_now"), "c_was")
+    inner = compare(below).join(kept, ["feed_key", "rank", "group"])
+    inner = cut(inner.filter("(status = 'new' or old_container = c_was) and (status = 'gone' or container = c_now)"), "below")
+    found = report(top, renamed).unionByName(report(inner, rename(inner, "renamed_below")))
     return found.select(F.col("this_file").alias("file_name"), "change_kind", "old_field", "new_field").distinct()
 
 

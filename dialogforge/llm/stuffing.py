@@ -124,10 +124,9 @@ def evidence(text: str) -> tuple[float, list[int]]:
                 clause = []
                 continue
             clause.append("K" if t in keywords else "I" if "_" in t else "N" if t.isdecimal() else t)
-            if len(clause) == SHINGLE:
-                phrases.add(" ".join(clause))
-                clause = []
-    phrases.update(" ".join(run[k : k + SHINGLE]) for k in range(0, len(run) - SHINGLE + 1, SHINGLE))
+            if len(clause) >= SHINGLE:
+                phrases.add(" ".join(clause[-SHINGLE:]))
+    phrases.update(" ".join(run[k : k + SHINGLE]) for k in range(len(run) - SHINGLE + 1))
     return density, [_hash(p) for p in phrases]
 
 

@@ -468,7 +468,7 @@ class _Parser(Cursor):
                 self.i += 1
                 kept, self.literals = self.literals, True
                 while not self.take(")"):
-                    self.type_or_value()
+                    self.expression()
                     self.take("...")
                     if not self.take(","):
                         self.need(")")
@@ -483,31 +483,6 @@ class _Parser(Cursor):
 
     named_type = False
 
-    def type_or_value(self) -> None:
-        if self.kind in ("map", "chan", "struct", "interface", "["):
-            self.operand_type()
-        else:
-            self.expression()
-
-    def operand_type(self) -> None:
-        """An expression that begins with a type: a literal, a conversion, or the type itself."""
-        self.type()
-        if self.kind == "{":
-            self.composite()
-        while self.kind in ("(", "[", "."):
-            self.named_type = False
-            if self.kind == ".":
-                self.i += 1
-                self.need("name")
-            else:
-                close = ")" if self.kind == "(" else "]"
-                self.i += 1
-                while not self.take(close):
-                    self.expression()
-                    if not self.take(",") and not self.take(":"):
-                        self.need(close)
-                        break
-
     def composite(self) -> None:
         self.need("{")
         kept, self.literals = self.literals, True

@@ -28,7 +28,7 @@ SHINGLE = 3
 #: A copy leaves at most so many words that are not the prompt's, and at most this share of the response.
 OWN_WORDS, OWN_SHARE = 10, 0.45
 #: Share of a refusal template's words that a sentence must hold in order, and words that other sentences may have.
-TEMPLATE_SHARE, OTHER_WORDS = 0.8, 16
+TEMPLATE_SHARE, OTHER_WORDS = 0.8, 12
 
 _WORD = re.compile(r"[^\W_]+(?:['_][^\W_]+)*")
 _INVISIBLE = "​‌‍⁠﻿­‎‏"
@@ -48,6 +48,11 @@ _REFUSALS = [
     "je préfère ne pas répondre à cela", "je suis désolé mais je ne peux pas vous aider pour _", "malheureusement je dois refuser cette demande", "désolé je ne peux pas répondre à cette question",
     "lo siento pero no puedo ayudarte con _", "por desgracia tengo que rechazar esta petición", "prefiero no responder a esto", "no me está permitido hablar de _", "il ne m'est pas permis de traiter _", "no puedo ayudar con esta solicitud",
 ]
+#: What may stand beside a refusal without being an answer.
+_COURTESIES = [
+    "thank you for the details", "good question", "i see", "let me know if there is anything else", "i hope that is fine with you", "thanks for your understanding", "please ask something else", "is there another topic i may help with", "consider asking a qualified engineer about the _",
+    "danke für die angaben", "ich hoffe das ist in ordnung", "fragen sie gern etwas anderes", "merci pour les détails", "posez-moi une autre question", "j'espère que cela vous convient", "gracias por los detalles", "pregúntame otra cosa", "espero que no sea un problema",
+]
 #: Function words by language (fixed lists); a word of several languages counts for each by its part.
 _LANGUAGES = {
     "en": "the is of and to that which with for it in this not you your be was were has have will would should how why does did what where when they their from by an a into than then could can on at as are if but or we my i me there still after before now same please only both each so while although whereas because",
@@ -88,13 +93,18 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-_TEMPLATES = [[_WORD.findall(p) for p in [t.replace("_", " ")]][0] for t in _REFUSALS]
-_TEMPLATE_WORDS = [frozenset(t) for t in _TEMPLATES]
+def _templates(texts: list[str]) -> list[tuple[list[str], frozenset[str]]]:
+    words = [_WORD.findall(t.replace("_", " ")) for t in texts]
+    return [(w, frozenset(w)) for w in words]
+
+
+_REFUSAL_WORDS, _COURTESY_WORDS = _templates(_REFUSALS), _templates(_COURTESIES)
 
 
-def is_refusal_sentence(words: list[str]) -> bool:
+def follows_template(words: list[str], templates: list[tuple[list[str], frozenset[str]]]) -> bool:
+    """Whether a sentence holds a template's words in order; what it has besides fills the slots."""
     own = frozenset(words)
-    for template, bag in zip(_TEMPLATES, _TEMPLATE_WORDS):
+    for template, bag in templates:
         need = TEMPLATE_SHARE * len(template)
         if len(words) <= len(template) + 8 and len(own & bag) >= need * len(bag) / len(template) and lcs_length(template, words) >= need:
             return True
@@ -114,9 +124,9 @@ def is_refusal(content: str, has_code: bool) -> bool:
         words = _WORD.findall(sentence.lower().replace("’", "'"))
         if not words:
             continue
-        if is_refusal_sentence(words):
+        if follows_template(words, _REFUSAL_WORDS):
             refused = True
-        else:
+        elif not follows_template(words, _COURTESY_WORDS):
             others += len(words)
     return refused and others <= OTHER_WORDS
 

@@ -8,7 +8,7 @@ pages). In phrases, links, numbers, identifiers, the page's own keywords and the
 kind, so that "Find X and Y with X today" is one phrase on every page that uses it.
 
 Scale: one pass of Python makes the evidence and the phrases; the counts are a map-side combined minimum and maximum of
-the host per phrase (two differing hosts show in them, so no set of hosts is kept); only pages with some evidence of their
+the 32-bit hash of the host per phrase (two differing hosts show in them, so no set of hosts is kept); only pages with some evidence of their
 own are joined with the counts.
 
 Defined results: null ids or texts and texts without words are no case; pages without host don't count as hosts; copies of
@@ -139,9 +139,9 @@ def page_evidence(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch.doc_id, "host": batch.host, "density": [d for d, _ in found], "phrases": [p for _, p in found]})
 
     host = F.coalesce("origin", F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)), F.lit("")))
-    pages = documents.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64(host).alias("hashed"), host.alias("host"), "text")
+    pages = documents.filter("doc_id is not null and text is not null").select("doc_id", F.hash(host).alias("hashed"), host.alias("host"), "text")
     pages = pages.select("doc_id", F.when(F.col("host").isNotNull(), F.col("hashed")).alias("host"), "text")
-    return pages.mapInPandas(describe, "doc_id bigint, host bigint, density double, phrases array<bigint>")
+    return pages.mapInPandas(describe, "doc_id bigint, host int, density double, phrases array<bigint>")
 
 
 def find_stuffed(documents: DataFrame) -> DataFrame:

@@ -24,10 +24,11 @@ def exact_groups(rows: DataFrame) -> DataFrame:
 
     Groups are counted by a map-side combined aggregation and joined back, so that a group of any size is never gathered.
     """
-    keyed = rows.select("scope", "line", F.coalesce("key", F.lit("")).alias("key")).withColumn("h", F.sha2("key", 256))
-    groups = keyed.filter("key <> ''").groupBy("scope", "h").agg(F.min("line").alias("first_line"), F.count("*").alias("copies")).filter("copies > 1")
-    lone = keyed.select("scope", "line", "h", (F.col("key") == "").alias("empty"))
-    out = lone.join(groups, ["scope", "h"], "left")
+    key = F.coalesce("key", F.lit(""))
+    # Keys may be long and dear to compute: they are read once and hashed.
+    hashed = cut(rows.select("scope", "line", F.sha2(key, 256).alias("h"), (key == "").alias("empty")), "hashed")
+    groups = hashed.filter("not empty").groupBy("scope", "h").agg(F.min("line").alias("first_line"), F.count("*").alias("copies")).filter("copies > 1")
+    out = hashed.join(groups, ["scope", "h"], "left")
     alone = F.col("empty") | F.col("first_line").isNull()
     return out.select("scope", "line", F.when(alone, F.col("line")).otherwise(F.col("first_line")).alias("first_line"), F.when(alone, F.lit(1)).otherwise(F.col("copies")).alias("copies"))
 

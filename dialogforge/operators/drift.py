@@ -111,8 +111,8 @@ def _leaves(value: object, place: int) -> list[int]:
 
 
 def _wanted_values(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Values of the fields in ``wanted`` (file_name, pair, side, container, field) by record."""
-    per_file = wanted.groupBy("file_name").agg(F.collect_set(F.struct("pair", "side", "container", "field")).alias("wanted"))
+    """Values of the fields in ``wanted`` (feed, file_name, pair, side, container, field) by record; a null feed is ""."""
+    per_file = wanted.groupBy("feed", "file_name").agg(F.collect_set(F.struct("pair", "side", "container", "field")).alias("wanted"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,7 +133,7 @@ def _wanted_values(df: DataFrame, wanted: DataFrame) -> DataFrame:
                         rows.append((w["pair"], w["side"], f"{container}\x1f{field}", record["dialogue_id"], _TYPES[type(held[0][1])], [k for k, _ in held], leaves))
             yield pd.DataFrame(rows, columns=["pair", "side", "path", "dialogue_id", "jtype", "places", "leaves"])
 
-    lines = df.select("file_name", "raw").filter("raw is not null").join(per_file, "file_name")
+    lines = df.select(F.coalesce("feed", F.lit("")).alias("feed"), "file_name", "raw").filter("raw is not null").join(per_file, ["feed", "file_name"])
     return lines.select("raw", "wanted").mapInPandas(fetch, _VALUES)
 
 
@@ -146,7 +146,7 @@ def _renames(df: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
     both = gone.select(*on, F.lit(0).alias("side"), "file_name", "container", "field").unionByName(new.select(*on, F.lit(1).alias("side"), "file_name", "container", "field"))
     sides = both.groupBy(*on).agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a = 0 and b = 1").select(*on)
     pair = F.concat_ws("\x1e", F.coalesce("feed", F.lit("")), F.col("rank").cast("string"), "group")
-    wanted = both.join(sides, on).select("file_name", pair.alias("pair"), "side", "container", "field")
+    wanted = both.join(sides, on).select("feed", "file_name", pair.alias("pair"), "side", "container", "field")
     values = _wanted_values(df, wanted).groupBy("pair", "side", "path", "dialogue_id").agg(F.min_by(F.struct("jtype", "places", "leaves"), F.xxhash64("leaves")).alias("v"))
     old_v = values.filter("side = 0").select("pair", "dialogue_id", F.col("path").alias("old_path"), F.col("v").alias("old_v"))
     new_v = values.filter("side = 1").select("pair", "dialogue_id", F.col("path").alias("new_path"), F.col("v").alias("new_v"))

@@ -63,6 +63,25 @@ score AS (SELECT record_id, k, i - 1 AS i, v[i] AS s FROM entry, unnest(generate
 """
 
 
+_NODES = f"""
+{_UNNESTED},
+entries AS (SELECT record_id, generate_subscripts(map_keys(scores), 1) AS e, unnest(map_keys(scores)) AS k FROM dialogues),
+nodes AS (
+SELECT record_id, 'record' AS kind, 0 AS depth, 0 AS a, 0 AS b, 0 AS c, 0 AS d, 0 AS f, '' AS path FROM dialogues
+UNION ALL SELECT record_id, 'turn', 1, 1, i, -1, 0, 0, 'turns[' || i || ']' FROM turn
+UNION ALL SELECT record_id, 'message', 2, 1, i, j, 0, 0, 'turns[' || i || '].messages[' || j || ']' FROM message
+UNION ALL SELECT record_id, 'topic', 1, 2, i, 0, 0, 0, 'metadata.topics[' || (i - 1) || ']' FROM dialogues, unnest(generate_series(1, len(metadata.topics))) AS u(i) WHERE metadata.topics[i] IS NOT NULL
+UNION ALL SELECT record_id, 'constraint', 1, 3, i, 0, 0, 0, 'final_ground_truth.constraints_to_check[' || (i - 1) || ']' FROM dialogues, unnest(generate_series(1, len(final_ground_truth.constraints_to_check))) AS u(i) WHERE final_ground_truth.constraints_to_check[i] IS NOT NULL
+UNION ALL SELECT record_id, 'score', 1, 4, e, i, -1, 0, 'scores.' || k || '[' || i || ']' FROM score JOIN entries USING (record_id, k)
+UNION ALL SELECT record_id, 'strength', 2, 4, e, i, 0, j, 'scores.' || k || '[' || i || '].strengths[' || (j - 1) || ']' FROM score JOIN entries USING (record_id, k), unnest(generate_series(1, len(s.strengths))) AS u(j) WHERE s.strengths[j] IS NOT NULL
+UNION ALL SELECT record_id, 'weakness', 2, 4, e, i, 1, j, 'scores.' || k || '[' || i || '].weaknesses[' || (j - 1) || ']' FROM score JOIN entries USING (record_id, k), unnest(generate_series(1, len(s.weaknesses))) AS u(j) WHERE s.weaknesses[j] IS NOT NULL
+),
+sized AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY a, b, c, d, f) - 1 AS pre,
+CASE kind WHEN 'record' THEN count(*) OVER (PARTITION BY record_id) WHEN 'turn' THEN count(*) OVER (PARTITION BY record_id, a, b) WHEN 'score' THEN count(*) OVER (PARTITION BY record_id, a, b, c) ELSE 1 END AS size FROM nodes),
+labels AS (SELECT record_id, CAST(pre AS INTEGER) AS pre, CAST(pre + size - 1 - depth AS INTEGER) AS post, CAST(depth AS INTEGER) AS depth, kind, path, a, b, c FROM sized)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"""
@@ -78,5 +97,11 @@ UNION ALL SELECT record_id, 'weakness', 'scores.' || k || '[' || i || '].weaknes
         "p4_scores": f"""
 WITH {_UNNESTED}
 SELECT record_id, k AS score_key, CAST(i AS INTEGER) AS pos_1, s.index AS sample_index, s.score AS score, s.verdict AS verdict, s.passed AS passed FROM score
+""",
+        "p4_labels": f"WITH {_NODES} SELECT record_id, pre, post, depth, kind, path FROM labels",
+        "p4_messages": f"""
+WITH {_NODES}
+SELECT m.record_id AS record_id, t.pre AS parent_pre, l.pre AS pre, l.post AS post, CAST(m.i AS INTEGER) AS pos_1, CAST(m.j AS INTEGER) AS pos_2, m.m.role AS role, m.m.content AS content, m.m.code_snippet AS code_snippet
+FROM message m JOIN labels l ON l.record_id = m.record_id AND l.kind = 'message' AND l.b = m.i AND l.c = m.j JOIN labels t ON t.record_id = m.record_id AND t.kind = 'turn' AND t.b = m.i
 """,
     }

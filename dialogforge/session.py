@@ -22,8 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is missing (local tests) a temporary folder is made.
     """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     own = spark.conf.get("dialogforge.shared.dir", None)

@@ -78,5 +78,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_defect_counts, p3_found, p3_errors, p3_rates, p5_found, p5_groups, p6_found, p6_leaked_items, p7_mix, p7_shares, p8_found, p8_scores)}
 
 
+_RUNS = r"""
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+v AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 19], ' ') AS g FROM w, unnest(generate_series(1, len(w) - 19)) AS u(i)),
+h AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 19], ' ') AS g FROM v, unnest(generate_series(1, len(w) - 19)) AS u(i)),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM leaks",
+    }

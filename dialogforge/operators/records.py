@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from dialogforge.functions.text import SPACE, custom_id_index, unwrap_fenced_json
+from dialogforge.functions.text import SPACE, custom_id_index, strip_code_fence, unwrap_fenced_json
+from dialogforge.session import cut
 
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -59,8 +60,6 @@ def joined_text(content: Column) -> Column:
 
 def expand_payload(role: Column, content: Column) -> Column:
     """``struct<role, content, code_snippet>`` of a message whose content may itself be a JSON object with these fields."""
-    from dialogforge.functions.text import strip_code_fence
-
     inner = strip_code_fence(content)
     parsed = F.from_json(inner, "content string, code_snippet string")
     is_object = F.coalesce(F.json_object_keys(inner).isNotNull(), F.lit(False)) & F.startswith(inner, F.lit("{"))
@@ -121,6 +120,19 @@ def unique_ids(df: DataFrame, id_column: str, order: list[str]) -> DataFrame:
     return df.withColumn("_k", place).withColumn(id_column, F.when(F.col("_k") == 0, F.col(id_column)).otherwise(F.concat_ws("-", id_column, F.col("_k").cast("string")))).drop("_k")
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "number", start: int = 0) -> DataFrame:
+    """Rows with their place (from ``start``) in the order of the named columns, which should name a row.
+
+    Rows are range-partitioned and written once with their place in the partition; partition sizes give the offsets.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_place", within), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_place") + start).drop("_part", "_place", "_offset")
+
+
 _BUCKETS = 4_096
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogforge.functions import tasks, text
-from dialogforge.operators import codeeval, dedup, judging, records, scores, similarity, turns
+from dialogforge.operators import codeeval, dedup, judging, records, requests, scores, similarity, turns
 from dialogforge.session import shared_dir, table
 from dialogforge.sources import jsonl
 from dialogforge.streaming import generation
@@ -537,6 +537,44 @@ def codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_id", codeeval.code_bleu_column(F.col("code"), F.col("reference")).alias("b")).select("record_id", "b.*")
 
 
+# Requests.
+
+
+@query("SELECT 'id_' || (row_number() OVER (ORDER BY doc_id) - 1) AS custom_id, md5('Answer in one paragraph.' || chr(10) || text) AS content_md5, 3000 AS max_tokens FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a prompt of a batch request."""
+    prompts = table(spark, sf_dir, "documents").filter("doc_id is not null and text is not null").select("doc_id", F.col("text").alias("prompt"))
+    rows = requests.batch_requests(prompts, ["doc_id"], "model", header="Answer in one paragraph.")
+    return rows.select("custom_id", F.md5(F.element_at("body.messages", 1)["content"].cast("binary")).alias("content_md5"), F.col("body.max_tokens").alias("max_tokens"))
+
+
+@query()
+def transformed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of evaluated dialogues rebuilt with prose and code apart, per record."""
+    rows = table(spark, sf_dir, "dialogues").select("record_id", F.explode(requests.split_turns(F.col("turns"))).alias("t")).select("record_id", F.explode("t.messages").alias("m"))
+    return rows.groupBy("record_id").agg(F.count("m").alias("messages"), F.count_if("m.metadata.contains_code").alias("with_code"))
+
+
+@query("SELECT json_extract_string(raw, '$.dialogue_id') IS NOT NULL AS has_id, count(*) AS lines, CAST(sum(coalesce(CASE WHEN json_extract(raw, '$.conversation') IS NOT NULL THEN json_array_length(raw, '$.conversation') WHEN json_extract(raw, '$.messages') IS NOT NULL THEN json_array_length(raw, '$.messages') ELSE json_array_length(raw, '$.turns') END, 0)) AS BIGINT) AS messages FROM raw_records WHERE trim(coalesce(raw, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AND json_valid(raw) GROUP BY 1")
+def message_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the received lines, wherever a record keeps them."""
+    lines = jsonl.validated(table(spark, sf_dir, "raw_records").select("raw"))
+    size = F.greatest(F.coalesce(F.size(requests.message_container(F.col("raw"))), F.lit(0)), F.lit(0))
+    return lines.groupBy(F.get_json_object("raw", "$.dialogue_id").isNotNull().alias("has_id")).agg(F.count("*").alias("lines"), F.sum(size).alias("messages"))
+
+
+@query("SELECT record_id, md5(final_ground_truth.expected_nl_output) AS expected_md5 FROM dialogues WHERE trim(final_ground_truth.expected_nl_output, ' ') <> ''")
+def expected_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.answer_pairs(table(spark, sf_dir, "dialogues")).select("record_id", F.md5(F.col("expected").cast("binary")).alias("expected_md5"))
+
+
+@query()
+def judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue judged through the client interface (the deterministic stand-in gives no valid judgement)."""
+    judged = judging.judge(requests.judge_pairs(table(spark, sf_dir, "dialogues")), judging.EchoClient)
+    return judged.groupBy(F.col("judgement.verdict").alias("verdict")).agg(F.count("*").alias("dialogues"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

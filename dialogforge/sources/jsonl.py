@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogforge.functions.text import SPACE, json_valid
-from dialogforge.operators.records import last_wins
+from dialogforge.operators.records import last_wins, numbered
 
 _LINES = "file string, line_no bigint, raw string"
 
@@ -43,7 +44,7 @@ def validated(lines: DataFrame, on_bad: str = "skip", on_blank: str = "skip") ->
     judged = lines.withColumn("_blank", blank).withColumn("valid", F.when(F.col("_blank"), F.lit(False)).otherwise(json_valid(F.col("raw"))))
     for mode, bad, what in ((on_blank, F.col("_blank"), "blank line"), (on_bad, ~F.col("_blank") & ~F.col("valid"), "line that is no JSON")):
         if mode == "error":
-            judged = judged.withColumn("valid", F.when(bad, F.raise_error(F.lit(what)).cast("boolean")).otherwise(F.col("valid")))
+            judged = judged.filter(F.when(bad, F.raise_error(F.lit(what)).cast("boolean")).otherwise(F.lit(True)))  # a filter is never pruned
         elif mode not in ("skip", "keep"):
             raise ValueError(f"unknown mode {mode}")
         elif mode == "skip":
@@ -110,9 +111,8 @@ def append_with_ids(df: DataFrame, path: str, order: list[str], prefix: str = "i
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     start = spark.read.text(path).filter("trim(value) <> ''").count() if there else 0
-    schema = df.schema
-    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([*schema.names, "_i"])
-    numbered.withColumn("custom_id", F.concat(F.lit(prefix), (F.col("_i") + start).cast("string"))).drop("_i").write.mode("append").json(path)
+    rows = numbered(df, order, "_i", start)
+    rows.withColumn("custom_id", F.concat(F.lit(prefix), F.col("_i").cast("string"))).drop("_i").write.mode("append").json(path)
 
 
 def replace(df: DataFrame, path: str, backup: bool = False) -> None:
@@ -133,6 +133,27 @@ def replace(df: DataFrame, path: str, backup: bool = False) -> None:
     fs.rename(as_path(beside), as_path(path))
 
 
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """One small text file, such as a report or a summary."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(content.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def write_summary(one_row: DataFrame, path: str) -> None:
+    """A table of one row as an indented JSON object."""
+    row = one_row.limit(1).collect()
+    write_text(one_row.sparkSession, path, json.dumps(row[0].asDict(recursive=True) if row else {}, indent=2, ensure_ascii=False, default=str))
+
+
+def write_csv(small: DataFrame, path: str, mode: str = "error") -> None:
+    """A small table as one CSV file with a header."""
+    small.coalesce(1).write.mode(mode).option("header", True).csv(path)
+
+
 def output_names(inputs: list[str], suffix: str, out: str | None = None, inplace: bool = False) -> list[str]:
     """Where each input's result goes: in place, to ``out`` (a file for one input, a folder for several), or beside it with the suffix."""
     if out and inplace:

@@ -26,17 +26,28 @@ def mock_generation(messages: DataFrame) -> DataFrame:
     return asked.select("dialogue_id", "msg_id", "turn_index", F.when(F.col("is_final"), "DONE").otherwise("WAITING").alias("state"), mock_output(F.col("prompt")).alias("output"))
 
 
-def generate(messages: DataFrame, factory: Callable[[], Client], rounds: int | None = None, parallel: int = 8) -> DataFrame:
+def save_progress(done: DataFrame, path: str) -> None:
+    """Keeps the answered turns, so that a later run can go on with them."""
+    done.write.mode("overwrite").parquet(path)
+
+
+def restore_progress(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def generate(messages: DataFrame, factory: Callable[[], Client], rounds: int | None = None, parallel: int = 8, done: DataFrame | None = None) -> DataFrame:
     """``dialogue_id, turn_index, state, prompt, reply`` of all answered turns; each round is written before the next begins.
 
     A dialogue whose call failed is in state ERROR with the error as its reply and gets no further turns.
-    rounds: how many to run; None for as many as the longest dialogue has turns.
+    rounds: how many to run; None for as many as the longest dialogue has turns. done: turns answered by an earlier run,
+    which are not asked again.
     """
     asked = cut(requests(messages), "requests")
     last = asked.agg(F.max("turn_index")).first()[0]
     count = 0 if last is None else last + 1
-    done: DataFrame | None = None
-    failed: DataFrame | None = None
+    if done is not None:
+        asked = cut(asked.join(done.select("dialogue_id", "turn_index"), ["dialogue_id", "turn_index"], "left_anti"), "open")
+    failed = done.filter("state = 'ERROR'").select("dialogue_id") if done is not None else None
     for k in range(count if rounds is None else min(rounds, count)):
         now = asked.filter(F.col("turn_index") == k)
         if failed is not None:

@@ -2,7 +2,7 @@
 
 ``layout_changes`` reports added, removed, renamed and retyped fields of each file against the file before it in the
 same feed; ``ingest`` enforces one target schema and keeps what does not fit as JSON in ``rescued``; ``promote`` turns an
-approved field of ``rescued`` into a typed column by replaying the rescued values.
+approved field of ``rescued`` into a typed column, and ``replay`` fills the target's columns from rescued values.
 
 Work per line (parsing) runs in Arrow batches; counting, comparing files and judging renames are Spark aggregations,
 windows and joins on the field inventory (files x fields rows), never on whole feeds in one task.
@@ -333,3 +333,99 @@ def ingest(df: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFr
 def promote(df: DataFrame, path: str, sql_type: str, name: str) -> DataFrame:
     """A rescued field as a typed column: ``path`` is read from ``rescued`` by name, cast, and null where it can't be."""
     return df.withColumn(name, F.get_json_object("rescued", f"$.{path}").try_cast(sql_type))
+
+
+def read_wrapped(value: object, sql_type: str) -> tuple[object, bool]:
+    """Approved readings of values that don't cast: a text alone in an object or list, text blocks in order, one text for a list."""
+    if sql_type == "array<string>":
+        return ([value], True) if isinstance(value, str) else (None, False)
+    if sql_type == "string":
+        if isinstance(value, list) and value and all(isinstance(x, dict) and isinstance(x.get("text"), str) for x in value):
+            return "".join(x["text"] for x in value), True
+        if isinstance(value, dict | list) and len(value) == 1:
+            only = next(iter(value.values())) if isinstance(value, dict) else value[0]
+            return (only, True) if isinstance(only, str) else (None, False)
+        if isinstance(value, int | float) and not isinstance(value, bool):
+            return json.dumps(value), True
+    return None, False
+
+
+def replay_record(metadata: dict | None, messages: list | None, rescued: str | None, aliases: dict[str, list[str]]) -> tuple:
+    """Typed values that are null filled from ``rescued`` by the approved readings, and what then is left there."""
+    record = parse_record(rescued)
+    if record is None:
+        return metadata, messages, rescued
+    names = lambda target, own: own + [a for a in aliases.get(target, []) if a not in own]
+
+    def fill(target: dict, source: dict, fields: dict[str, tuple[str, list[str]]]) -> None:
+        for field, (kind, known) in fields.items():
+            for name in known:
+                if target.get(field) is None and name in source:
+                    value, ok = read_wrapped(source[name], kind)
+                    if ok:
+                        target[field] = value
+                        del source[name]
+
+    inner = {path.split(".")[1]: (kind, names(path, own)) for path, (kind, own) in TARGET.items() if path.startswith("metadata.")}
+    fields = {field: (kind, names(f"messages[].{field}", own)) for field, (kind, own) in MESSAGE.items()}
+    for name in names("metadata", CONTAINERS["metadata"]):
+        if metadata is not None and isinstance(record.get(name), dict):
+            fill(metadata, record[name], inner)
+            if not record[name]:
+                del record[name]
+    for name in names("messages", CONTAINERS["messages"]):
+        left = record.get(name)
+        if messages is not None and isinstance(left, list) and len(left) == len(messages):
+            for target, source in zip(messages, left):
+                if isinstance(target, dict) and isinstance(source, dict):
+                    fill(target, source, fields)
+            if all(x in ({}, None) for x in left):
+                del record[name]
+    return metadata, messages, json.dumps(record, ensure_ascii=False) if record else None
+
+
+def replay(ingested: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rescued values replayed into the typed columns; what no reading fits stays in ``rescued``."""
+    aliases = aliases or {}
+    kinds = {f.name: f.dataType.simpleString() for f in ingested.schema.fields}
+
+    @F.pandas_udf(f"struct<metadata:{kinds['metadata']},messages:{kinds['messages']},rescued:string>")
+    def replayed(metadata: pd.Series, messages: pd.Series, rescued: pd.Series) -> pd.DataFrame:
+        load = lambda x: None if x is None else json.loads(x)
+        return pd.DataFrame([replay_record(load(m), load(ms), r, aliases) for m, ms, r in zip(metadata, messages, rescued)], columns=["metadata", "messages", "rescued"])
+
+    filled = replayed(F.to_json("metadata"), F.to_json("messages"), F.when(~F.col("parse_error"), F.col("rescued")))
+    out = ingested.withColumn("_r", F.when(F.col("rescued").isNotNull() & ~F.col("parse_error"), filled))
+    return out.select(*[F.when(F.col("_r").isNotNull(), F.col(f"_r.{c}")).otherwise(F.col(c)).alias(c) if c in ("metadata", "messages", "rescued") else c for c in ingested.columns])
+
+
+_MOST_NAMES = 10_000
+
+
+def aliases_of(changes: DataFrame) -> dict[str, list[str]]:
+    """Further names of the target's fields as the reported renames show them, directly or through other names.
+
+    Only distinct pairs of names come to the driver; their number is that of field names in use, and is checked.
+    """
+    pairs = changes.filter("change_kind = 'renamed'").select("old_field", "new_field").distinct().limit(_MOST_NAMES + 1).collect()
+    if len(pairs) > _MOST_NAMES:
+        raise ValueError(f"more than {_MOST_NAMES} renames of distinct names")
+
+    def node(name: str) -> tuple[str, str]:
+        if "[]." in name:
+            return "array", name.split("[].", 1)[1]
+        return ("object", name.split(".", 1)[1]) if "." in name else ("", name)
+
+    parent: dict[tuple[str, str], tuple[str, str]] = {}
+
+    def root(x: tuple[str, str]) -> tuple[str, str]:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for old, new in pairs:
+        a, b = sorted((root(node(old)), root(node(new))))
+        parent[b] = a
+    known = [(path, "object", own) for path, (_, own) in TARGET.items() if "." in path] + [(f"messages[].{f}", "array", own) for f, (_, own) in MESSAGE.items()] + [(c, "", own) for c, own in CONTAINERS.items()]
+    groups = {path: {root((level, name)) for name in own if (level, name) in parent} for path, level, own in known}
+    return {path: sorted(name for at, name in parent if at == level and name not in own and root((at, name)) in groups[path]) for path, level, own in known}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogforge.operators import drift, nested
+from dialogforge.operators import drift, nested, records
 from dialogforge.session import table
 
 
@@ -26,6 +26,14 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.promote(rows, "metadata.word_budget", "bigint", "word_budget")
 
 
+def p2_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One consistent table of all dialogues: names as the renames show them, rescued values replayed, the last record of each."""
+    lines = table(spark, sf_dir, "raw_records")
+    aliases = drift.aliases_of(drift.layout_changes(lines))
+    rows = drift.replay(drift.ingest(lines, aliases), aliases).filter("not parse_error")
+    return records.last_wins(rows, "dialogue_id", ["file_seq", "file_name", "line_no"]).select("dialogue_id", "feed", "file_name", "metadata", "messages", "rescued")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Labels need to know which elements are null, not what they say: the reader fetches one flag per message.
     narrow = spark.read.schema(nested.LABEL_SCHEMA).parquet(f"{sf_dir}/dialogues.parquet")
@@ -52,7 +60,7 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_table, p4_found, p4_labels, p4_messages, p4_scores)}
+    return {f.__name__: f for f in (p2_found, p2_table, p2_dialogues, p4_found, p4_labels, p4_messages, p4_scores)}
 
 
 _UNNESTED = """

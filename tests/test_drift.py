@@ -87,3 +87,24 @@ def test_ingest_promote(spark):
 @pytest.mark.parametrize(("value", "kind", "want"), [("7", "bigint", (7, True)), (7.5, "bigint", (None, False)), (True, "bigint", (None, False)), ("yes", "boolean", (None, False)), (None, "string", (None, True)), (3, "string", (None, False))])
 def test_casts_lose_nothing(value, kind, want):
     assert drift.cast_json(value, kind) == want
+
+
+def test_replay_fills_from_rescued_values(spark):
+    raw = [
+        {"dialogue_id": "d", "metadata": {"primary_task": {"code": "ISR"}, "topics": "one", "tier": {"a": "x", "b": "y"}}, "messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}], "code_snippet": {"value": "c"}}, {"speaker": "assistant"}]},
+        {"dialogue_id": "e"},
+        "{bad",
+    ]
+    rows = drift.replay(drift.ingest(lines(spark, [raw])), {"messages[].role": ["speaker"]}).orderBy("line_no").collect()
+    first = rows[0]
+    assert first.metadata.primary_task == "ISR" and first.metadata.topics == ["one"] and first.metadata.tier is None
+    assert first.messages[0].content == "ab" and first.messages[0].code_snippet == "c"
+    assert json.loads(first.rescued)["metadata"] == {"tier": {"a": "x", "b": "y"}}
+    assert (rows[1].metadata, rows[1].rescued) == (None, None) and rows[2].parse_error and rows[2].rescued == "{bad"
+
+
+def test_aliases_follow_renames(spark):
+    pairs = [("metadata.language", "metadata.code_language"), ("metadata.code_language", "info.idiom"), ("messages[].content", "messages[].text"), ("metadata", "info"), ("other", "else")]
+    df = spark.createDataFrame([("f", "renamed", a, b) for a, b in pairs] + [("f", "added", "", "x")], "file_name string, change_kind string, old_field string, new_field string")
+    got = drift.aliases_of(df)
+    assert got["metadata.language"] == ["code_language", "idiom"] and got["messages[].content"] == ["text"] and got["metadata"] == ["info"] and got["messages"] == []

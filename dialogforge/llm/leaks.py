@@ -37,7 +37,7 @@ WINDOW = 10
 #: Length of the walk for each word of a window, sampled places of the output for a key, and keys (walks) for each window.
 WALK, SAMPLED, REPEATS = 3, 12, 2
 #: Most items in one broadcast.
-BLOCK = 20_000
+BLOCK = 4_000
 _PLACES = np.stack([np.sort(np.random.default_rng(60_001 + k).choice(WALK * WINDOW, SAMPLED, replace=False)) for k in range(REPEATS)])
 
 

@@ -279,12 +279,25 @@ def _take(source: dict, names: list[str], sql_type: str) -> object:
     return None
 
 
+def _embedded(text: str) -> dict | list | None:
+    """The object or array that a string holds as JSON."""
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict | list) else None
+
+
 def conform(raw: str | None, aliases: dict[str, list[str]]) -> tuple:
     """One line in the target schema; unknown and uncastable fields stay as JSON in ``rescued``, under their own paths."""
     record = parse_record(raw)
     if record is None:
         return None, None, None, raw, True
     names = lambda target, own: own + [a for a in aliases.get(target, []) if a not in own]
+    for target, own in CONTAINERS.items():  # a container may come as JSON within a string
+        for name in names(target, own):
+            if isinstance(record.get(name), str) and (inner := _embedded(record[name])) is not None:
+                record[name] = inner
     out: dict[str, object] = {"dialogue_id": _take(record, ["dialogue_id"], "string")}
     metadata = None
     for name in names("metadata", CONTAINERS["metadata"]):

@@ -103,6 +103,13 @@ def test_replay_fills_from_rescued_values(spark):
     assert (rows[1].metadata, rows[1].rescued) == (None, None) and rows[2].parse_error and rows[2].rescued == "{bad"
 
 
+def test_a_container_within_a_string_is_read(spark):
+    raw = [{"dialogue_id": "d", "metadata": json.dumps({"tier": "t", "more": 1}), "messages": json.dumps([{"role": "user", "content": "c"}])}, {"dialogue_id": "e", "metadata": "no json"}]
+    first, second = drift.ingest(lines(spark, [raw])).orderBy("line_no").collect()
+    assert first.metadata.tier == "t" and first.messages[0].content == "c" and json.loads(first.rescued) == {"metadata": {"more": 1}}
+    assert second.metadata is None and json.loads(second.rescued) == {"metadata": "no json"}
+
+
 def test_aliases_follow_renames(spark):
     pairs = [("metadata.language", "metadata.code_language"), ("metadata.code_language", "info.idiom"), ("messages[].content", "messages[].text"), ("metadata", "info"), ("other", "else")]
     df = spark.createDataFrame([("f", "renamed", a, b) for a, b in pairs] + [("f", "added", "", "x")], "file_name string, change_kind string, old_field string, new_field string")

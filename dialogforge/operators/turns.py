@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from dialogforge.functions.text import norm_text
+from dialogforge.operators.running import before
 
 #: What the last request of a dialogue asks for besides its prompt.
 FINAL_PROMPT = "\n\nGive the final state of the code and a summary of what it does."
@@ -31,26 +31,31 @@ def delivered_once(messages: DataFrame, *columns: str) -> DataFrame:
     return messages.filter("dialogue_id is not null and msg_id is not null").select(*columns).distinct()
 
 
+#: Messages of a dialogue that are ordered in one place; longer dialogues are cut by message index.
+CHUNK = 10_000
+
+
+def _place(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_chunk", F.floor(F.coalesce("msg_index", F.lit(-1)) / CHUNK))
+
+
 def rewrap(messages: DataFrame) -> DataFrame:
     """``dialogue_id, msg_id, msg_index, role, turn_group``: a user message opens a new group, unless it is the first message."""
     once = delivered_once(messages.withColumn("role", role_of(F.col("role"))), "dialogue_id", "msg_id", "msg_index", "role")
-    order = W.partitionBy("dialogue_id").orderBy("msg_index", "msg_id")
-    opens = (F.col("role") == "user") & (F.row_number().over(order) > 1)
-    return once.withColumn("_opens", F.coalesce(opens, F.lit(False)).cast("int")).withColumn("turn_group", F.lit(1) + F.sum("_opens").over(order)).drop("_opens")
+    user = F.coalesce(F.col("role") == "user", F.lit(False)).cast("int")
+    counted = before(_place(once), ["dialogue_id"], ["_chunk"], ["msg_index", "msg_id"], {"_earlier": F.lit(1), "_users": user})
+    first_is_user = F.max(F.when(F.col("_earlier") == 0, user))
+    firsts = counted.groupBy("dialogue_id").agg(first_is_user.alias("_first_user"))
+    # A user message opens a group; the first message is in group 1, whoever wrote it.
+    return counted.join(firsts, "dialogue_id").select("dialogue_id", "msg_id", "msg_index", "role", (F.lit(1) + F.col("_users") + user - F.col("_first_user")).alias("turn_group"))
 
 
 def prefixes(messages: DataFrame) -> DataFrame:
     """Per message what stands before it in its dialogue: messages, user messages and characters (the history a request carries)."""
     once = delivered_once(messages.withColumn("role", role_of(F.col("role"))).withColumn("chars", F.coalesce(F.length("content"), F.lit(0))), "dialogue_id", "msg_id", "msg_index", "role", "chars")
-    before = W.partitionBy("dialogue_id").orderBy("msg_index", "msg_id").rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0)
-    return once.select(
-        "dialogue_id",
-        "msg_id",
-        F.count("*").over(before).alias("prior_messages"),
-        F.coalesce(F.sum((F.col("role") == "user").cast("int")).over(before), zero).alias("prior_users"),
-        F.coalesce(F.sum("chars").over(before), zero).alias("prior_chars"),
-    )
+    user = F.coalesce(F.col("role") == "user", F.lit(False)).cast("int")
+    counted = before(_place(once), ["dialogue_id"], ["_chunk"], ["msg_index", "msg_id"], {"prior_messages": F.lit(1), "prior_users": user, "prior_chars": F.col("chars")})
+    return counted.select("dialogue_id", "msg_id", "prior_messages", "prior_users", "prior_chars")
 
 
 def prompt_of(content: Column, code: Column, contains_code: Column) -> Column:
@@ -62,8 +67,10 @@ def requests(messages: DataFrame, final_prompt: str = FINAL_PROMPT) -> DataFrame
     """``dialogue_id, msg_id, turn_index, is_final, prompt`` of every user message; the last of a dialogue gets the final prompt."""
     users = messages.filter(role_of(F.col("role")) == "user")
     once = delivered_once(users, "dialogue_id", "msg_id", "msg_index", "content", "code_snippet", "contains_code")
-    order = W.partitionBy("dialogue_id").orderBy("msg_index", "msg_id")
-    placed = once.withColumn("turn_index", F.row_number().over(order) - 1).withColumn("is_final", F.lead("msg_id").over(order).isNull())
+    counted = before(_place(once), ["dialogue_id"], ["_chunk"], ["msg_index", "msg_id"], {"_turn": F.lit(1)})
+    # Ids name messages: the last of a dialogue is found by a combined aggregation, not by ordering it.
+    last = users.filter("dialogue_id is not null and msg_id is not null").groupBy("dialogue_id").agg(F.max(F.struct("msg_index", "msg_id")).alias("_last"))
+    placed = counted.join(last, "dialogue_id").withColumn("turn_index", F.col("_turn").cast("int")).withColumn("is_final", F.struct("msg_index", "msg_id") == F.col("_last"))
     prompt = prompt_of(F.col("content"), F.col("code_snippet"), F.col("contains_code"))
     return placed.select("dialogue_id", "msg_id", "turn_index", "is_final", F.concat(prompt, F.when(F.col("is_final"), F.lit(final_prompt)).otherwise(F.lit(""))).alias("prompt"))
 

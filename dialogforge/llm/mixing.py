@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dialogforge.operators.running import before
 from dialogforge.session import cut
 
 #: Public byte-level BPE ranks; the folder is described in its README.
@@ -82,16 +83,6 @@ def _plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None) -> lis
     return rows
 
 
-def _prefix(rows: DataFrame, chunk: list[str], order: list, amount: Column) -> DataFrame:
-    """``before``: sum of ``amount`` over the rows of the source that come earlier; ``chunk`` orders chunks of a source."""
-    sums = rows.groupBy("source", *chunk).agg(F.sum(amount).alias("_sum"))
-    earlier = W.partitionBy("source").orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("source", *chunk, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    within = W.partitionBy("source", *chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return placed.join(offsets, ["source", *chunk]).withColumn("before", F.col("_offset") + F.col("_within")).drop("_offset", "_within")
-
-
 def schedule(sizes: DataFrame, plan: list[dict], block: int) -> DataFrame:
     """``slot, source, rank``: the source of every slot and the slot's rank within it."""
     slots = plan[0]["total"] // block if plan else 0
@@ -104,7 +95,7 @@ def schedule(sizes: DataFrame, plan: list[dict], block: int) -> DataFrame:
     names = F.lit([r["source"] for r in plan] or [""])
     rows = sizes.sparkSession.range(slots).withColumn("point", point)
     rows = rows.select(F.col("id").alias("slot"), F.element_at(names, which + 1).alias("source"), (F.col("id") / _CHUNK).cast("bigint").alias("chunk"))
-    return _prefix(rows, ["chunk"], ["slot"], F.lit(1)).select("slot", "source", F.col("before").alias("rank"))
+    return before(rows, ["source"], ["chunk"], ["slot"], {"rank": F.lit(1)}).select("slot", "source", "rank")
 
 
 def blocks(sizes: DataFrame, plan: list[dict], block: int, seed: int) -> DataFrame:
@@ -115,7 +106,7 @@ def blocks(sizes: DataFrame, plan: list[dict], block: int, seed: int) -> DataFra
     copies = sizes.join(F.broadcast(use), "source").filter("repeats > 0")  # as many rows as there are targets
     copies = copies.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     shuffled = copies.withColumn("h", F.xxhash64("doc_id", "repeat", F.lit(seed))).withColumn("chunk", F.shiftrightunsigned("h", 20) % F.col("chunks"))
-    placed = _prefix(shuffled, ["repeat", "chunk"], ["h", "doc_id"], F.col("tokens"))
+    placed = before(shuffled, ["source"], ["repeat", "chunk"], ["h", "doc_id"], {"before": F.col("tokens")})
     return placed.select("source", (F.col("before") / block).cast("bigint").alias("rank"), "doc_id", "repeat", "tokens", F.col("before").alias("start"))
 
 

@@ -213,8 +213,14 @@ def openings(messages: DataFrame) -> DataFrame:
     return first.select("o.id", "o.text")
 
 
+_SALTED = 500  # ids of a group that meet the whole group in one task
+
+
 def pairs_within(grouped: DataFrame) -> DataFrame:
-    """Every pair of ids within a group, as the result of problem 5 asks for."""
-    a = grouped.select("group", F.col("id").alias("msg_id_a"))
-    b = grouped.select("group", F.col("id").alias("msg_id_b"))
-    return a.join(b, "group").filter("msg_id_a < msg_id_b").select("msg_id_a", "msg_id_b")
+    """Every pair of ids within a group, as the result of problem 5 asks for; one side of a large group is split by a salt."""
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1")
+    parts = F.ceil(F.col("size") / _SALTED).cast("int")
+    members = grouped.select("group", "id").join(sizes, "group").withColumn("parts", parts)
+    a = members.select("group", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("msg_id_a"))
+    b = members.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("msg_id_b"))
+    return a.join(b, ["group", "part"]).filter("msg_id_a < msg_id_b").select("msg_id_a", "msg_id_b")

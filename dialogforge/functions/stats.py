@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def pass_at_k(n: Column, c: Column, k: int) -> Column:
+def pass_at_k(n: Column, c: Column, k: Column | int) -> Column:
     """1 - C(n-c, k) / C(n, k) as a product; 1 where fewer than k samples failed, null without samples."""
     failed = n - c
-    product = F.aggregate(F.sequence((failed + 1).cast("int"), n.cast("int")), F.lit(1.0), lambda a, i: a * (F.lit(1.0) - F.lit(float(k)) / i))
+    k = k if isinstance(k, Column) else F.lit(k)
+    product = F.aggregate(F.sequence((failed + 1).cast("int"), n.cast("int")), F.lit(1.0), lambda a, i: a * (F.lit(1.0) - k.cast("double") / i))
     return F.when(n <= 0, F.lit(None)).when(failed < k, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.lit(1.0) - product)
 
 
-def summarise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def summarise(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """``keys, n, mean, median, stdev, min, max, q1, q3`` of the non-null values of each group.
 
     stdev is the sample's, 0 for one value; quartiles are exclusive (extrapolating for two values; the value itself for one).
     Values are counted per group first, so that a group's rows are never gathered: what is ordered in one place is its
-    distinct values only.
+    distinct values only. weight: a column that says how often a row's value occurs, where that has been counted already.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    occurs = F.sum(weight) if weight else F.count("*")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(occurs.alias("_c"))
     up_to = W.partitionBy(*keys).orderBy("_x")
     whole = W.partitionBy(*keys)
     placed = counted.withColumn("_last", F.sum("_c").over(up_to)).withColumn("_n", F.sum("_c").over(whole)).withColumn("_first", F.col("_last") - F.col("_c") + 1)

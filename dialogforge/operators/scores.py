@@ -6,8 +6,6 @@ rows. A record's arrays are exploded in place; nothing is joined back across rec
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -41,10 +39,10 @@ def zeroed(long: DataFrame, zero_failed: bool = True) -> DataFrame:
 
 def score_statistics(long: DataFrame) -> DataFrame:
     """``scope, metric`` and the summary of the scores, by task and judge and over all tasks."""
-    scores = long.select("task", F.col("judge").alias("metric"), "score")
-    # One pass over counted values: the global scope sums the counts of the tasks.
-    both = scores.select(F.explode(F.array(F.concat(F.lit("task:"), F.col("task")), F.lit("GLOBAL"))).alias("scope"), "metric", "score")
-    return summarise(both, ["scope", "metric"], "score")
+    # Scores are counted by task first; the global scope sums these counts.
+    counted = long.filter("score is not null").groupBy("task", F.col("judge").alias("metric"), "score").agg(F.count("*").alias("n"))
+    both = counted.select(F.explode(F.array(F.concat(F.lit("task:"), F.col("task")), F.lit("GLOBAL"))).alias("scope"), "metric", "score", "n")
+    return summarise(both, ["scope", "metric"], "score", "n")
 
 
 def verdicts(long: DataFrame) -> DataFrame:
@@ -65,8 +63,14 @@ def pass_rates(records: DataFrame, ks: list[int], id_column: str = "record_id",
     n = F.size(runs)
     c = F.size(F.filter(runs, lambda s: s["passed"].eqNullSafe(F.lit(True))))
     tried = records.filter(F.element_at("scores", code_judge).isNotNull()).select(F.coalesce(F.col(task), F.lit(UNKNOWN)).alias("task"), n.alias("n"), c.alias("c")).filter("n > 0")
-    parts = [tried.groupBy("task").agg(F.count_if(F.col("n") >= k).alias("records"), F.count_if(F.col("n") < k).alias("skipped"), F.avg(F.when(F.col("n") >= k, pass_at_k(F.col("n"), F.col("c"), k))).alias("pass_at_k")).withColumn("k", F.lit(k)) for k in ks]
-    return reduce(DataFrame.unionByName, parts).select("task", "k", "records", "skipped", "pass_at_k")
+    # Records with equal counts are alike: each kind is rated once for every k.
+    kinds = tried.groupBy("task", "n", "c").agg(F.count("*").alias("w")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    enough = F.col("n") >= F.col("k")
+    weight = F.when(enough, F.col("w"))
+    total = F.sum(weight)
+    rate = F.sum(weight * pass_at_k(F.col("n"), F.col("c"), F.col("k")))
+    grouped = kinds.groupBy("task", "k").agg(F.coalesce(total, F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(~enough, F.col("w"))), F.lit(0)).alias("skipped"), F.try_divide(rate, total).alias("pass_at_k"))
+    return grouped.select("task", "k", "records", "skipped", "pass_at_k")
 
 
 #: Columns of the statistics file, in this order.

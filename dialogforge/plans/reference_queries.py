@@ -121,9 +121,11 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.last_wins(seen, "dialogue_id", ["batch"]).drop("batch")
 
 
-@query(f"SELECT time_bucket(INTERVAL '1 day', created_at::TIMESTAMP) AS begins, count(*) AS messages, count(*) FILTER ({_ROLE} = 'assistant') AS answers FROM messages WHERE created_at IS NOT NULL GROUP BY 1")
+@query(f"SELECT CAST(floor(epoch(created_at) / 86400) AS BIGINT) AS day, count(*) AS messages, count(*) FILTER ({_ROLE} = 'assistant') AS answers FROM messages WHERE created_at IS NOT NULL GROUP BY 1")
 def daily_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generation.windowed_counts(table(spark, sf_dir, "messages"))
+    """Messages and answers by day since 1970 (UTC)."""
+    counts = generation.windowed_counts(table(spark, sf_dir, "messages"))
+    return counts.select(F.floor(F.unix_timestamp("begins") / 86_400).alias("day"), "messages", "answers")
 
 
 # Text.

@@ -78,22 +78,17 @@ def lsh_keys(words: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.
 
 
 class _Words:
-    """64-bit hashes of words, each hashed once."""
+    """Numbers of words, and their 64-bit hashes; each word is hashed once."""
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.hashes: list[int] = []
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        ids, hashes = self.ids, self.hashes
-        out = []
-        for w in words:
-            k = ids.get(w)
-            if k is None:
-                k = ids[w] = len(hashes)
-                hashes.append(xxhash.xxh64_intdigest(w))
-            out.append(k)
-        return np.array(hashes, dtype=np.uint64)[out] if out else np.zeros(0, dtype=np.uint64)
+    def number(self, words: list[str]) -> np.ndarray:
+        ids = self.ids
+        return np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int64, count=len(words))
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(w) for w in self.ids), dtype=np.uint64, count=len(self.ids))
 
 
 class ItemIndex:
@@ -104,10 +99,12 @@ class ItemIndex:
         self.run, self.window = run, window
         self.grams: dict[int, set[int]] = {}
         keys, owners = [], []
-        for item_id, text in rows:
-            words = hashed(words_of(text))
-            if len(words) < run:
+        numbered = [(item_id, hashed.number(words_of(text))) for item_id, text in rows]
+        hashes = hashed.hashes()
+        for item_id, numbers in numbered:
+            if len(numbers) < run:
                 continue
+            words = hashes[numbers]
             self.grams.setdefault(item_id, set()).update(runs(words, run).tolist())
             k = lsh_keys(words, np.arange(len(words) - window + 1), window)
             keys.append(k.reshape(-1))
@@ -142,15 +139,16 @@ def _search(index: ItemIndex) -> object:
             hashed, found = _Words(), []
             ids, docs, starts, owner, base = batch.doc_id.tolist(), [], [], [], 0
             for k, text in enumerate(batch.text):
-                words = hashed(words_of(text))
-                if len(words) >= index.run:
-                    docs.append((ids[k], words))
-                    s = np.arange(0, len(words) - index.window + 1, step)
+                numbers = hashed.number(words_of(text))
+                if len(numbers) >= index.run:
+                    docs.append((ids[k], numbers))
+                    s = np.arange(0, len(numbers) - index.window + 1, step)
                     starts.append(s + base)
                     owner.append(np.full(len(s), len(docs) - 1))
-                    base += len(words)
+                    base += len(numbers)
+            hashes = hashed.hashes()
             if docs:
-                words, at, own = np.concatenate([w for _, w in docs]), np.concatenate(starts), np.concatenate(owner)
+                words, at, own = hashes[np.concatenate([w for _, w in docs])], np.concatenate(starts), np.concatenate(owner)
                 candidates: set[tuple[int, int]] = set()
                 for begin in range(0, len(at), 100_000):
                     part = own[begin : begin + 100_000]
@@ -160,7 +158,7 @@ def _search(index: ItemIndex) -> object:
                 grams: dict[int, np.ndarray] = {}
                 for d, item in sorted(candidates):
                     if d not in grams:
-                        grams[d] = runs(docs[d][1], index.run)
+                        grams[d] = runs(hashes[docs[d][1]], index.run)
                     shared = sum(g in index.grams[item] for g in grams[d].tolist())
                     if shared:
                         found.append((docs[d][0], item, shared))

@@ -11,8 +11,9 @@ from dialogforge.operators import drift, nested, records
 from dialogforge.session import table
 
 
-def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "dialogues")
+#: Labels need to know which elements are null, not what they say; node tables read the fields they show besides.
+_MESSAGES = nested.LABEL_SCHEMA.replace("turns array<struct<messages:array<struct<ground_truth_valid:boolean>>>>", "turns array<struct<turn_id:bigint,messages:array<struct<role:string,content:string,code_snippet:string>>>>")
+_SCORES = nested.LABEL_SCHEMA.replace("array<struct<strengths:", "array<struct<index:int,score:double,verdict:string,passed:boolean,strengths:")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,27 +36,24 @@ def p2_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Labels need to know which elements are null, not what they say: the reader fetches one flag per message.
-    narrow = spark.read.schema(nested.LABEL_SCHEMA).parquet(f"{sf_dir}/dialogues.parquet")
-    return nested.children(narrow)
+    return nested.children(table(spark, sf_dir, "dialogues", nested.LABEL_SCHEMA))
 
 
 def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval labels of every node."""
-    narrow = spark.read.schema(nested.LABEL_SCHEMA).parquet(f"{sf_dir}/dialogues.parquet")
-    return nested.label(narrow).select("record_id", "pre", "post", "depth", "kind", "path")
+    return nested.label(table(spark, sf_dir, "dialogues", nested.LABEL_SCHEMA)).select("record_id", "pre", "post", "depth", "kind", "path")
 
 
 def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat message table, each row linked to its turn by interval containment."""
-    rows = _dialogues(spark, sf_dir)
+    rows = table(spark, sf_dir, "dialogues", _MESSAGES)
     linked = nested.link(nested.node_table(rows, "turn"), nested.node_table(rows, "message"))
     return linked.select("record_id", "parent_pre", "pre", "post", "pos_1", "pos_2", "role", "content", "code_snippet")
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat score table."""
-    scores = nested.node_table(_dialogues(spark, sf_dir), "score")
+    scores = nested.node_table(table(spark, sf_dir, "dialogues", _SCORES), "score")
     return scores.select("record_id", "score_key", "pos_1", F.col("index").alias("sample_index"), "score", "verdict", "passed")
 
 

@@ -34,6 +34,13 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[\s\x{{1
 _ONCE = f"SELECT DISTINCT dialogue_id, msg_id, msg_index, {_ROLE} AS role FROM messages WHERE dialogue_id IS NOT NULL AND msg_id IS NOT NULL"
 
 
+#: What the queries read of nested columns: fields within arrays and maps aren't pruned by themselves.
+_SPOKEN = "record_id bigint, dialogue_id string, exported_at timestamp, final_ground_truth struct<expected_nl_output:string>, turns array<struct<messages:array<struct<role:string,content:string>>>>"
+_OPENED = "record_id bigint, turns array<struct<messages:array<struct<role:string,content:string,code_snippet:string>>>>"
+_CODED = "record_id bigint, final_ground_truth struct<expected_output_code:string,test_cases_to_pass:string,constraints_to_check:array<string>>, turns array<struct<messages:array<struct<code_snippet:string>>>>"
+_SCORED = "record_id bigint, metadata struct<primary_task:string>, scores map<string,array<struct<score:double,verdict:string,passed:boolean>>>"
+
+
 # Turns.
 
 
@@ -81,12 +88,12 @@ def request_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT record_id, list_filter(turns[-1].messages, lambda m: m.role = 'assistant')[-1].content AS content FROM dialogues")
 def final_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "dialogues").select("record_id", turns.final_assistant(F.col("turns")).alias("content"))
+    return table(spark, sf_dir, "dialogues", _SPOKEN).select("record_id", turns.final_assistant(F.col("turns")).alias("content"))
 
 
 @query("SELECT record_id, turns[-1].messages[-1].code_snippet AS code FROM dialogues")
 def final_message_any_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "dialogues").select("record_id", turns.final_code(F.col("turns")).alias("code"))
+    return table(spark, sf_dir, "dialogues", _CODED).select("record_id", turns.final_code(F.col("turns")).alias("code"))
 
 
 _OPENING = """
@@ -97,7 +104,7 @@ SELECT record_id, dialogue_id, coalesce(list_filter(turns[1].messages, lambda m:
 
 @query(f"SELECT record_id, md5({_NORM.format('opening')}) AS key_md5 FROM ({_OPENING})")
 def opening_user_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "dialogues").select("record_id", F.md5(turns.opening_key(F.col("turns")).cast("binary")).alias("key_md5"))
+    return table(spark, sf_dir, "dialogues", _OPENED).select("record_id", F.md5(turns.opening_key(F.col("turns")).cast("binary")).alias("key_md5"))
 
 
 @query(f"{_ASKED} SELECT dialogue_id, msg_id, CAST(turn_index AS INTEGER) AS turn_index, CASE WHEN is_final THEN 'DONE' ELSE 'WAITING' END AS state, 'Mock output for: ' || left(prompt, 20) AS output FROM a")
@@ -210,12 +217,12 @@ z AS (SELECT record_id, task, judge, idx, CASE WHEN failed_code THEN 0.0::DOUBLE
 
 @query(f"WITH {_SAMPLES} SELECT * FROM long")
 def score_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.long_scores(table(spark, sf_dir, "dialogues"))
+    return scores.long_scores(table(spark, sf_dir, "dialogues", _SCORED))
 
 
 @query(f"WITH {_SAMPLES} SELECT record_id, judge, idx, score FROM z")
 def zero_failed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues"))).select("record_id", "judge", "idx", "score")
+    return scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues", _SCORED))).select("record_id", "judge", "idx", "score")
 
 
 _QUARTILE = "CASE WHEN n = 1 THEN lo ELSE (xs[least(greatest((n + 1) * {q} // 4, 1), n - 1)] * (4 - ((n + 1) * {q} - 4 * least(greatest((n + 1) * {q} // 4, 1), n - 1))) + xs[least(greatest((n + 1) * {q} // 4, 1), n - 1) + 1] * ((n + 1) * {q} - 4 * least(greatest((n + 1) * {q} // 4, 1), n - 1))) / 4 END"
@@ -228,14 +235,14 @@ g AS (SELECT scope, metric, count(*) AS n, avg(score) AS mean, median(score) AS
 SELECT scope, metric, n, round(mean, 6) AS mean, median, round(stdev, 6) AS stdev, lo AS min, hi AS max, {_QUARTILE.format(q=1)} AS q1, {_QUARTILE.format(q=3)} AS q3 FROM g
 """)
 def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = scores.score_statistics(scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues"))))
+    stats = scores.score_statistics(scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues", _SCORED))))
     return stats.withColumn("mean", F.round("mean", 6)).withColumn("stdev", F.round("stdev", 6))
 
 
 @query()
 def score_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics as written to the CSV file (rounded as Python rounds)."""
-    return scores.csv_rows(scores.score_statistics(scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues")))))
+    return scores.csv_rows(scores.score_statistics(scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues", _SCORED)))))
 
 
 @query(f"""
@@ -243,7 +250,7 @@ WITH {_SAMPLES}, c AS (SELECT judge AS metric, lower(verdict) AS verdict, count(
 SELECT metric, verdict, samples, samples / sum(samples) OVER (PARTITION BY metric)::DOUBLE AS share FROM c
 """)
 def verdict_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.verdicts(scores.long_scores(table(spark, sf_dir, "dialogues")))
+    return scores.verdicts(scores.long_scores(table(spark, sf_dir, "dialogues", _SCORED)))
 
 
 @query(f"""
@@ -251,7 +258,7 @@ WITH {_SAMPLES}, m AS (SELECT judge AS metric, task, avg(score) AS mean, count(s
 SELECT metric, task, round(mean, 6) AS mean, n, CAST(row_number() OVER (PARTITION BY metric ORDER BY round(mean, 9) DESC, task) AS INTEGER) AS place FROM m
 """)
 def task_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = scores.task_ranking(scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues"))))
+    ranked = scores.task_ranking(scores.zeroed(scores.long_scores(table(spark, sf_dir, "dialogues", _SCORED))))
     return ranked.withColumn("mean", F.round("mean", 6))
 
 
@@ -263,7 +270,7 @@ p AS (SELECT task, k, n, CASE WHEN n < k THEN NULL WHEN n - c < k THEN 1.0 WHEN
 SELECT task, CAST(k AS INTEGER) AS k, count(*) FILTER (n >= k) AS records, count(*) FILTER (n < k) AS skipped, round(avg(p), 6) AS pass_at_k FROM p GROUP BY task, k
 """)
 def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = scores.pass_rates(table(spark, sf_dir, "dialogues"), text.parse_k_values("1,2,3"))
+    rates = scores.pass_rates(table(spark, sf_dir, "dialogues", _SCORED), text.parse_k_values("1,2,3"))
     return rates.withColumn("pass_at_k", F.round("pass_at_k", 6))
 
 
@@ -301,7 +308,7 @@ SELECT d.record_id, dialogue_id, coalesce(len(d.turns), -1) AS detailed_turns, s
 def detailed_simple_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluated dialogues with their flat export; every evaluated record is kept."""
     simple = turns.delivered_once(table(spark, sf_dir, "messages"), "dialogue_id", "msg_id").groupBy("dialogue_id").agg(F.count("*").alias("simple_messages"))
-    detailed = table(spark, sf_dir, "dialogues").select("record_id", "dialogue_id", F.coalesce(F.size("turns"), F.lit(-1)).cast("bigint").alias("detailed_turns"))
+    detailed = table(spark, sf_dir, "dialogues").select("record_id", "dialogue_id", F.coalesce(F.size("turns.turn_id"), F.lit(-1)).cast("bigint").alias("detailed_turns"))
     return detailed.join(simple, "dialogue_id")
 
 
@@ -312,7 +319,7 @@ SELECT CASE WHEN m.dialogue_id IS NULL THEN 'not in master' WHEN m.s.c IS NULL O
 """)
 def master_test_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What comparing the flat export's last answers with the evaluated dialogues can compare."""
-    d = table(spark, sf_dir, "dialogues").select("dialogue_id", "record_id", "exported_at", turns.final_assistant(F.col("turns")).alias("master"))
+    d = table(spark, sf_dir, "dialogues", _SPOKEN).select("dialogue_id", "record_id", "exported_at", turns.final_assistant(F.col("turns")).alias("master"))
     master = records.last_wins(d, "dialogue_id", ["exported_at", "record_id"]).select("dialogue_id", "master", F.lit(True).alias("known"))
     answers = turns.delivered_once(table(spark, sf_dir, "messages").filter(turns.role_of(F.col("role")) == "assistant"), "dialogue_id", "msg_id", "msg_index", "content")
     test = records.last_wins(answers, "dialogue_id", ["msg_index", "msg_id"])
@@ -454,7 +461,7 @@ def duplicate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Openings of evaluated dialogues whose sequence ratio is 0.97 or more, in one scope."""
-    rows = table(spark, sf_dir, "dialogues").filter("record_id is not null").select(F.lit("all").alias("scope"), F.col("record_id").alias("line"), turns.opening_key(F.col("turns")).alias("key"))
+    rows = table(spark, sf_dir, "dialogues", _OPENED).filter("record_id is not null").select(F.lit("all").alias("scope"), F.col("record_id").alias("line"), turns.opening_key(F.col("turns")).alias("key"))
     return dedup.flags(dedup.near_groups(rows))
 
 
@@ -462,7 +469,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "dialogues").select("record_id", turns.expected_text(F.col("final_ground_truth")).alias("expected"), turns.final_assistant(F.col("turns")).alias("actual")).filter("expected is not null and actual is not null")
+    return table(spark, sf_dir, "dialogues", _SPOKEN).select("record_id", turns.expected_text(F.col("final_ground_truth")).alias("expected"), turns.final_assistant(F.col("turns")).alias("actual")).filter("expected is not null and actual is not null")
 
 
 _TFIDF = r"""
@@ -508,7 +515,7 @@ def embedding_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _python_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "dialogues")
+    d = table(spark, sf_dir, "dialogues", _CODED)
     return d.select("record_id", turns.final_code(F.col("turns")).alias("code"), F.col("final_ground_truth.test_cases_to_pass").alias("tests"), F.col("final_ground_truth.expected_output_code").alias("reference"), F.try_element_at(F.col("final_ground_truth.constraints_to_check"), F.lit(1)).alias("expected"))
 
 

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
+    """A table; ``schema`` names the columns and nested fields to read, where pruning can't see them through arrays and maps."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +11,17 @@ from pyspark.sql import functions as F
 
 from dialogforge.functions.text import SPACE, json_valid
 from dialogforge.operators.records import last_wins, numbered
-
-_LINES = "file string, line_no bigint, raw string"
-
+from dialogforge.operators.running import before
 
 def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, line_no, raw``: physical lines from 1, blank ones too. A file is split at its lines within one task, read as a stream of bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(paths).select("path", "content")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch.path, batch.content):
-                lines = content.decode("utf-8", "replace").split("\n")
-                if lines and lines[-1] == "":
-                    lines.pop()
-                for begin in range(0, len(lines), 10_000):
-                    part = lines[begin : begin + 10_000]
-                    yield pd.DataFrame({"file": path, "line_no": range(begin + 1, begin + 1 + len(part)), "raw": [x.rstrip("\r") for x in part]})
-
-    return files.mapInPandas(split, _LINES)
+    """``file, line_no, raw``: physical lines from 1, blank ones too, of files of any size.
+
+    Lines are ordered within the splits of a file only; the counts of the splits before give the rest of the number.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.rtrim("value", F.lit("\r")).alias("raw"))
+    counted = before(placed, ["file"], ["_block"], ["_id"], {"_before": F.lit(1)})
+    return counted.select("file", (F.col("_before") + 1).alias("line_no"), "raw")
 
 
 def scan_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -19,6 +19,18 @@ def test_lines_are_physical(spark, file):
     assert jsonl.scan_records(spark, file).count() == 6
 
 
+def test_lines_of_a_file_in_several_splits(spark, tmp_path):
+    p = tmp_path / "big.jsonl"
+    p.write_text("".join(f"{k:05d} {'x' * (k % 90)}\r\n" for k in range(3000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = jsonl.scan_lines(spark, str(p)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted((r.line_no, r.raw) for r in rows) == [(k + 1, f"{k:05d} {'x' * (k % 90)}") for k in range(3000)]
+
+
 def test_modes(spark, file):
     lines = jsonl.scan_lines(spark, file)
     assert sorted(r.line_no for r in jsonl.validated(lines).collect()) == [1, 4, 5]

@@ -546,7 +546,6 @@ class _Parser(Cursor):
             return 2 if result == 2 else 0
         if k == "[":
             self.i += 1
-            good = True
             while not self.take("]"):
                 if self.take(","):
                     continue
@@ -555,7 +554,7 @@ class _Parser(Cursor):
                 if not self.take(","):
                     self.need("]")
                     break
-            return 1 if good else 0
+            return 1
         if k == "{":
             self.object()
             return 1

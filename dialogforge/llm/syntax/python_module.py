@@ -22,6 +22,52 @@ _OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
 _AFTER_NUMBER = frozenset(["and", "else", "for", "if", "in", "is", "not", "or"])
 
 
+_FORMATTED = re.compile(r"""(?:[fF][rR]?|[rR][fF])(\"\"\"|'''|"|')""")
+_QUOTED = re.compile(r"""\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+_NO_EXPRESSION = re.compile(r"\{\s*[}!:=]")
+
+
+def _formatted_end(text: str, at: int) -> int:
+    """Behind the f-string that begins at ``at``, whose fields may hold quotes of their own; -1 if it is broken."""
+    m = _FORMATTED.match(text, at)
+    quote, i, end, depth = m[1], m.end(), len(text), 0
+    while i < end:
+        ch = text[i]
+        if depth == 0:
+            if text.startswith(quote, i):
+                return i + len(quote)
+            if ch == "\\" or text[i : i + 2] in ("{{", "}}"):
+                i += 2
+                continue
+            if ch == "}" or ch == "\n" and len(quote) == 1 or ch == "{" and _NO_EXPRESSION.match(text, i):
+                return -1
+            depth += ch == "{"
+        elif ch in "([{":
+            depth += 1
+        elif ch in ")]}":
+            depth -= 1
+        elif ch in "'\"":
+            if text[i - 1] in "fF":
+                i = _formatted_end(text, i - 1)
+                if i < 0:
+                    return -1
+            elif (inner := _QUOTED.match(text, i)) is not None:
+                i = inner.end()
+            else:
+                return -1
+            continue
+        elif ch == ":" and depth == 1:  # a format, which may hold fields but no strings
+            level = 0
+            while i < end and not (text[i] == "}" and level == 0):
+                if text.startswith(quote, i) or text[i] == "\n" and len(quote) == 1:
+                    return -1
+                level += (text[i] == "{") - (text[i] == "}")
+                i += 1
+            continue
+        i += 1
+    return -1
+
+
 def lex(c: Cursor) -> None:
     text, at, end = c.text.removeprefix("﻿"), 0, 0
     end = len(text)
@@ -51,6 +97,11 @@ def lex(c: Cursor) -> None:
                     indents.append(column)
                     break
             at = j
+        if text[at] in "fFrR" and _FORMATTED.match(text, at) is not None:
+            stop = _formatted_end(text, at)
+            add("string" if stop > 0 else "bad", "f-string", at)
+            at = stop if stop > 0 else at + 2
+            continue
         m = match(text, at)
         if m is None:
             add("bad", text[at], at)

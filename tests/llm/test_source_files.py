@@ -9,7 +9,7 @@ from dialogforge.llm.source_files import invalid_files, invalid_rates, parsed_fi
 from dialogforge.llm.syntax import errors_of
 
 VALID = {
-    "py": ["x = 1", "", "# only a comment", "async def f(a, /, b=1, *, c, **k):\n    async with a as b, c:\n        return [i async for i in b if i]\n", "match x:\n    case [1, *rest] if rest:\n        pass\n    case {'a': 1, **r} | None as q:\n        pass\n", "try:\n    pass\nexcept* E as e:\n    raise X from e\n", "BAD = '<<<<<<< HEAD'\n", "x: int = (yield)\nprint(*a, **b)\nlambda *a, k=1: (a, k)\n", "def f[T: int](x: T) -> T: return x\n", "a, *b = c = 1, 2\na[1:2, ::3] = b\nif (n := 1): pass\n"],
+    "py": ["x = 1", "", "# only a comment", "async def f(a, /, b=1, *, c, **k):\n    async with a as b, c:\n        return [i async for i in b if i]\n", "match x:\n    case [1, *rest] if rest:\n        pass\n    case {'a': 1, **r} | None as q:\n        pass\n", "try:\n    pass\nexcept* E as e:\n    raise X from e\n", "BAD = '<<<<<<< HEAD'\n", "x: int = (yield)\nprint(*a, **b)\nlambda *a, k=1: (a, k)\n", "def f[T: int](x: T) -> T: return x\n", "x = f'{a[\"b\"]!r:>{w}} {{}} {f(\"y\", {1: 2})}' f\"{d[\"k\"]:%H:%M}\"\ny = rf'\\d{n}'\n", "a, *b = c = 1, 2\na[1:2, ::3] = b\nif (n := 1): pass\n"],
     "js": ["let {a, b: [c] = [1], ...d} = e;", "class A extends B { #x = 1; static async *f() { yield* this.#x } get y() { return `a${`b${1}`}` } }", "for (const x of y) label: for (;;) { break label }", "const f = async (a, b = /[/]\"/g) => ({a, ...b})\nf?.(1) ?? 2", "if (a) b\nelse c\nreturn_ = 1 / 2 / 3", "switch (a) { case 1: b(); default: }", "var t = `<<<<<<< ${'`'}`"],
     "java": ["package a.b; import java.util.*; @X(a = 1) public final class A<T extends B & C> implements D { int[] a = {1, 2}; <U> A(List<? super U> u) throws E { this.<U>f(); } static { } }", "record P(int x) { P { if (x < 0) throw new E(); } }", "interface I { default void f() { var x = (Runnable) () -> g(a >> 2, b >>> 3); for (int i = 0, j; i < 3; i++) ; } }", "enum E { A(1) { }, B; int f(Object o) { return switch (o) { case String s when s.length() > 1 -> 1; default -> { yield 2; } }; } }", 'class T { String s = """\n  "x" {{\n  """; Function<A, B> f = A::new; int[][] y = new int[2][]; }'],
     "go": ['package a\n\nimport (\n\t"fmt"\n\tx "y"\n)\n\ntype T[K comparable] struct {\n\ta, b int `json:"a"`\n\t*E\n}\n\nfunc (t *T[K]) F(a, b int, c ...string) (n int, err error) {\n\tif v, ok := m[a]; ok && v == (P{1}) {\n\t\treturn\n\t}\n\tfor i := range xs {\n\t\tgo func() { ch <- i }()\n\t}\n\tswitch x := y.(type) {\n\tcase int, *T[string]:\n\t\tfmt.Println([]int{1, 2}[:1], map[string]P{"a": {1}})\n\tdefault:\n\t}\n\tselect {\n\tcase v := <-ch:\n\t\t_ = v\n\t}\n\treturn 1, nil\n}\n'],
@@ -18,7 +18,7 @@ VALID = {
     "sh": ["#!/bin/bash\nset -eu\nf() {\n  local a=(1 \"$2\")\n  case \"$1\" in a|b) echo x ;; *) ;; esac\n}\n", "cat <<'E' > o\nit's (\nE\nif [[ $a =~ ^(x|y)$ ]]; then echo \"$(date +%s)\" | wc -l; fi", "for ((i = 0; i < 3; i++)); do echo $((i * (2 + 1))); done", "while read -r l; do echo \"${l%%\\}}\"; done < <(ls)"],
 }
 BROKEN = {
-    "py": ["def f(:\n  pass", "  x = 1", "if x:\n", "x = (1,", "f() = 1", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b", "print 'x'", "def f(a=1, b): pass", "x = 'abc", "class A:\n    def f(self):\n        return 1\n   y = 2\n"],
+    "py": ["def f(:\n  pass", "  x = 1", "if x:\n", "x = (1,", "f() = 1", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b", "print 'x'", "def f(a=1, b): pass", "x = 'abc", "x = f'{'", "x = f'{}'", "x = f'}'", "x = f'{a'", "class A:\n    def f(self):\n        return 1\n   y = 2\n"],
     "js": ["function f( {", "var x = ;", "return 1;\n}", "import a from 'b'", "const a;", "let x = 1 2", "f(1,", "def f():\n    pass"],
     "java": ["public class A {", "var x = 1;", "class A { void f() { a + b; } }", "class A { int f( { } }", "class A { void f() { return } }"],
     "go": ["func f() {}", "package a\n\nfunc f() {", "package a\n\nx := 1\n", "package a\n\nfunc f() {\n\tif {\n\t}\n}\n", "package a\n\nfunc f() { a + b }\n"],

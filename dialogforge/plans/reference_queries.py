@@ -119,7 +119,10 @@ def mock_generation_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("state").agg(F.count("*").alias("dialogues"))
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT dialogue_id, count(DISTINCT msg_id) FILTER ({_ROLE} = 'user') AS user_turns, count(DISTINCT msg_id) FILTER ({_ROLE} = 'assistant') AS answers FROM messages WHERE dialogue_id IS NOT NULL GROUP BY 1)
+SELECT *, CASE WHEN user_turns = 0 THEN 'STARTING' WHEN answers >= user_turns THEN 'DONE' ELSE 'PROCESSING' END AS state FROM c
+""")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogue progress from the stateful stream: the last state of every dialogue."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -90,4 +90,11 @@ leaks AS (SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g))
 def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM leaks",
+        "p6_leaked_items": f"""
+WITH {_RUNS},
+p AS (SELECT doc_id, array_to_string(w[i:i + 19], ' ') AS g FROM w, unnest(generate_series(1, len(w) - 19)) AS u(i)),
+n AS (SELECT doc_id, item_id, count(*) AS runs FROM p JOIN h USING (g) GROUP BY ALL),
+k AS (SELECT item_id, count(*) AS documents, max(runs) AS most_runs FROM n GROUP BY item_id)
+SELECT item_id, suite, coalesce(documents, 0) AS documents, coalesce(most_runs, 0) AS most_runs FROM (SELECT DISTINCT item_id, suite FROM eval_items WHERE item_id IS NOT NULL) LEFT JOIN k USING (item_id)
+""",
     }

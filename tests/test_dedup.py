@@ -70,3 +70,43 @@ def test_components_are_union_finds(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
     assert components(df.limit(0)).count() == 0
+
+
+def test_near_groups_need_no_common_shingle(spark):
+    rng = random.Random(11)
+    long, short = "abcdefghijklmnopqrstuvwxyz"[:20] * 2, "q" * 40
+    spread = "".join(rng.choice("abcdefghij klmnop") for _ in range(190))
+    edited = list(spread)
+    for k in range(20, 190, 40):  # a change in most runs of three words
+        edited[k] = "#"
+    keys = {1: long, 2: long[:30] + "x" + long[30:], 3: f"{short} m {short}", 4: f"{short} n {short}", 5: spread, 6: "".join(edited), 7: "a b", 8: "a c"}
+    rows = spark.createDataFrame([("f", k, v) for k, v in keys.items()], ROWS)
+    expected = brute(keys, dedup.THRESHOLD)
+    assert expected[2] == 1 and expected[4] == 3 and expected[6] == 5
+    assert {r.line: r.first_line for r in dedup.near_groups(rows).collect()} == expected
+
+
+def test_near_groups_judge_both_orders_of_copies(spark):
+    rng = random.Random(4)
+    b = "".join(rng.choice("abcdefgh ") for _ in range(202))  # from 200 characters on, popular ones of the second text are junk
+    a = b[5:]
+    ratios = [difflib.SequenceMatcher(None, *p).ratio() >= dedup.THRESHOLD for p in ((a, b), (b, a))]
+    assert ratios == [False, True]
+    got = lambda keys: {r.line: r.first_line for r in dedup.near_groups(spark.createDataFrame([("f", k, v) for k, v in keys.items()], ROWS)).collect()}
+    assert got({1: a, 2: b}) == {1: 1, 2: 2}
+    assert got({1: a, 2: b, 3: a}) == {1: 1, 2: 1, 3: 1}
+
+
+def test_near_groups_in_blocks_at_any_threshold(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 7)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(150))
+    keys = {}
+    for k in range(60):  # copies of one text at growing distances: links are not transitive
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(len(own))] = rng.choice("rstuvw")
+        keys[k] = "".join(own[: rng.randrange(120, 151)])
+    for threshold in (0.97, 0.9, 0.0, 1.0):
+        rows = spark.createDataFrame([("f", k, v) for k, v in keys.items()], ROWS)
+        assert {r.line: r.first_line for r in dedup.near_groups(rows, threshold).collect()} == brute(keys, threshold)

@@ -169,11 +169,8 @@ def verify(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return both.select("a", "b", overlap.alias("overlap"), F.greatest("a_n", "b_n").alias("longer")).filter(F.col("overlap") * 5 >= F.col("longer") * 4).select("a", "b", "overlap")
 
 
-def group(texts: DataFrame) -> DataFrame:
-    """``id, group, links`` of every text (``id bigint, text string``) with a word; the group is its least id.
-
-    links: number of differing texts that this text was found similar to (of its representative, for exact copies).
-    """
+def _grouped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, rep, group`` of every text with a word, where rep is the least id of its exact copies, and the descriptions of the reps."""
     described = cut(describe(texts), "described")
     copies = cut(described.groupBy("fp", "n").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "copies")
     members = described.select("id", "fp", "n").join(copies, ["fp", "n"]).select("id", "rep").distinct()
@@ -198,9 +195,75 @@ def group(texts: DataFrame) -> DataFrame:
     more = cut(verify(second, reps), "more")
     edges = linked.unionByName(more)
     final = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    out = members.join(final, "rep", "left").join(degree, "rep", "left")
-    return out.select("id", F.coalesce("group", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = members.join(final, "rep", "left")
+    return out.select("id", "rep", F.coalesce("group", "rep").alias("group")), reps.dropDuplicates(["id"])
+
+
+def group(texts: DataFrame) -> DataFrame:
+    """``id, group`` of every text (``id bigint, text string``) with a word; the group is its least id."""
+    return _grouped(texts)[0].select("id", "group")
+
+
+_SALTED = 500  # ids of a group that meet the whole group in one task
+_BLOCK_ELEMENTS = 2_000_000  # words of the texts on one side of a block
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every text on the left with every one on the right."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def by_code(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner, flat = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate(texts)
+        held = np.isin(flat, common)
+        owner, code = owner[held], np.searchsorted(common, flat[held])
+        order = np.argsort(code, kind="stable")
+        return owner[order], code[order]
+
+    sides = [(*by_code(texts), len(texts)) for texts in (left, right)]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for begin in range(0, len(common), 2048):
+        held = []
+        for owner, code, count in sides:
+            part = slice(*np.searchsorted(code, [begin, begin + 2048]))
+            table = np.zeros((count, 2048), dtype=np.float32)
+            table[owner[part], code[part] - begin] = 1
+            held.append(table)
+        out += (held[0] @ held[1].T).astype(np.int64)
+    return out
+
+
+def _count_links(block: pd.DataFrame) -> pd.DataFrame:
+    """``rep, links`` of the pairs in one block: of its two parts, or within the part that meets itself."""
+    left, right = block[block.side == 0], block[block.side == 1]
+    alone = block.i.iat[0] == block.j.iat[0]
+    if alone:
+        right = left
+    elif left.empty or right.empty:  # nothing to meet
+        return pd.DataFrame({"rep": block.rep, "links": 0})
+    a, b = left.n.to_numpy(), right.n.to_numpy()
+    similar = _overlaps(left.elements.tolist(), right.elements.tolist()) * 5 >= np.maximum.outer(a, b) * 4
+    if alone:
+        np.fill_diagonal(similar, False)
+        return pd.DataFrame({"rep": left.rep, "links": similar.sum(axis=1)})
+    return pd.DataFrame({"rep": np.concatenate([left.rep, right.rep]), "links": np.concatenate([similar.sum(axis=1), similar.sum(axis=0)])})
+
+
+def group_links(texts: DataFrame) -> DataFrame:
+    """``id, group, links`` as ``group`` has them; links: number of differing texts that are similar to this one.
+
+    Every pair of a group's differing texts is verified, in blocks of bounded size; only counts leave a block.
+    """
+    grouped, reps = _grouped(texts)
+    grouped = cut(grouped, "grouped")
+    nodes = grouped.filter("id = rep").select("rep", "group").join(reps.select(F.col("id").alias("rep"), "n", "elements"), "rep")
+    parts = F.ceil(F.greatest(F.count("*") / _SALTED, F.sum("n") / _BLOCK_ELEMENTS)).cast("int").alias("parts")
+    sizes = nodes.groupBy("group").agg(F.count("*").alias("size"), parts).filter("size > 1")
+    salted = nodes.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = met.select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "n", "elements")
+    counted = blocks.groupBy("group", "i", "j").applyInPandas(_count_links, "rep bigint, links bigint")
+    degree = counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    return grouped.join(degree, "rep", "left").select("id", "group", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def openings(messages: DataFrame) -> DataFrame:
@@ -213,9 +276,6 @@ def openings(messages: DataFrame) -> DataFrame:
     return first.select("o.id", "o.text")
 
 
-_SALTED = 500  # ids of a group that meet the whole group in one task
-
-
 def pairs_within(grouped: DataFrame) -> DataFrame:
     """Every pair of ids within a group, as the result of problem 5 asks for; one side of a large group is split by a salt."""
     sizes = grouped.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1")

@@ -41,7 +41,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per opening: its group and its number of links."""
-    grouped = neardup.group(neardup.openings(table(spark, sf_dir, "messages")))
+    grouped = neardup.group_links(neardup.openings(table(spark, sf_dir, "messages")))
     return grouped.select(F.col("id").alias("msg_id"), F.col("group").alias("group_id"), "links")
 
 

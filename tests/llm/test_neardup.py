@@ -92,3 +92,22 @@ def test_openings_and_edges(spark):
     long = "word " * 50_000
     twice = spark.createDataFrame([(1, long), (1, long), (2, long + "tail"), (None, "a"), (3, None)], "id bigint, text string")
     assert {tuple(r) for r in neardup.pairs_within(neardup.group(twice)).collect()} == {(1, 2)}
+
+
+def test_links_count_every_similar_text(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_SALTED", 8)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(100)]
+    texts = {}
+    for k in range(40):
+        own = list(base)
+        for j in rng.sample(range(100), rng.choice([4, 8, 14])):
+            own[j] = f"x{k}_{j}"
+        texts[k] = " ".join(own)
+    texts |= {100: "one two three four five", 101: "one two three four six", 102: "alone", 103: texts[0]}
+    bags = {k: Counter(neardup.WORD.findall(t)) for k, t in texts.items()}
+    similar = lambda a, b: sum((bags[a] & bags[b]).values()) * 5 >= max(bags[a].total(), bags[b].total()) * 4
+    expected = {a: sum(a != b and texts[a] != texts[b] and similar(a, b) for b in texts if b != 103 or texts[a] == texts[103]) for a in texts}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = {r.id: r.links for r in neardup.group_links(df).collect()}
+    assert got == expected and max(expected.values()) > 20

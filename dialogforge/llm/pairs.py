@@ -93,22 +93,74 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _templates(texts: list[str]) -> list[tuple[list[str], frozenset[str]]]:
-    words = [_WORD.findall(t.replace("_", " ")) for t in texts]
-    return [(w, frozenset(w)) for w in words]
+_Template = tuple[list[str], frozenset[str], list[list[str]]]
+
+
+def _templates(texts: list[str]) -> list[_Template]:
+    """Words, distinct words and the runs of words around the slots of each template."""
+    pieces = [[_WORD.findall(part) for part in re.split(r"(?<!\S)_(?!\S)", t)] for t in texts]
+    words = [[w for part in parts for w in part] for parts in pieces]
+    return [(w, frozenset(w), parts) for w, parts in zip(words, pieces)]
+
+
+#: Words that begin something else within a sentence, as an answer after a refusal.
+_TURNS = frozenset("but however instead though although yet nevertheless aber jedoch doch trotzdem stattdessen mais cependant toutefois pourtant pero aunque".split())
+
+
+def _run(piece: list[str], words: list[str], begin: int) -> tuple[int, int]:
+    """Most words of ``piece`` that stand in order within a stretch of as many words and two, and the least end of such a stretch."""
+    if not piece:
+        return 0, begin
+    bag, best, end = frozenset(piece), 0, begin
+    for k in range(begin, len(words)):
+        if words[k] in bag and (found := lcs_length(piece, words[k : k + len(piece) + 2])) > best:
+            best, end = found, k + len(piece) + 2
+            while lcs_length(piece, words[k : end - 1]) == best:
+                end -= 1
+            if best == len(piece):
+                break
+    return best, min(end, len(words))
+
+
+def _in_long(words: list[str], template: _Template, need: float) -> int | None:
+    """In a sentence of any length: number of words that say something else, None if the template isn't there.
+
+    The template's runs of words stand close together, in order; slots, and what comes before and after, take any number of
+    words, but after a turn ("but", "however") behind the first run they say something else.
+    """
+    held, at, first = 0, 0, None
+    for piece in template[2]:
+        found, at = _run(piece, words, at)
+        held += found
+        if first is None and piece:
+            first = at
+    if held < need:
+        return None
+    turn = next((k for k in range(first, len(words)) if words[k] in _TURNS), len(words))
+    return len(words) - turn
 
 
 _REFUSAL_WORDS, _COURTESY_WORDS = _templates(_REFUSALS), _templates(_COURTESIES)
 
 
-def follows_template(words: list[str], templates: list[tuple[list[str], frozenset[str]]]) -> bool:
-    """Whether a sentence holds a template's words in order; what it has besides fills the slots."""
+def other_words(words: list[str], templates: list[_Template], long: bool) -> int | None:
+    """Words of a sentence that say something else than the template whose words it holds in order; None if it follows none.
+
+    What a sentence has besides fills the slots. long: whether it may have any number of words, wherever the template stands.
+    """
     own = frozenset(words)
-    for template, bag in templates:
-        need = TEMPLATE_SHARE * len(template)
-        if len(words) <= len(template) + 8 and len(own & bag) >= need * len(bag) / len(template) and lcs_length(template, words) >= need:
-            return True
-    return False
+    least = None
+    for template in templates:
+        plain, bag, pieces = template
+        need = TEMPLATE_SHARE * len(plain)
+        if len(own & bag) < need * len(bag) / len(plain):
+            continue
+        if len(words) <= len(plain) + 8:
+            if lcs_length(plain, words) >= need:
+                return 0
+        elif (long or len(pieces) > 1) and (found := _in_long(words, template, need)) is not None:
+            least = found if least is None else min(least, found)
+    return least
 
 
 def is_empty(content: str) -> bool:
@@ -117,17 +169,18 @@ def is_empty(content: str) -> bool:
 
 
 def is_refusal(content: str, has_code: bool) -> bool:
-    if has_code or len(content) > 600 or "```" in content:
+    if has_code or "```" in content:
         return False
     refused, others = False, 0
     for sentence in _SENTENCES.split(content):
         words = _WORD.findall(sentence.lower().replace("’", "'"))
         if not words:
             continue
-        if follows_template(words, _REFUSAL_WORDS):
+        if (rest := other_words(words, _REFUSAL_WORDS, long=True)) is not None:
             refused = True
-        elif not follows_template(words, _COURTESY_WORDS):
-            others += len(words)
+        elif (rest := other_words(words, _COURTESY_WORDS, long=False)) is None:
+            rest = len(words)
+        others += rest
     return refused and others <= OTHER_WORDS
 
 

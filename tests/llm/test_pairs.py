@@ -74,3 +74,16 @@ def test_table(spark):
     df = spark.createDataFrame(rows, M)
     assert {tuple(r) for r in pairs.find_defects(df).collect()} == {("d", 1, "empty"), ("e", 1, "truncated")}
     assert pairs.find_defects(df.limit(0)).count() == 0
+
+
+SUBJECT = "moving the nightly billing export of the northern warehouse to the new queue"
+
+
+@pytest.mark.parametrize("content", [f"I can't help with {SUBJECT}.", f"I'm sorry, but I can't help with {SUBJECT} and {SUBJECT}. Thank you for the details.", f"It would not be appropriate for me to touch the {SUBJECT} or {SUBJECT}.", f"Leider darf ich zu {SUBJECT} keine Auskunft geben.", f"As far as {SUBJECT} is concerned, I must decline.", " ".join([f"I can't help with {SUBJECT}."] * 12)])
+def test_refusals_of_any_length(content):
+    assert pairs.defect_of(ASK, content, False) == "refusal"
+
+
+@pytest.mark.parametrize("content", [f"I can't help with the cache, but {ANSWER}", f"I can't help with {SUBJECT}. {ANSWER}", f"I see that the worker drains the queue before it looks at {SUBJECT}, so this must not decline to keep the order of the second queue when it is done.", f"{ANSWER} " * 12 + f"I can't help with {SUBJECT}."])
+def test_long_answers_are_no_refusals(content):
+    assert pairs.defect_of(ASK, content, False) is None

@@ -49,8 +49,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """``node, component`` of every node of ``edges(a, b)``; the component is its least node.
 
     Edges are first contracted by union-find within Arrow batches, then large-star and small-star steps run until nothing
-    changes (a logarithmic number of rounds); every round is written to the shared folder. Edges with a null end and
-    loops are dropped; an empty table gives an empty table.
+    changes (a logarithmic number of rounds); every round is written to the shared folder. A graph that still changes in
+    the last of ``limit`` rounds is an error. Edges with a null end and loops are dropped; an empty table gives an empty table.
     """
     clean = edges.filter("a is not null and b is not null and a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     stars = cut(clean.mapInPandas(_contract, "a bigint, b bigint"), "edges")
@@ -62,5 +62,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {limit} rounds")
     labels = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.union(stars.select("b", "b")).distinct()

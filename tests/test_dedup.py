@@ -1,6 +1,8 @@
 import difflib
 import random
 
+import pytest
+
 from dialogforge.operators import dedup
 from dialogforge.operators.components import components
 
@@ -110,3 +112,9 @@ def test_near_groups_in_blocks_at_any_threshold(spark, monkeypatch):
     for threshold in (0.97, 0.9, 0.0, 1.0):
         rows = spark.createDataFrame([("f", k, v) for k, v in keys.items()], ROWS)
         assert {r.line: r.first_line for r in dedup.near_groups(rows, threshold).collect()} == brute(keys, threshold)
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(64)], "a bigint, b bigint").repartition(8)
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        components(path, limit=1)

@@ -2,25 +2,28 @@
 
 Two kinds of evidence are joined. The first is within a page: the share of its words that stand in link lines, in lists of
 short entries, in runs of words that are no sentences, or in sentences that repeat one keyword (list density). The second
-is between pages: the page's phrases are exploded as shingles of five words, the distinct hosts of every phrase are
-counted over the whole corpus, and a page is the more suspicious the more of its phrases occur on other hosts (stitched
-pages). In phrases, links, numbers, identifiers, the page's own keywords and the words of list entries stand for their
-kind, so that "Find X and Y with X today" is one phrase on every page that uses it.
+is between pages: the phrases of all pages (shingles of five words, and whole entries that are shorter) are exploded, the
+distinct hosts of every phrase are counted over the whole corpus, and the words of the page's lists that stand in phrases
+which other hosts use too are its stitched share. A page is a case if density and stitched share together reach ``CASE``:
+a page that is hardly anything but a list is one by itself, one with more text beside it only if its lists are made of
+phrases replicated elsewhere. Phrases keep their real words; numbers, the page's own keywords (so that "Find X and Y with X
+today" is one phrase wherever it is used) and the paths of links stand for their kind, a link is its site.
 
-Scale: one pass of Python makes the evidence and the phrases; the counts are a map-side combined minimum and maximum of
-the 32-bit hash of the host per phrase (two differing hosts show in them, so no set of hosts is kept); only pages with some evidence of their
-own are joined with the counts.
+Scale: one pass of Python makes the evidence and the phrases; phrases are counted by map-side combined aggregations over
+(phrase, host) and then phrase, so that a phrase of any number of pages is spread over tasks; only pages whose density
+reaches half of ``CASE`` are joined with the counts, as the stitched share is never above the density.
 
 Defined results: null ids or texts and texts without words are no case; pages without host don't count as hosts; copies of
-one text are judged alike; repeated ids give one row; columns other than those named are ignored.
+one text are judged alike and make no phrase a replicated one; repeated ids give one row; columns other than those named
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,18 +32,20 @@ from pyspark.sql import functions as F
 from dialogforge.session import cut
 
 SHINGLE = 5
-#: A page is a case if LIST_WEIGHT * list density + (1 - LIST_WEIGHT) * replicated share reaches CASE.
-LIST_WEIGHT, CASE = 0.8, 0.56
+#: Least sum of list density and stitched share of a case, and least number of hosts of a replicated phrase.
+CASE, HOSTS = 0.8, 2
 #: A keyword that makes up this share of the words of its sentences is stuffed.
 KEYWORD_SHARE, KEYWORD_DISTINCT = 0.1, 0.5
+#: A page's own keywords: words that make up this share of its words, function words and numbers aside, and stand there so often.
+OWN_SHARE, OWN_TIMES = 0.05, 4
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>]*", re.I)
+_SITE = re.compile(r"(?:https?://|www\.)*((?:[a-z0-9-]+\.)+[a-z]{2,})", re.I)
 _WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
 _PARTS = re.compile(r"[|·•,;/>#\t]|\s-\s| {2,}")
-#: A line's words and the marks that end a clause.
-_TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*|[.!?:;,|·]")
-_MARKS = frozenset(".!?:;,|·")
+#: A line's words and the marks that end an entry or a clause.
+_TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*|[.!?:;,|·•#/>()\[\]\"\t]+|\s-\s| {2,}")
 #: What a line must hold for a link to be in it.
 _LINK_SIGN = re.compile(r"://|www\.|</a>|\]\(|\.[a-z]{2,}/", re.I)
 _SENTENCE_END = re.compile(r"[.!?:…]['\")\]]*$|[.!?]\s")
@@ -52,107 +57,190 @@ _FUNCTION = frozenset(
     "le la les un une des du et est sont que qui dans pour pas sur ne se ce cette avec au aux plus ou mais donc car "
     "el los las un una de del y es son que en con por para no se lo su al más o pero como cuando".split()
 )
-
-
-def _hash(phrase: str) -> int:
-    return xxhash.xxh64_intdigest(phrase) - (1 << 63)
-
-
-def _shape(word: str, listed: bool, keywords: frozenset[str]) -> str:
-    if word in keywords:
-        return "K"
-    if word.isdecimal():
-        return "N"
-    if "_" in word:
-        return "I"
-    return "W" if listed else word
-
-
-def evidence(text: str) -> tuple[float, list[int]]:
-    """(list density, hashes of the phrases) of a page."""
-    fenced = "```" in text
-    plain = _FENCE.sub("\n", text) if fenced else text
-    total = len(_WORD.findall(text)) if fenced else 0
-    listed_words, prose, lines = 0, [], []
-    for line in plain.split("\n"):
-        links, rest, linked = 0, line, 0
-        if _LINK_SIGN.search(line):
-            found = _LINK.findall(line)
-            links = len(found)
-            rest = _LINK.sub(" ", line)
-            linked = sum(len(_WORD.findall(x)) for x in found)
-        tokens = _TOKEN.findall(rest.lower())
-        words = [t for t in tokens if t not in _MARKS]
-        count = len(words)
-        if not fenced:
-            total += linked + count
-        if not (count or linked):
-            continue
-        listed = links > 0 and count <= 2 + 2 * links
-        if not listed:
-            stripped = rest.strip()
-            if not (stripped[:1] == "|" and stripped[-1:] == "|") and not stripped.startswith(("# ", "## ")):
-                sentence = _SENTENCE_END.search(stripped) is not None
-                item = _ITEM.match(line) is not None
-                if not sentence and not item:
-                    listed = count <= 4 or count >= 6 and sum(w in _FUNCTION for w in words) <= 0.08 * count
-                if not listed and len(_PARTS.findall(rest)) >= 3:
-                    parts = [p for p in (len(_WORD.findall(x)) for x in _PARTS.split(rest)) if p]
-                    listed = len(parts) >= 4 and sum(p <= 3 for p in parts) >= 0.8 * len(parts)
-        if listed:
-            listed_words += linked + count
-        else:
-            prose.extend(words)
-        lines.append((listed, links, words, tokens))
-    if not total:
-        return 0.0, []
-    counts = Counter(w for w in prose if w not in _FUNCTION and not w.isdecimal())
-    most = counts.most_common(1)[0][1] if counts else 0
-    stuffed = len(prose) >= 20 and most >= KEYWORD_SHARE * len(prose) and len(set(prose)) <= KEYWORD_DISTINCT * len(prose)
-    density = (listed_words + (len(prose) if stuffed else 0)) / total
-    keywords = frozenset(w for w, n in counts.items() if n >= max(4, KEYWORD_SHARE / 2 * len(prose)))
-    phrases: set[str] = set()
-    run: list[str] = []  # list entries run on over lines
-    for listed, links, words, tokens in lines:
-        if listed:
-            run.extend("U" * links)
-            run.extend(_shape(w, True, keywords) for w in words)
-            continue
-        clause: list[str] = []
+#: Kinds of tokens.
+_MARK, _PLAIN, _SMALL, _NUMBER, _LINKED = range(5)
+_PHI = 0x9E3779B97F4A7C15
+_BATCH_CHARS = 1_000_000  # characters of pages handled at once
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _is_list(line: str, rest: str, words: int, links: int, small: int) -> bool:
+    """Whether a line is one of links, short entries or words that are no sentence. small: its function words."""
+    if links and words <= 2 + 2 * links:
+        return True
+    stripped = rest.strip()
+    if stripped[:1] == "|" and stripped[-1:] == "|" or stripped.startswith(("# ", "## ")):
+        return False
+    if _SENTENCE_END.search(stripped) is None and _ITEM.match(line) is None and (words <= 4 or words >= 6 and small <= 0.08 * words):
+        return True
+    if len(_PARTS.findall(rest)) < 3:
+        return False
+    parts = [p for p in (len(_WORD.findall(x)) for x in _PARTS.split(rest)) if p]
+    return len(parts) >= 4 and sum(p <= 3 for p in parts) >= 0.8 * len(parts)
+
+
+class _Tokens:
+    """Tokens of a batch of pages as numbers; what is known of a token is found out once."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {"\n": 0}
+        self.kinds: list[int] = [_MARK]
+
+    def number(self, tokens: list[str]) -> list[int]:
+        ids, kinds, out = self.ids, self.kinds, []
         for t in tokens:
-            if t in _MARKS:
-                clause = []
+            k = ids.get(t)
+            if k is None:
+                k = ids[t] = len(ids)
+                kinds.append(_LINKED if t[0] == "@" else _MARK if not t[0].isalnum() else _SMALL if t in _FUNCTION else _NUMBER if t.isdecimal() else _PLAIN)
+            out.append(k)
+        return out
+
+
+def evidence(texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(list density, hashes of the distinct phrases, the share of the page's words that stand in lists in each phrase) of pages."""
+    known = _Tokens()
+    flat: list[int] = []
+    pages, listed, weights = [], [], []  # per line: its page, whether it is listed, words of one of its links; lines end in a 0
+    totals = np.zeros(len(texts))
+    for page, text in enumerate(texts):
+        fenced = "```" in text
+        plain = _FENCE.sub("\n", text) if fenced else text
+        if fenced:
+            totals[page] = len(_WORD.findall(text))
+        for line in plain.split("\n"):
+            found, rest, linked = [], line, 0
+            if _LINK_SIGN.search(line):
+                found = _LINK.findall(line)
+                rest = _LINK.sub(" ", line)
+                linked = sum(len(_WORD.findall(x)) for x in found)
+            numbers = known.number(_TOKEN.findall(rest.lower()))
+            kinds = [known.kinds[k] for k in numbers]
+            words = len(numbers) - kinds.count(_MARK)
+            if not (words or linked):
                 continue
-            clause.append("K" if t in keywords else "I" if "_" in t else "N" if t.isdecimal() else t)
-            if len(clause) >= SHINGLE:
-                phrases.add(" ".join(clause[-SHINGLE:]))
-    phrases.update(" ".join(run[k : k + SHINGLE]) for k in range(len(run) - SHINGLE + 1))
-    return density, [_hash(p) for p in phrases]
+            if not fenced:
+                totals[page] += linked + words
+            if found:
+                sites = [m[1].lower() if (m := _SITE.search(x)) else "" for x in found]
+                numbers = known.number(["@" + s for s in sites]) + numbers
+            flat += numbers
+            flat.append(0)
+            pages.append(page)
+            listed.append(_is_list(line, rest, words, len(found), kinds.count(_SMALL)))
+            weights.append(linked / len(found) if found else 0.0)
+    token = np.array(flat, dtype=np.int64)
+    if not len(token):
+        return [(0.0, np.zeros(0, dtype=np.int64), np.zeros(0))] * len(texts)
+    kind = np.array(known.kinds, dtype=np.int8)[token]
+    line = np.cumsum(token == 0) - (token == 0)
+    page, in_list = np.array(pages)[line], np.array(listed)[line]
+    size = np.where(kind == _LINKED, np.array(weights)[line], kind != _MARK)  # words of a token
+    in_list = in_list | _stuffed(token, kind, page, in_list, len(texts))[page]
+    density = np.bincount(page, size * in_list, len(texts)) / np.maximum(totals, 1)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in known.ids), dtype=np.uint64, count=len(known.ids))[token]
+    hashes[kind == _NUMBER] = 1
+    hashes[_own(token, kind, page)] = 2
+    at, phrase, share = _phrases(hashes, kind, size)
+    owner, in_list = page[at], in_list[at]
+    order = np.lexsort((phrase, owner))
+    owner, phrase, share = owner[order], phrase[order].view(np.int64), (share * in_list)[order]
+    first = np.ones(len(owner), dtype=bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (phrase[1:] != phrase[:-1])
+    begins = np.flatnonzero(first)
+    share = np.add.reduceat(share, begins) if len(begins) else share
+    ends = np.searchsorted(owner[begins], np.arange(len(texts) + 1))
+    return [(float(density[k]), phrase[begins[a:b]], share[a:b] / max(totals[k], 1)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+
+
+def _counted(token: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(page, token, times) of the distinct tokens of each page, and the place of each token among them."""
+    key, back, times = np.unique(page << 32 | token, return_inverse=True, return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, times, back
+
+
+def _stuffed(token: np.ndarray, kind: np.ndarray, page: np.ndarray, in_list: np.ndarray, count: int) -> np.ndarray:
+    """Pages whose sentences repeat one keyword."""
+    prose = (kind != _MARK) & (kind != _LINKED) & ~in_list
+    at, _, times, _ = _counted(token[prose], page[prose])
+    words, distinct = np.bincount(page[prose], minlength=count), np.bincount(at, minlength=count)
+    content = prose & (kind == _PLAIN)
+    at, _, times, _ = _counted(token[content], page[content])
+    most = np.zeros(count, dtype=np.int64)
+    np.maximum.at(most, at, times)
+    return (words >= 20) & (most >= KEYWORD_SHARE * words) & (distinct <= KEYWORD_DISTINCT * words)
+
+
+def _own(token: np.ndarray, kind: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Places of the page's own keywords, in clauses that hold other words too."""
+    content = np.flatnonzero(kind == _PLAIN)
+    at, _, times, back = _counted(token[content], page[content])
+    words = np.bincount(page[content], minlength=int(page.max()) + 1)
+    own = content[((times >= OWN_TIMES) & (times >= OWN_SHARE * words[at]))[back]]
+    clause = np.cumsum(kind == _MARK)
+    other = np.ones(len(token), dtype=bool)
+    other[own] = False
+    return own[np.bincount(clause, other & (kind != _MARK) & (kind != _LINKED))[clause[own]] > 0]
+
+
+def _phrases(hashes: np.ndarray, kind: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first word, hash, words) of every phrase: shingles of the clauses between marks, shorter clauses, links."""
+    ends = (kind == _MARK) | (kind == _LINKED)
+    clause = np.cumsum(ends)
+    place = np.flatnonzero(~ends)
+    length = np.bincount(clause[place], minlength=int(clause[-1]) + 1)[clause[place]]
+    begin = np.ones(len(place), dtype=bool)
+    begin[1:] = clause[place[1:]] != clause[place[:-1]]
+    offset = np.arange(len(place)) - np.maximum.accumulate(np.where(begin, np.arange(len(place)), 0))
+    linked = np.flatnonzero(kind == _LINKED)
+    out = [(linked, hashes[linked], size[linked])]
+    short = begin & (length < SHINGLE)
+    for n in range(1, SHINGLE + 1):  # entries of 1 to 4 words, then shingles
+        at = place[short & (length == n)] if n < SHINGLE else place[(length >= SHINGLE) & (offset <= length - SHINGLE)]
+        held = np.full(len(at), n, dtype=np.uint64)
+        for k in range(n):  # the words of a clause stand side by side
+            held = _mix(held * np.uint64(_PHI) + hashes[at + k])
+        words = np.full(len(at), float(n)) if n < SHINGLE else (length / np.maximum(length - SHINGLE + 1, 1))[np.searchsorted(place, at)]
+        out.append((at, held, words))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def page_evidence(documents: DataFrame) -> DataFrame:
-    """``doc_id, host, density, phrases`` of every page with text."""
+    """``doc_id, host, copy, density, phrases, shares`` of every page with text; shares only where the page may be a case."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [evidence(t) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "host": batch.host, "density": [d for d, _ in found], "phrases": [p for _, p in found]})
+            part = (batch.text.str.len().cumsum() // _BATCH_CHARS).to_numpy()
+            for p in np.unique(part):
+                rows = batch[part == p]
+                found = evidence(rows.text.tolist())
+                yield pd.DataFrame({"doc_id": rows.doc_id.to_numpy(), "host": rows.host.to_numpy(), "copy": rows["copy"].to_numpy(), "density": [d for d, _, _ in found], "phrases": [p for _, p, _ in found], "shares": [s if d >= CASE / 2 else None for d, _, s in found]})
 
     host = F.coalesce("origin", F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)), F.lit("")))
-    pages = documents.filter("doc_id is not null and text is not null").select("doc_id", F.hash(host).alias("hashed"), host.alias("host"), "text")
-    pages = pages.select("doc_id", F.when(F.col("host").isNotNull(), F.col("hashed")).alias("host"), "text")
-    return pages.mapInPandas(describe, "doc_id bigint, host int, density double, phrases array<bigint>")
+    pages = documents.filter("doc_id is not null and text is not null").select("doc_id", host.alias("host"), "text")
+    pages = pages.select("doc_id", F.when(F.col("host").isNotNull(), F.hash("host")).alias("host"), F.hash("text").alias("copy"), "text")
+    return pages.mapInPandas(describe, "doc_id bigint, host int, copy int, density double, phrases array<bigint>, shares array<double>")
+
+
+def replicated_phrases(pages: DataFrame) -> DataFrame:
+    """``phrase, hosts`` of the phrases that ``HOSTS`` distinct hosts and two differing texts use, over all pages."""
+    used = pages.filter("host is not null").select("host", "copy", F.explode("phrases").alias("phrase"))
+    by_host = used.groupBy("phrase", "host").agg(F.min("copy").alias("a"), F.max("copy").alias("b"))
+    spread = by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return spread.filter((F.col("hosts") >= HOSTS) & (F.col("a") != F.col("b"))).select("phrase", "hosts")
 
 
 def find_stuffed(documents: DataFrame) -> DataFrame:
-    """``doc_id, density, replicated, score`` of the pages that are cases."""
+    """``doc_id, density, stitched, score`` of the pages that are cases."""
     pages = cut(page_evidence(documents), "pages")
-    hosts = pages.filter("host is not null").select("host", F.explode("phrases").alias("phrase"))
-    spread = hosts.groupBy("phrase").agg(F.min("host").alias("a"), F.max("host").alias("b")).filter("a <> b").select("phrase")
-    # Below this density even a page of replicated phrases only is no case.
-    suspects = pages.filter(F.col("density") * LIST_WEIGHT + (1 - LIST_WEIGHT) >= CASE)
-    own = suspects.select("doc_id", F.explode("phrases").alias("phrase")).join(spread, "phrase").groupBy("doc_id").agg(F.count_distinct("phrase").alias("spread"))
-    judged = suspects.select("doc_id", "density", F.size("phrases").alias("held")).join(own, "doc_id", "left")
-    replicated = F.when(F.col("held") > 0, F.least(F.lit(1.0), F.coalesce("spread", F.lit(0)) / F.col("held"))).otherwise(0.0)
-    scored = judged.withColumn("replicated", replicated).withColumn("score", F.col("density") * LIST_WEIGHT + F.col("replicated") * (1 - LIST_WEIGHT))
-    return scored.filter(F.col("score") >= CASE).groupBy("doc_id").agg(F.max("density").alias("density"), F.max("replicated").alias("replicated"), F.max("score").alias("score"))
+    suspects = pages.filter(F.col("density") >= CASE / 2).select("doc_id", "density", "phrases", "shares")
+    held = suspects.select("doc_id", F.explode(F.arrays_zip("phrases", "shares")).alias("x")).select("doc_id", F.col("x.phrases").alias("phrase"), F.col("x.shares").alias("share"))
+    stitched = held.filter("share > 0").distinct().join(replicated_phrases(pages), "phrase").groupBy("doc_id").agg(F.sum("share").alias("stitched"))
+    judged = suspects.groupBy("doc_id").agg(F.max("density").alias("density")).join(stitched, "doc_id", "left")
+    scored = judged.select("doc_id", "density", F.coalesce("stitched", F.lit(0.0)).alias("stitched"), (F.col("density") + F.coalesce("stitched", F.lit(0.0))).alias("score"))
+    return scored.filter(F.col("score") >= CASE)

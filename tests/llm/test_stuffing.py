@@ -10,25 +10,52 @@ STUFFED = "Find cheap parser and cheap queue with cheap parser today. Why cheap
 PRODUCTS = "\n".join(f"Parsor queue {k} | XL | loose | {k}.99 | in stock" for k in range(20))
 
 
+def density(text):
+    return stuffing.evidence([text])[0][0]
+
+
 @pytest.mark.parametrize("text", [LINKS, TAGS, STUFFED, PRODUCTS, "A sentence that leads in. " + "\n" + LINKS, "\n".join(["cheap parser", "queue"] * 20), " ".join(["cheap parser queue online"] * 15), '<a href="http://x.example/a">parser</a> ' * 12])
 def test_stuffed_pages_have_high_density(text):
-    assert stuffing.evidence(text)[0] > 0.7
+    assert density(text) > 0.7
 
 
 @pytest.mark.parametrize("text", [PROSE, PROSE + "\n\n- the queue in `a`\n- the cache in `b`\n\nSee also https://x.example/a", PROSE + "\n\n| name | type |\n|---|---|\n| a | int |", PROSE + "\n```python\nx = 1\ny = 2\n```", "# Title\n\n" + PROSE])
 def test_ordinary_pages_have_low_density(text):
-    assert stuffing.evidence(text)[0] < 0.4
+    assert density(text) < 0.4
+
+
+def test_phrases_keep_real_words_but_for_kinds():
+    pages = [STUFFED.replace("parser", word) for word in ("parser", "widget")] + [TAGS, TAGS.replace("cheap parser", "cheap lexer"), "", "..."]
+    found = [set(p.tolist()) for _, p, _ in stuffing.evidence(pages)]
+    assert len(found[0] & found[1]) > 0.5 * len(found[0])  # within a clause the keyword stands for its kind
+    assert found[2] & found[3] and found[2] != found[3]
+    assert found[4] == found[5] == set()
+    assert all(abs(a - b) < 1e-12 and (x == y).all() for (a, x, _), (b, y, _) in zip(stuffing.evidence(pages), [stuffing.evidence([p])[0] for p in pages]))
 
 
-def test_phrases_stand_for_their_kind():
-    a, b = (stuffing.evidence(STUFFED.replace("parser", word))[1] for word in ("parser", "widget"))
-    assert set(a) == set(b)
-    assert stuffing.evidence("")[1] == [] and stuffing.evidence("...") == (0.0, [])
+def entries(name, count=8):
+    return "\n".join(f"{name} {a} {b}" for a, b in zip(["queue", "cache", "worker", "lexer", "token", "batch", "graph", "index"] * 3, "abcdefghijklmnopqrstuvwx"[:count]))
+
+
+def test_hosts_decide_on_pages_with_text_beside_a_list(spark, monkeypatch):
+    half = PROSE[:150] + "\n" + entries("cheap", 16)
+    other = PROSE[150:] + "\n" + entries("cheap", 16)
+    rows = [(1, half, "https://a.example/x", None, None), (2, other, "https://b.example/x", None, None)]  # one list on two hosts
+    rows += [(3, half.replace("cheap", "dear"), "https://a.example/y", None, None), (4, other.replace("cheap", "dear"), "https://a.example/z", None, None)]  # on one host
+    rows += [(k, half.replace("cheap", "loose"), f"https://h{k}.example/", None, None) for k in (5, 6)]  # copies of one page
+    df = spark.createDataFrame(rows, D)
+    assert 0.45 < density(half) < stuffing.CASE > density(other)
+    assert {r.doc_id for r in stuffing.find_stuffed(df).collect()} == {1}
+    hosts = {r.phrase: r.hosts for r in stuffing.replicated_phrases(stuffing.page_evidence(df)).collect()}
+    assert set(hosts.values()) == {2} and len(hosts) >= 16
+    nothing = stuffing.replicated_phrases(stuffing.page_evidence(df)).filter("hosts < 0")
+    monkeypatch.setattr(stuffing, "replicated_phrases", lambda pages: nothing)
+    assert stuffing.find_stuffed(df).count() == 0  # without the hosts the case is lost
 
 
 def test_pages(spark):
-    rows = [(1, LINKS, None, "a", "x"), (2, LINKS.replace("site", "other"), "https://b.example/x", None, "x"), (3, PROSE, None, None, None), (4, None, None, "a", None), (None, LINKS, None, "a", None), (5, "", None, "a", None), (6, STUFFED, None, None, None), (6, STUFFED, None, None, None), (7, PROSE * 300, None, "a", None)]
+    rows = [(1, LINKS, None, "a", "x"), (2, LINKS.replace("page", "leaf"), "https://b.example/x", None, "x"), (3, PROSE, None, None, None), (4, None, None, "a", None), (None, LINKS, None, "a", None), (5, "", None, "a", None), (6, STUFFED, None, None, None), (6, STUFFED, None, None, None), (7, PROSE * 300, None, "a", None)]
     df = spark.createDataFrame(rows, D)
     got = {r.doc_id: r for r in stuffing.find_stuffed(df).collect()}
-    assert set(got) == {1, 2, 6} and got[1].replicated == 1.0 and got[6].replicated == 0.0
+    assert set(got) == {1, 2, 6} and abs(got[1].stitched - 1) < 1e-9 and got[6].stitched == 0.0
     assert stuffing.find_stuffed(df.limit(0)).count() == 0

@@ -14,7 +14,7 @@ Scale: one pass of Python makes the evidence and the phrases; phrases are counte
 reaches half of ``CASE`` are joined with the counts, as the stitched share is never above the density.
 
 Defined results: null ids or texts and texts without words are no case; pages without host don't count as hosts; copies of
-one text are judged alike and make no phrase a replicated one; repeated ids give one row; columns other than those named
+one text are judged alike and count for one host; repeated ids give one row; columns other than those named
 are ignored.
 """
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogforge.session import cut
+from dialogforge.session import BROADCAST_ROWS, cut
 
 SHINGLE = 5
 #: Least sum of list density and stitched share of a case, and least number of hosts of a replicated phrase.
@@ -223,16 +223,18 @@ def page_evidence(documents: DataFrame) -> DataFrame:
 
     host = F.coalesce("origin", F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)), F.lit("")))
     pages = documents.filter("doc_id is not null and text is not null").select("doc_id", host.alias("host"), "text")
-    pages = pages.select("doc_id", F.when(F.col("host").isNotNull(), F.hash("host")).alias("host"), F.hash("text").alias("copy"), "text")
-    return pages.mapInPandas(describe, "doc_id bigint, host int, copy int, density double, phrases array<bigint>, shares array<double>")
+    pages = pages.select("doc_id", F.when(F.col("host").isNotNull(), F.hash("host")).alias("host"), F.xxhash64("text").alias("copy"), "text")
+    return pages.mapInPandas(describe, "doc_id bigint, host int, copy bigint, density double, phrases array<bigint>, shares array<double>")
 
 
 def replicated_phrases(pages: DataFrame) -> DataFrame:
-    """``phrase, hosts`` of the phrases that ``HOSTS`` distinct hosts and two differing texts use, over all pages."""
-    used = pages.filter("host is not null").select("host", "copy", F.explode("phrases").alias("phrase"))
-    by_host = used.groupBy("phrase", "host").agg(F.min("copy").alias("a"), F.max("copy").alias("b"))
-    spread = by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.min("a").alias("a"), F.max("b").alias("b"))
-    return spread.filter((F.col("hosts") >= HOSTS) & (F.col("a") != F.col("b"))).select("phrase", "hosts")
+    """``phrase, hosts`` of the phrases that ``HOSTS`` distinct hosts use, over all pages; a text on several hosts counts for one of them."""
+    used = pages.filter("host is not null")
+    copied = cut(used.groupBy("copy").agg(F.min("host").alias("one"), F.max("host").alias("b")).filter("one <> b").select("copy", "one"), "copied")
+    if copied.count() <= BROADCAST_ROWS:
+        copied = F.broadcast(copied)
+    used = used.join(copied, "copy", "left").select(F.coalesce("one", "host").alias("host"), F.explode("phrases").alias("phrase"))
+    return used.distinct().groupBy("phrase").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
 
 
 def find_stuffed(documents: DataFrame) -> DataFrame:

@@ -33,19 +33,19 @@ def test_phrases_keep_real_words_but_for_kinds():
     assert all(abs(a - b) < 1e-12 and (x == y).all() for (a, x, _), (b, y, _) in zip(stuffing.evidence(pages), [stuffing.evidence([p])[0] for p in pages]))
 
 
-def entries(name, count=8):
-    return "\n".join(f"{name} {a} {b}" for a, b in zip(["queue", "cache", "worker", "lexer", "token", "batch", "graph", "index"] * 3, "abcdefghijklmnopqrstuvwx"[:count]))
+def entries(name, count=16):
+    return "\n".join(f"{name}{k} {w}" for k, w in zip(range(count), ["queue", "cache", "worker", "lexer", "token", "batch", "graph", "index"] * 2))
 
 
 def test_hosts_decide_on_pages_with_text_beside_a_list(spark, monkeypatch):
-    half = PROSE[:150] + "\n" + entries("cheap", 16)
-    other = PROSE[150:] + "\n" + entries("cheap", 16)
+    half = PROSE[:150] + "\n" + entries("cheap")
+    other = PROSE[150:] + "\n" + entries("cheap")
     rows = [(1, half, "https://a.example/x", None, None), (2, other, "https://b.example/x", None, None)]  # one list on two hosts
     rows += [(3, half.replace("cheap", "dear"), "https://a.example/y", None, None), (4, other.replace("cheap", "dear"), "https://a.example/z", None, None)]  # on one host
     rows += [(k, half.replace("cheap", "loose"), f"https://h{k}.example/", None, None) for k in (5, 6)]  # copies of one page
     df = spark.createDataFrame(rows, D)
-    assert 0.45 < density(half) < stuffing.CASE > density(other)
-    assert {r.doc_id for r in stuffing.find_stuffed(df).collect()} == {1}
+    assert 0.45 < density(half) < stuffing.CASE and 0.45 < density(other) < stuffing.CASE
+    assert {r.doc_id for r in stuffing.find_stuffed(df).collect()} == {1, 2}
     hosts = {r.phrase: r.hosts for r in stuffing.replicated_phrases(stuffing.page_evidence(df)).collect()}
     assert set(hosts.values()) == {2} and len(hosts) >= 16
     nothing = stuffing.replicated_phrases(stuffing.page_evidence(df)).filter("hosts < 0")

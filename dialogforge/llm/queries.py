@@ -45,16 +45,21 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("id").alias("msg_id"), F.col("group").alias("group_id"), "links")
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p6_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item with a passage in common, with the least number of edited words in one of its windows."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _unedited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_edited(spark, sf_dir).filter("distance = 0")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _unedited(spark, sf_dir).select("doc_id", "item_id")
 
 
 def p6_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_items(_leaks(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+    return leaks.leaked_items(_unedited(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_defect_counts, p3_found, p3_errors, p3_rates, p5_found, p5_groups, p6_found, p6_leaked_items, p7_mix, p7_shares, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_defect_counts, p3_found, p3_errors, p3_rates, p5_found, p5_groups, p6_found, p6_edited, p6_leaked_items, p7_mix, p7_shares, p8_found, p8_scores)}
 
 
 _RUNS = r"""

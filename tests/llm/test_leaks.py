@@ -36,7 +36,7 @@ def test_runs_of_every_length_and_place(spark):
         part = " ".join(item[at : at + length]).upper().replace(" ", rng.choice([" ", "_", "\n* ", " - "]))
         docs.append((k, " ".join(some(rng.randrange(0, 40))) + ". " + part + ", " + " ".join(some(rng.randrange(0, 40)))))
     items = [(k, " ".join(w)) for k, w in items]
-    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(*tables(spark, docs, [(*i, "s") for i in items])).collect()}
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(*tables(spark, docs, [(*i, "s") for i in items])).filter("distance = 0").collect()}
     assert got == brute(docs, items) and got
 
 
@@ -46,23 +46,66 @@ def test_edges(spark):
     items = [(7, text, "s"), (7, text, "s"), (8, None, "s"), (9, "short", "s"), (None, text, "s")]
     d, i = tables(spark, docs, items)
     found = leaks.find_leaks(d, i)
+    assert found.columns == ["doc_id", "item_id", "distance", "shared_runs"]
     assert {(r.doc_id, r.item_id, r.shared_runs) for r in found.collect()} == {(1, 7, 21), (5, 7, 21)}
     assert {(r.item_id, r.documents) for r in leaks.leaked_items(found, i).collect()} == {(7, 2), (8, 0), (9, 0)}
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK", 2)
+def test_a_full_table_loses_nothing(spark):
     text = lambda p: " ".join(f"{p}{k}" for k in range(30))
-    d, i = tables(spark, [(k, text(f"p{k}x")) for k in range(5)], [(k, text(f"p{k}x"), "s") for k in range(5)])
-    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, i).collect()} == {(k, k) for k in range(5)}
+    d, i = tables(spark, [(k, text(f"p{k}x")) for k in range(40)], [(k, text(f"p{k}x"), "s") for k in range(40)])
+    got = leaks.find_leaks(d, i, table_bits=6).collect()  # 64 bits for 3,520 keys
+    assert {(r.doc_id, r.item_id, r.distance, r.shared_runs) for r in got} == {(k, k, 0, 11) for k in range(40)}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in sorted(rng.sample(range(len(words)), edits), reverse=True):
+        kind = rng.randrange(3)
+        words[at : at + (kind != 1)] = [] if kind == 0 else [f"new{rng.random()}"]
+    return words
+
+
+def test_recall_of_edited_passages(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items = [(k, fresh(60)) for k in range(60)]
+    docs = []
+    for k in range(720):
+        at = rng.randrange(40)
+        docs.append((k, " ".join(fresh(30) + edited(rng, items[k % 60][1][at : at + leaks.RUN], k // 60 % 3 + 1) + fresh(30))))
+    found = {(r.doc_id, r.item_id): r.distance for r in leaks.find_leaks(*tables(spark, docs, [(k, " ".join(w), "s") for k, w in items])).collect()}
+    assert all(item == doc % 60 for doc, item in found)  # no chance pairs
+    assert max(found.values()) <= leaks.EDITS
+    for edits, least in ((1, 0.99), (2, 0.97), (3, 0.9)):
+        planted = [k for k in range(720) if k // 60 % 3 + 1 == edits]
+        assert sum((k, k % 60) in found for k in planted) >= least * len(planted), edits
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_edit_distance_in_a_band():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 3, (400, 8), dtype=np.uint64)
+    b = rng.integers(0, 3, (400, 11), dtype=np.uint64)
+    b[:200, :8] = a[:200]
+    b[:200, rng.integers(8)] = 7
+    sizes = rng.integers(8, 12, 400)
+    got = leaks.edit_distance(a, b, sizes, 3)
+    assert got.tolist() == [min(4, brute_distance(x.tolist(), y[:n].tolist())) for x, y, n in zip(a, b, sizes)] and set(got.tolist()) == {0, 1, 2, 3, 4} - ({0} - set(got.tolist()))
 
 
 def test_embedding_keeps_small_edits_near():
-    rng = np.random.default_rng(1)
-    base = rng.integers(1, 2**63, 60, dtype=np.uint64)
-    edited = np.concatenate([base[:20], base[21:], base[:1]])
-    other = rng.integers(1, 2**63, 60, dtype=np.uint64)
-    at = np.zeros(1, dtype=np.int64)
-    distance = lambda x: np.mean([(leaks.embed(base, at, 60, w) != leaks.embed(x, at, 60, w)).mean() for w in range(8)])
-    assert distance(base) == 0 and distance(edited) < 0.8 * distance(other)
+    words = [f"w{k}" for k in range(60)]
+    texts = leaks.Texts([" ".join(words), " ".join(words[:20] + words[21:] + words[:1]), " ".join(f"v{k}" for k in range(60))])
+    outputs = lambda at, number: np.stack([np.where(p < at + 60, np.append(texts.words, -1)[p], -2) for p in leaks.walk(texts, np.array([at]), 60, number)])
+    distance = lambda at: np.mean([(outputs(0, n) != outputs(at, n)).mean() for n in range(8)])
+    assert distance(0) == 0 and distance(60) < 0.8 * distance(120)

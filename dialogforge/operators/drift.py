@@ -1,11 +1,14 @@
 """Schemas that drift between files: rescue-column ingestion and a report of every layout change.
 
-``layout_changes`` reports added, removed, renamed and retyped fields of each file against the file before it in the
-same feed; ``ingest`` enforces one target schema and keeps what does not fit as JSON in ``rescued``; ``promote`` turns an
-approved field of ``rescued`` into a typed column, and ``replay`` fills the target's columns from rescued values.
+``ingest`` enforces one target schema, keeps what does not fit as JSON in ``rescued`` and says of each field of a record
+whether it was kept or rescued, with its JSON type and hashes of its values (``layout``). ``promote`` turns an approved field
+of ``rescued`` into a typed column, and ``replay`` fills the target's columns from rescued values. ``layout_changes`` reports
+added, removed, renamed and retyped fields of each file against the file before it in the same feed, from what the
+ingestion kept and rescued.
 
-Work per line (parsing) runs in Arrow batches; counting, comparing files and judging renames are Spark aggregations,
-windows and joins on the field inventory (files x fields rows), never on whole feeds in one task.
+Lines are parsed once, in Arrow batches; counting, comparing files and judging renames are Spark aggregations, windows and
+joins on the field inventory (files x fields rows) and the hashed values, never on whole feeds in one task. Further names
+that renames show are resolved as a graph and joined to the files that use them; no list of names is gathered.
 
 Defined results: null, blank, invalid or non-object lines have no layout (``ingest`` keeps them with ``parse_error``);
 files without a valid record are passed over; duplicate keys: the last wins; repeated lines count once per file where
@@ -14,8 +17,8 @@ values are compared; an empty table gives no rows; columns other than those name
 
 from __future__ import annotations
 
+import functools
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dialogforge.operators.components import components
 from dialogforge.session import cut
 
 #: Python types of parsed JSON -> JSON type.
@@ -32,10 +36,6 @@ _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list:
 #: Share of the compared records whose values must agree for a rename, for scalars and for containers (their content).
 SAME_SHARE, CONTENT_SHARE = 0.8, 0.5
 
-_INVENTORY = "feed string, file_name string, file_seq int, container string, field string, kind string, jtype string, n bigint"
-_VALUES = "pair string, side int, path string, dialogue_id string, jtype string, places array<int>, leaves array<bigint>"
-
-
 def parse_record(raw: str | None) -> dict | None:
     """The JSON object on a line, or None if it is blank, invalid or no object."""
     if raw is None:
@@ -47,107 +47,118 @@ def parse_record(raw: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def fields_of(record: dict) -> Iterator[tuple[str, str, str, str | None]]:
-    """(container, field, kind of the container, JSON type) of the two levels that are looked at."""
+def _elements(record: dict) -> Iterator[tuple[str, str, list]]:
+    """(container, its kind, the objects in it) of the levels that are looked at."""
+    yield "", "", [record]
     for name, value in record.items():
-        yield "", name, "", _TYPES.get(type(value))
         if isinstance(value, dict):
-            for inner, x in value.items():
-                yield name, inner, "object", _TYPES.get(type(x))
+            yield name, "object", [value]
         elif isinstance(value, list):
-            for element in value:
-                if isinstance(element, dict):
-                    for inner, x in element.items():
-                        yield name, inner, "array", _TYPES.get(type(x))
+            yield name, "array", value
+
+
+def layout_of(record: dict) -> dict[tuple[str, str], list]:
+    """(container, field) -> [kind of the container, JSON type, places of the elements that hold a value, hashes of the scalars]."""
+    out: dict[tuple[str, str], list] = {}
+
+    def add(container: str, kind: str, place: int, element: dict) -> list[int]:
+        """Describe the fields of an element; all its hashes."""
+        inside: list[int] = []
+        for field, value in element.items():
+            entry = out.get((container, field))
+            if entry is None:
+                entry = out[container, field] = [kind, None, [], []]
+            if value is None:
+                continue
+            if entry[1] is None:
+                entry[1] = _TYPES[type(value)]
+            nested = not container and isinstance(value, dict | list)
+            hashes = below(field, value) if nested else _leaves(value)
+            if hashes:
+                entry[2].append(place)
+                entry[3] += hashes if not place else [_placed(h, place) for h in hashes]
+                inside += hashes
+        return inside
+
+    def below(container: str, value: dict | list) -> list[int]:
+        if isinstance(value, dict):
+            return add(container, "object", 0, value)
+        inside: list[int] = []
+        for place, x in enumerate(value):
+            inside += add(container, "array", place, x) if isinstance(x, dict) else _leaves(x)
+        return inside
 
+    add("", "", 0, record)
+    return out
 
-def field_inventory(df: DataFrame) -> DataFrame:
-    """Rows per file, field and JSON type (null where the value is null), counted in batches and then by Spark."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for feed, file_name, file_seq, raw in zip(batch.feed, batch.file_name, batch.file_seq, batch.raw):
-                if (record := parse_record(raw)) is not None:
-                    counts[feed, file_name, file_seq, None, "", "", None] += 1
-                    for container, field, kind, jtype in fields_of(record):
-                        counts[feed, file_name, file_seq, container, field, kind, jtype] += 1
-            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["feed", "file_name", "file_seq", "container", "field", "kind", "jtype", "n"])
+def layouts(df: DataFrame) -> DataFrame:
+    """``feed_key, file_name, file_seq, dialogue_id, paths, types, places, leaves`` of every valid line, as ``ingest`` found it.
 
-    narrow = df.filter("file_seq is not null and file_name is not null").select("feed", "file_name", "file_seq", "raw")
-    rows = narrow.mapInPandas(count, _INVENTORY)
-    return rows.groupBy("feed", "file_name", "file_seq", "container", "field", "kind", "jtype").agg(F.sum("n").alias("n"))
+    paths: container and field; types: kind of the container, JSON type, kept or rescued; feed_key: the feed, "" for null.
+    """
+    rows = ingest(df.filter("file_seq is not null and file_name is not null").select("feed", "file_name", "file_seq", "raw"), layout=True)
+    return rows.filter("not parse_error").select(F.coalesce("feed", F.lit("")).alias("feed_key"), "file_name", "file_seq", "dialogue_id", "layout.*")
+
+
+def field_inventory(found: DataFrame) -> DataFrame:
+    """``feed_key, file_name, file_seq, container, field, kind, jtype, n, rescued`` of ``layouts``: records, and records whose value was rescued."""
+    file = ["feed_key", "file_name", "file_seq"]
+    alike = found.groupBy(*file, "paths", "types").agg(F.count("*").alias("n"))
+    each = alike.select(*file, "n", F.explode_outer(F.arrays_zip("paths", "types")).alias("x"))
+    path, kind = F.split("x.paths", "\x1f"), F.split("x.types", "\x1f")
+    rows = each.select(*file, path[0].alias("container"), path[1].alias("field"), kind[0].alias("kind"), F.nullif(kind[1], F.lit("")).alias("jtype"), "n", (kind[2] == "rescued").cast("bigint").alias("rescued"))
+    return rows.groupBy(*file, "container", "field", "kind", "jtype").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rescued")).alias("rescued"))
 
 
 def _layouts(inventory: DataFrame) -> DataFrame:
     """One row per file and field with its JSON type and the rank of the file in its feed.
 
-    A file's type of a field is the most frequent one (ties: the first by name); rows with a null container are files.
+    A file's type of a field is the one of most records (ties: the first by name).
     """
-    files = inventory.filter("container is null").select("feed", "file_name", "file_seq").distinct()
-    files = files.withColumn("rank", F.row_number().over(W.partitionBy("feed").orderBy("file_seq", "file_name")))
-    per_field = inventory.filter("container is not null").groupBy("feed", "file_name", "file_seq", "container", "kind", "field")
+    files = inventory.select("feed_key", "file_name", "file_seq").distinct()
+    files = files.withColumn("rank", F.row_number().over(W.partitionBy("feed_key").orderBy("file_seq", "file_name")))
+    per_field = inventory.filter("container is not null").groupBy("feed_key", "file_name", "file_seq", "container", "kind", "field")
     best = F.max(F.when(F.col("jtype").isNotNull(), F.struct(F.col("n"), F.negative(F.ascii("jtype")).alias("tie"), F.col("jtype"))))
-    return per_field.agg(best["jtype"].alias("jtype")).join(files, ["feed", "file_name", "file_seq"])
+    return per_field.agg(best["jtype"].alias("jtype")).join(files, ["feed_key", "file_name", "file_seq"])
 
 
-def _leaves(value: object, place: int) -> list[int]:
-    """Hashes of the scalars within a value of the element at ``place``; a number, a boolean and its text are alike, nulls are left out."""
-    out: list[int] = []
+def _leaves(value: object) -> list[int]:
+    """Hashes of the scalars within a value; a number, a boolean and its text are alike, nulls are left out."""
+    if isinstance(value, str):
+        return [xxhash.xxh64_intdigest(value) - (1 << 63)]
+    if value is None:
+        return []
+    if isinstance(value, dict | list):
+        return [h for x in (value.values() if isinstance(value, dict) else value) for h in _leaves(x)]
+    return [xxhash.xxh64_intdigest(json.dumps(value)) - (1 << 63)]
 
-    def walk(x: object) -> None:
-        if isinstance(x, dict):
-            for y in x.values():
-                walk(y)
-        elif isinstance(x, list):
-            for y in x:
-                walk(y)
-        elif x is not None:
-            text = x if isinstance(x, str) else json.dumps(x)
-            out.append(xxhash.xxh64_intdigest(text, seed=place) - (1 << 63))
 
-    walk(value)
-    return out
+def _placed(leaf: int, place: int) -> int:
+    """The hash of a scalar of the element at ``place``."""
+    return (leaf + place * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
 
+def _wanted_values(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Values of the fields in ``wanted`` (feed_key, file_name, pair, side, path) by record; repeated records count once."""
+    per_file = wanted.groupBy("feed_key", "file_name").agg(F.collect_set(F.struct("pair", "side", "path")).alias("wanted"))
+    each = found.filter("dialogue_id is not null").join(per_file, ["feed_key", "file_name"]).withColumn("w", F.explode("wanted"))
+    at = F.array_position("paths", F.col("w.path"))
+    held = each.withColumn("at", at.cast("int")).filter("at > 0").select("w.*", "dialogue_id", F.split(F.element_at("types", F.col("at")), "\x1f")[1].alias("jtype"), F.element_at("places", F.col("at")).alias("places"), F.element_at("leaves", F.col("at")).alias("leaves"))
+    return held.filter(F.size("leaves") > 0).groupBy("pair", "side", "path", "dialogue_id").agg(F.min_by(F.struct("jtype", "places", "leaves"), F.xxhash64("leaves")).alias("v"))
 
-def _wanted_values(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Values of the fields in ``wanted`` (feed, file_name, pair, side, container, field) by record; a null feed is ""."""
-    per_file = wanted.groupBy("feed", "file_name").agg(F.collect_set(F.struct("pair", "side", "container", "field")).alias("wanted"))
-
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for raw, wanted in zip(batch.raw, batch.wanted):
-                record = parse_record(raw)
-                if record is None or not isinstance(record.get("dialogue_id"), str):
-                    continue
-                for w in wanted:
-                    container, field = w["container"], w["field"]
-                    if container == "":
-                        elements = [record]
-                    else:
-                        inner = record.get(container)
-                        elements = [inner] if isinstance(inner, dict) else inner if isinstance(inner, list) else []
-                    held = [(k, x[field]) for k, x in enumerate(elements) if isinstance(x, dict) and x.get(field) is not None]
-                    if leaves := [h for k, x in held for h in _leaves(x, k)]:
-                        rows.append((w["pair"], w["side"], f"{container}\x1f{field}", record["dialogue_id"], _TYPES[type(held[0][1])], [k for k, _ in held], leaves))
-            yield pd.DataFrame(rows, columns=["pair", "side", "path", "dialogue_id", "jtype", "places", "leaves"])
-
-    lines = df.select(F.coalesce("feed", F.lit("")).alias("feed"), "file_name", "raw").filter("raw is not null").join(per_file, ["feed", "file_name"])
-    return lines.select("raw", "wanted").mapInPandas(fetch, _VALUES)
-
-
-def _renames(df: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+
+def _renames(found: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs of a gone and a new field of the same level and file pair whose values agree.
 
-    gone, new: feed, rank (of the newer file), group (the level), file_name, container, field, kind.
+    gone, new: feed_key, rank (of the newer file), group (the level), file_name, container, field.
     """
-    on = ["feed", "rank", "group"]
+    on = ["feed_key", "rank", "group"]
     both = gone.select(*on, F.lit(0).alias("side"), "file_name", "container", "field").unionByName(new.select(*on, F.lit(1).alias("side"), "file_name", "container", "field"))
     sides = both.groupBy(*on).agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a = 0 and b = 1").select(*on)
-    pair = F.concat_ws("\x1e", F.coalesce("feed", F.lit("")), F.col("rank").cast("string"), "group")
-    wanted = both.join(sides, on).select("feed", "file_name", pair.alias("pair"), "side", "container", "field")
-    values = _wanted_values(df, wanted).groupBy("pair", "side", "path", "dialogue_id").agg(F.min_by(F.struct("jtype", "places", "leaves"), F.xxhash64("leaves")).alias("v"))
+    pair = F.concat_ws("\x1e", "feed_key", F.col("rank").cast("string"), "group")
+    wanted = both.join(sides, on).select("feed_key", "file_name", pair.alias("pair"), "side", F.concat_ws("\x1f", "container", "field").alias("path"))
+    values = cut(_wanted_values(found, wanted), "values")
     old_v = values.filter("side = 0").select("pair", "dialogue_id", F.col("path").alias("old_path"), F.col("v").alias("old_v"))
     new_v = values.filter("side = 1").select("pair", "dialogue_id", F.col("path").alias("new_path"), F.col("v").alias("new_v"))
     a, b = F.col("old_v.leaves"), F.col("new_v.leaves")
@@ -163,7 +174,6 @@ def _renames(df: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("r_new", F.row_number().over(W.partitionBy("pair", "new_path").orderBy(*order, "old_path"))).filter("r_old = 1 and r_new = 1")
     key = F.split("pair", "\x1e")
     old_path, new_path = F.split("old_path", "\x1f"), F.split("new_path", "\x1f")
-    # The feed may be null; the pair holds "" for it.
     return ranked.select(key[0].alias("feed_key"), key[1].cast("int").alias("rank"), key[2].alias("group"), old_path[0].alias("old_container"), old_path[1].alias("old_field"), new_path[0].alias("new_container"), new_path[1].alias("new_field"))
 
 
@@ -173,8 +183,9 @@ def _written(container: Column, kind: Column, field: Column) -> Column:
 
 def layout_changes(df: DataFrame) -> DataFrame:
     """``file_name, change_kind, old_field, new_field``: the changes of each file against the one before it in its feed."""
-    layouts = cut(_layouts(field_inventory(df)).withColumn("feed_key", F.coalesce("feed", F.lit(""))).drop("feed"), "layouts")
-    ranks = layouts.select("feed_key", "rank", F.col("file_name").alias("this_file")).distinct()
+    found = cut(layouts(df), "layouts")
+    fields = cut(_layouts(field_inventory(found)), "fields")
+    ranks = fields.select("feed_key", "rank", F.col("file_name").alias("this_file")).distinct()
 
     def compare(now: DataFrame) -> DataFrame:
         """Fields that are gone, new or retyped between two files that both exist: ``status`` and both sides' names.
@@ -189,8 +200,8 @@ def layout_changes(df: DataFrame) -> DataFrame:
         return both.select("feed_key", "rank", "group", "kind", "field", "container", "old_container", "old_file", "this_file", status.alias("status")).filter("status is not null")
 
     def rename(changed: DataFrame, name: str) -> DataFrame:
-        side = lambda status, file, container: changed.filter(F.col("status") == status).select(F.col("feed_key").alias("feed"), "rank", "group", F.col(file).alias("file_name"), F.col(container).alias("container"), "field")
-        return cut(_renames(df, side("gone", "old_file", "old_container"), side("new", "this_file", "container")), name)
+        side = lambda status, file, container: changed.filter(F.col("status") == status).select("feed_key", "rank", "group", F.col(file).alias("file_name"), F.col(container).alias("container"), "field")
+        return cut(_renames(found, side("gone", "old_file", "old_container"), side("new", "this_file", "container")), name)
 
     def report(changed: DataFrame, renamed: DataFrame) -> DataFrame:
         """Rows of the result; what was renamed is neither gone nor new."""
@@ -205,12 +216,12 @@ def layout_changes(df: DataFrame) -> DataFrame:
         return plain.unionByName(both)
 
     # Top level.
-    top = cut(compare(layouts.filter("container = ''").withColumn("group", F.lit("top"))), "top")
+    top = cut(compare(fields.filter("container = ''").withColumn("group", F.lit("top"))), "top")
     renamed = rename(top, "renamed")
 
     # Below: the fields of a container, which keeps its identity when it is itself renamed.
     moved = renamed.select("feed_key", F.explode(F.array("old_field", "new_field")).alias("container")).distinct().withColumn("moved", F.lit(True))
-    below = layouts.filter("container <> ''").join(moved, ["feed_key", "container"], "left")
+    below = fields.filter("container <> ''").join(moved, ["feed_key", "container"], "left")
     below = below.withColumn("group", F.concat(F.col("kind"), F.lit("\x1d"), F.when(F.col("moved"), F.lit("\x1dmoved")).otherwise(F.col("container")))).drop("moved")
     # Where the container came, went or changed its type, its fields say nothing of their own.
     held = below.select("feed_key", "rank", "group", "container").distinct()
@@ -221,8 +232,8 @@ def layout_changes(df: DataFrame) -> DataFrame:
     kept = kept.join(retyped, ["feed_key", "rank", "container"], "left_anti").select("feed_key", "rank", "group", F.col("container").alias("c_now"), "c_was")
     inner = compare(below).join(kept, ["feed_key", "rank", "group"])
     inner = cut(inner.filter("(status = 'new' or old_container = c_was) and (status = 'gone' or container = c_now)"), "below")
-    found = report(top, renamed).unionByName(report(inner, rename(inner, "renamed_below")))
-    return found.select(F.col("this_file").alias("file_name"), "change_kind", "old_field", "new_field").distinct()
+    changes = report(top, renamed).unionByName(report(inner, rename(inner, "renamed_below")))
+    return changes.select(F.col("this_file").alias("file_name"), "change_kind", "old_field", "new_field").distinct()
 
 
 #: Target layout: path in the target -> (SQL type, names under which the value may stand).
@@ -288,11 +299,15 @@ def _embedded(text: str) -> dict | list | None:
     return value if isinstance(value, dict | list) else None
 
 
-def conform(raw: str | None, aliases: dict[str, list[str]]) -> tuple:
-    """One line in the target schema; unknown and uncastable fields stay as JSON in ``rescued``, under their own paths."""
+def conform(raw: str | None, aliases: dict[str, list[str]], layout: bool = False) -> tuple:
+    """One line in the target schema; unknown and uncastable fields stay as JSON in ``rescued``, under their own paths.
+
+    layout: whether the fields of the line as it came are described too, as ``layouts`` shows them.
+    """
     record = parse_record(raw)
     if record is None:
-        return None, None, None, raw, True
+        return None, None, None, raw, True, None
+    came = layout_of(record) if layout else {}
     names = lambda target, own: own + [a for a in aliases.get(target, []) if a not in own]
     for target, own in CONTAINERS.items():  # a container may come as JSON within a string
         for name in names(target, own):
@@ -323,24 +338,45 @@ def conform(raw: str | None, aliases: dict[str, list[str]]) -> tuple:
             else:
                 del record[name]
             break
-    return out["dialogue_id"], metadata, messages, json.dumps(record, ensure_ascii=False) if record else None, False
+    described = _described(came, record) if layout else None
+    return out["dialogue_id"], metadata, messages, json.dumps(record, ensure_ascii=False) if record else None, False, described
+
+
+def _described(came: dict[tuple[str, str], list], left: dict) -> dict[str, list]:
+    """The layout of a record; what is in ``left`` was rescued."""
+    held = {(container, field) for container, _, elements in _elements(left) for x in elements if isinstance(x, dict) for field in x}
+    order = sorted(came)
+    types = ["\x1f".join((came[k][0], came[k][1] or "", "rescued" if k in held else "kept")) for k in order]
+    return {"paths": ["\x1f".join(k) for k in order], "types": types, "places": [came[k][2] for k in order], "leaves": [came[k][3] for k in order]}
+
 
+@functools.lru_cache(maxsize=4096)
+def _names(aliases: str | None) -> dict[str, list[str]]:
+    return json.loads(aliases) if aliases else {}
 
-def ingest(df: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+
+def _alias_column(aliases: dict[str, list[str]] | Column | None) -> Column:
+    return aliases if isinstance(aliases, Column) else F.lit(json.dumps(aliases or {}))
+
+
+def ingest(df: DataFrame, aliases: dict[str, list[str]] | Column | None = None, layout: bool = False) -> DataFrame:
     """Every line in one schema: the columns of ``df`` but raw, then the target columns, ``rescued`` and ``parse_error``.
 
-    aliases: target path -> further approved names (for ``messages``, ``metadata.language``, ``messages[].content`` ...).
-    Columns of ``df`` that clash with a target column are dropped.
+    aliases: target path -> further approved names (for ``messages``, ``metadata.language``, ``messages[].content`` ...), or a
+    column that holds them as JSON, where they differ by file. layout: with the column ``layout`` (see ``layouts``). Columns of
+    ``df`` that clash with a target column are dropped.
     """
-    aliases = aliases or {}
-    ours = {"dialogue_id", "metadata", "messages", "rescued", "parse_error", "raw"}
+    ours = {"dialogue_id", "metadata", "messages", "rescued", "parse_error", "raw"} | ({"layout"} if layout else set())
     carried = [c for c in df.columns if c not in ours]
+    fields = INGESTED.replace(" struct", ":struct").replace(" array", ":array").replace(" string", ":string").replace(" boolean", ":boolean")
+    fields += ",layout:struct<paths:array<string>,types:array<string>,places:array<array<int>>,leaves:array<array<bigint>>>" if layout else ""
 
-    @F.pandas_udf("struct<" + INGESTED.replace(" struct", ":struct").replace(" array", ":array").replace(" string", ":string").replace(" boolean", ":boolean") + ">")
-    def conformed(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([conform(x, aliases) for x in raw], columns=["dialogue_id", "metadata", "messages", "rescued", "parse_error"])
+    @F.pandas_udf(f"struct<{fields}>")
+    def conformed(raw: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = [conform(x, _names(n), layout) for x, n in zip(raw, names)]
+        return pd.DataFrame(rows, columns=["dialogue_id", "metadata", "messages", "rescued", "parse_error", "layout"]).iloc[:, : 6 if layout else 5]
 
-    return df.select(*carried, conformed("raw").alias("_c")).select(*carried, "_c.*")
+    return df.select(*carried, conformed("raw", _alias_column(aliases)).alias("_c")).select(*carried, "_c.*")
 
 
 def promote(df: DataFrame, path: str, sql_type: str, name: str) -> DataFrame:
@@ -397,48 +433,43 @@ def replay_record(metadata: dict | None, messages: list | None, rescued: str | N
     return metadata, messages, json.dumps(record, ensure_ascii=False) if record else None
 
 
-def replay(ingested: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Rescued values replayed into the typed columns; what no reading fits stays in ``rescued``."""
-    aliases = aliases or {}
+def replay(ingested: DataFrame, aliases: dict[str, list[str]] | Column | None = None) -> DataFrame:
+    """Rescued values replayed into the typed columns; what no reading fits stays in ``rescued``. aliases: as for ``ingest``."""
     kinds = {f.name: f.dataType.simpleString() for f in ingested.schema.fields}
 
     @F.pandas_udf(f"struct<metadata:{kinds['metadata']},messages:{kinds['messages']},rescued:string>")
-    def replayed(metadata: pd.Series, messages: pd.Series, rescued: pd.Series) -> pd.DataFrame:
+    def replayed(metadata: pd.Series, messages: pd.Series, rescued: pd.Series, names: pd.Series) -> pd.DataFrame:
         load = lambda x: None if x is None else json.loads(x)
-        return pd.DataFrame([replay_record(load(m), load(ms), r, aliases) for m, ms, r in zip(metadata, messages, rescued)], columns=["metadata", "messages", "rescued"])
+        return pd.DataFrame([replay_record(load(m), load(ms), r, _names(n)) for m, ms, r, n in zip(metadata, messages, rescued, names)], columns=["metadata", "messages", "rescued"])
 
-    filled = replayed(F.to_json("metadata"), F.to_json("messages"), F.when(~F.col("parse_error"), F.col("rescued")))
+    filled = replayed(F.to_json("metadata"), F.to_json("messages"), F.when(~F.col("parse_error"), F.col("rescued")), _alias_column(aliases))
     out = ingested.withColumn("_r", F.when(F.col("rescued").isNotNull() & ~F.col("parse_error"), filled))
     return out.select(*[F.when(F.col("_r").isNotNull(), F.col(f"_r.{c}")).otherwise(F.col(c)).alias(c) if c in ("metadata", "messages", "rescued") else c for c in ingested.columns])
 
 
-_MOST_NAMES = 10_000
-
-
-def aliases_of(changes: DataFrame) -> dict[str, list[str]]:
-    """Further names of the target's fields as the reported renames show them, directly or through other names.
+def aliases_of(changes: DataFrame) -> DataFrame:
+    """``level, field, target``: further names of the target's fields as the reported renames show them, directly or through others.
 
-    Only distinct pairs of names come to the driver; their number is that of field names in use, and is checked.
+    level: "" for the containers, object or array for the fields within them.
     """
-    pairs = changes.filter("change_kind = 'renamed'").select("old_field", "new_field").distinct().limit(_MOST_NAMES + 1).collect()
-    if len(pairs) > _MOST_NAMES:
-        raise ValueError(f"more than {_MOST_NAMES} renames of distinct names")
-
-    def node(name: str) -> tuple[str, str]:
-        if "[]." in name:
-            return "array", name.split("[].", 1)[1]
-        return ("object", name.split(".", 1)[1]) if "." in name else ("", name)
-
-    parent: dict[tuple[str, str], tuple[str, str]] = {}
-
-    def root(x: tuple[str, str]) -> tuple[str, str]:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for old, new in pairs:
-        a, b = sorted((root(node(old)), root(node(new))))
-        parent[b] = a
-    known = [(path, "object", own) for path, (_, own) in TARGET.items() if "." in path] + [(f"messages[].{f}", "array", own) for f, (_, own) in MESSAGE.items()] + [(c, "", own) for c, own in CONTAINERS.items()]
-    groups = {path: {root((level, name)) for name in own if (level, name) in parent} for path, level, own in known}
-    return {path: sorted(name for at, name in parent if at == level and name not in own and root((at, name)) in groups[path]) for path, level, own in known}
+    spark = changes.sparkSession
+    place = lambda name: F.when(F.contains(name, F.lit("[].")), F.lit("array")).when(F.contains(name, F.lit(".")), F.lit("object")).otherwise(F.lit(""))
+    node = lambda name, side: (place(F.col(name)).alias(f"{side}_level"), F.regexp_replace(name, r"^.*?(\[\])?\.", "").alias(f"{side}_field"))
+    number = lambda level, field: F.xxhash64(level, field)
+    pairs = changes.filter("change_kind = 'renamed'").select(*node("old_field", "a"), *node("new_field", "b")).distinct()
+    pairs = cut(pairs.withColumns({"a": number("a_level", "a_field"), "b": number("b_level", "b_field")}), "names")
+    group = components(pairs.select("a", "b"))
+    named = pairs.select(F.col("a").alias("node"), F.col("a_level").alias("level"), F.col("a_field").alias("field")).union(pairs.select("b", "b_level", "b_field")).distinct().join(group, "node")
+    known = [(path, "object", name) for path, (_, own) in TARGET.items() if "." in path for name in own]
+    known += [(f"messages[].{f}", "array", name) for f, (_, own) in MESSAGE.items() for name in own] + [(c, "", name) for c, own in CONTAINERS.items() for name in own]
+    own = F.broadcast(spark.createDataFrame(known, "target string, level string, field string"))  # as many rows as the target has names
+    meant = named.join(own, ["level", "field"]).select("level", "component", "target").distinct()
+    return named.join(meant, ["level", "component"]).join(own, ["level", "field", "target"], "left_anti").select("level", "field", "target").distinct()
+
+
+def with_aliases(lines: DataFrame, aliases: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``lines`` with the column ``aliases``: as JSON, the names in ``aliases`` that the line's file uses, by target field."""
+    used = inventory.filter("container is not null").select("feed_key", "file_name", F.col("kind").alias("level"), "field").distinct()
+    named = used.join(aliases, ["level", "field"]).groupBy("feed_key", "file_name", "target").agg(F.sort_array(F.collect_set("field")).alias("names"))
+    per_file = named.groupBy("feed_key", "file_name").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("target", "names")))).alias("aliases"))
+    return lines.drop("aliases").withColumn("feed_key", F.coalesce("feed", F.lit(""))).join(per_file, ["feed_key", "file_name"], "left").drop("feed_key")

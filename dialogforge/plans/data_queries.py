@@ -27,11 +27,18 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.promote(rows, "metadata.word_budget", "bigint", "word_budget")
 
 
+def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the target schema kept and rescued of each file: records with each field and JSON type, and how many were rescued."""
+    found = drift.field_inventory(drift.layouts(table(spark, sf_dir, "raw_records"))).filter("container is not null")
+    return found.select("file_name", "container", "field", "jtype", F.col("n").alias("records"), "rescued")
+
+
 def p2_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One consistent table of all dialogues: names as the renames show them, rescued values replayed, the last record of each."""
     lines = table(spark, sf_dir, "raw_records")
     aliases = drift.aliases_of(drift.layout_changes(lines))
-    rows = drift.replay(drift.ingest(lines, aliases), aliases).filter("not parse_error")
+    named = drift.with_aliases(lines, aliases, drift.field_inventory(drift.layouts(lines)))
+    rows = drift.replay(drift.ingest(named, F.col("aliases")), F.col("aliases")).filter("not parse_error")
     return records.last_wins(rows, "dialogue_id", ["file_seq", "file_name", "line_no"]).select("dialogue_id", "feed", "file_name", "metadata", "messages", "rescued")
 
 
@@ -58,7 +65,7 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_table, p2_dialogues, p4_found, p4_labels, p4_messages, p4_scores)}
+    return {f.__name__: f for f in (p2_found, p2_fields, p2_table, p2_dialogues, p4_found, p4_labels, p4_messages, p4_scores)}
 
 
 _UNNESTED = """

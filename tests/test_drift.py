@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from dialogforge.operators import drift
 
@@ -113,5 +114,26 @@ def test_a_container_within_a_string_is_read(spark):
 def test_aliases_follow_renames(spark):
     pairs = [("metadata.language", "metadata.code_language"), ("metadata.code_language", "info.idiom"), ("messages[].content", "messages[].text"), ("metadata", "info"), ("other", "else")]
     df = spark.createDataFrame([("f", "renamed", a, b) for a, b in pairs] + [("f", "added", "", "x")], "file_name string, change_kind string, old_field string, new_field string")
-    got = drift.aliases_of(df)
-    assert got["metadata.language"] == ["code_language", "idiom"] and got["messages[].content"] == ["text"] and got["metadata"] == ["info"] and got["messages"] == []
+    got = {(r.level, r.field, r.target) for r in drift.aliases_of(df).collect()}
+    assert got == {("object", "code_language", "metadata.language"), ("object", "idiom", "metadata.language"), ("array", "text", "messages[].content"), ("", "info", "metadata")}
+    assert drift.aliases_of(df.limit(0)).count() == 0
+
+
+def test_aliases_are_those_that_a_file_uses(spark):
+    df = lines(spark, [[{"dialogue_id": "a", "info": {"idiom": "py"}}], [{"dialogue_id": "b", "metadata": {"language": "go"}}]])
+    aliases = spark.createDataFrame([("", "info", "metadata"), ("object", "idiom", "metadata.language"), ("object", "other", "metadata.language")], "level string, field string, target string")
+    named = drift.with_aliases(df, aliases, drift.field_inventory(drift.layouts(df)))
+    rows = {r.dialogue_id: r for r in drift.ingest(named, F.col("aliases")).collect()}
+    assert json.loads(rows["a"].aliases) == {"metadata": ["info"], "metadata.language": ["idiom"]} and rows["b"].aliases is None
+    assert {k: r.metadata.language for k, r in rows.items()} == {"a": "py", "b": "go"}
+
+
+def test_inventory_says_what_was_kept_and_rescued(spark):
+    df = lines(spark, [[record(1, extra=5), record("x", extra=None), "{bad"], [record(1) | {"metadata": {"tier": "a"}}]])
+    got = {(r.file_name, r.container, r.field, r.kind, r.jtype): (r.n, r.rescued) for r in drift.field_inventory(drift.layouts(df)).collect()}
+    assert got["f/1", "", "extra", "", "number"] == (1, 1) and got["f/1", "", "extra", "", None] == (1, 1)
+    assert got["f/1", "metadata", "tier", "object", "number"] == (1, 1) and got["f/2", "metadata", "tier", "object", "string"] == (1, 0)
+    assert got["f/1", "messages", "content", "array", "string"] == (2, 0) and got["f/1", "", "metadata", "", "object"] == (2, 1)
+    # The rows of the report come from the ingestion: fields are what was kept and what was rescued.
+    kept = {f"{c}.{f}" for (file, c, f, k, t), (n, r) in got.items() if file == "f/1" and n > r}
+    assert kept >= {"messages.content", "messages.role", ".dialogue_id"}

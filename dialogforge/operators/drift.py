@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,16 +48,6 @@ def parse_record(raw: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def _elements(record: dict) -> Iterator[tuple[str, str, list]]:
-    """(container, its kind, the objects in it) of the levels that are looked at."""
-    yield "", "", [record]
-    for name, value in record.items():
-        if isinstance(value, dict):
-            yield name, "object", [value]
-        elif isinstance(value, list):
-            yield name, "array", value
-
-
 def layout_of(record: dict) -> dict[tuple[str, str], list]:
     """(container, field) -> [kind of the container, JSON type, places of the elements that hold a value, hashes of the scalars]."""
     out: dict[tuple[str, str], list] = {}
@@ -97,7 +88,7 @@ def layouts(df: DataFrame) -> DataFrame:
 
     paths: container and field; types: kind of the container, JSON type, kept or rescued; feed_key: the feed, "" for null.
     """
-    rows = ingest(df.filter("file_seq is not null and file_name is not null").select("feed", "file_name", "file_seq", "raw"), layout=True)
+    rows = ingest(df.filter("file_seq is not null and file_name is not null").select("feed", "file_name", "file_seq", "raw"), layout=True, typed=False)
     return rows.filter("not parse_error").select(F.coalesce("feed", F.lit("")).alias("feed_key"), "file_name", "file_seq", "dialogue_id", "layout.*")
 
 
@@ -299,10 +290,11 @@ def _embedded(text: str) -> dict | list | None:
     return value if isinstance(value, dict | list) else None
 
 
-def conform(raw: str | None, aliases: dict[str, list[str]], layout: bool = False) -> tuple:
+def conform(raw: str | None, aliases: dict[str, list[str]], layout: bool = False, typed: bool = True) -> tuple:
     """One line in the target schema; unknown and uncastable fields stay as JSON in ``rescued``, under their own paths.
 
-    layout: whether the fields of the line as it came are described too, as ``layouts`` shows them.
+    layout: whether the fields of the line as it came are described too, as ``layouts`` shows them; typed: whether ``rescued`` is
+    written out.
     """
     record = parse_record(raw)
     if record is None:
@@ -339,15 +331,18 @@ def conform(raw: str | None, aliases: dict[str, list[str]], layout: bool = False
                 del record[name]
             break
     described = _described(came, record) if layout else None
-    return out["dialogue_id"], metadata, messages, json.dumps(record, ensure_ascii=False) if record else None, False, described
+    return out["dialogue_id"], metadata, messages, json.dumps(record, ensure_ascii=False) if record and typed else None, False, described
 
 
 def _described(came: dict[tuple[str, str], list], left: dict) -> dict[str, list]:
     """The layout of a record; what is in ``left`` was rescued."""
-    held = {(container, field) for container, _, elements in _elements(left) for x in elements if isinstance(x, dict) for field in x}
+    rest = {}
+    for container, elements in {"": left, **{k: left[k] for k in {c for c, _ in came if c} if k in left}}.items():
+        elements = [elements] if isinstance(elements, dict) else elements if isinstance(elements, list) else []
+        rest[container] = {field for x in elements if isinstance(x, dict) for field in x}
     order = sorted(came)
-    types = ["\x1f".join((came[k][0], came[k][1] or "", "rescued" if k in held else "kept")) for k in order]
-    return {"paths": ["\x1f".join(k) for k in order], "types": types, "places": [came[k][2] for k in order], "leaves": [came[k][3] for k in order]}
+    types = [f"{came[k][0]}\x1f{came[k][1] or ''}\x1f{'rescued' if k[1] in rest.get(k[0], ()) else 'kept'}" for k in order]
+    return {"paths": [f"{c}\x1f{f}" for c, f in order], "types": types, "places": [came[k][2] for k in order], "leaves": [came[k][3] for k in order]}
 
 
 @functools.lru_cache(maxsize=4096)
@@ -359,22 +354,26 @@ def _alias_column(aliases: dict[str, list[str]] | Column | None) -> Column:
     return aliases if isinstance(aliases, Column) else F.lit(json.dumps(aliases or {}))
 
 
-def ingest(df: DataFrame, aliases: dict[str, list[str]] | Column | None = None, layout: bool = False) -> DataFrame:
+_LAYOUT = "layout struct<paths:array<string>,types:array<string>,places:array<array<int>>,leaves:array<array<bigint>>>"
+
+
+def ingest(df: DataFrame, aliases: dict[str, list[str]] | Column | None = None, layout: bool = False, typed: bool = True) -> DataFrame:
     """Every line in one schema: the columns of ``df`` but raw, then the target columns, ``rescued`` and ``parse_error``.
 
     aliases: target path -> further approved names (for ``messages``, ``metadata.language``, ``messages[].content`` ...), or a
-    column that holds them as JSON, where they differ by file. layout: with the column ``layout`` (see ``layouts``). Columns of
-    ``df`` that clash with a target column are dropped.
+    column that holds them as JSON, where they differ by file. layout: with the column ``layout`` (see ``layouts``). typed: False
+    leaves out ``metadata``, ``messages`` and ``rescued``, for those who want the layout only. Columns of ``df`` that clash with
+    a column of the result are dropped.
     """
-    ours = {"dialogue_id", "metadata", "messages", "rescued", "parse_error", "raw"} | ({"layout"} if layout else set())
-    carried = [c for c in df.columns if c not in ours]
-    fields = INGESTED.replace(" struct", ":struct").replace(" array", ":array").replace(" string", ":string").replace(" boolean", ":boolean")
-    fields += ",layout:struct<paths:array<string>,types:array<string>,places:array<array<int>>,leaves:array<array<bigint>>>" if layout else ""
-
-    @F.pandas_udf(f"struct<{fields}>")
-    def conformed(raw: pd.Series, names: pd.Series) -> pd.DataFrame:
-        rows = [conform(x, _names(n), layout) for x, n in zip(raw, names)]
-        return pd.DataFrame(rows, columns=["dialogue_id", "metadata", "messages", "rescued", "parse_error", "layout"]).iloc[:, : 6 if layout else 5]
+    made = [f.strip() for f in re.split(r",\s(?=[a-z_]+ )", INGESTED)] + [_LAYOUT]
+    wanted = [k for k, f in enumerate(made) if (layout or f is not _LAYOUT) and (typed or f.split()[0] not in ("metadata", "messages", "rescued"))]
+    names = [made[k].split()[0] for k in wanted]
+    carried = [c for c in df.columns if c not in {*names, "raw"}]
+
+    @F.pandas_udf(f"struct<{','.join(made[k].replace(' ', ':', 1) for k in wanted)}>")
+    def conformed(raw: pd.Series, named: pd.Series) -> pd.DataFrame:
+        rows = [conform(x, _names(n), layout, typed) for x, n in zip(raw, named)]
+        return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for n, k in zip(names, wanted)})
 
     return df.select(*carried, conformed("raw", _alias_column(aliases)).alias("_c")).select(*carried, "_c.*")
 

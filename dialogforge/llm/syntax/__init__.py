@@ -8,8 +8,9 @@ from __future__ import annotations
 import sys
 
 from dialogforge.llm.syntax import go_file, java_unit, javascript, json_text, python_module, shell_script, sql_script
-from dialogforge.llm.syntax.base import cause_of
+from dialogforge.llm.syntax.base import Unjudged, cause_of
 
+UNJUDGED = "nested too deeply to judge"
 #: File extension -> (language, parser).
 LANGUAGES = {
     "py": ("python", python_module.parse),
@@ -23,12 +24,12 @@ LANGUAGES = {
 
 
 def errors_of(extension: str, text: str) -> tuple[list[tuple[int, str]], str]:
-    """All errors of a text and the first cause ("" for a valid text)."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+    """All errors of a text and the first cause: "" for a valid text, ``UNJUDGED`` without errors for one that is nested too deeply."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2_000_000))
     try:
         errors = LANGUAGES[extension][1](text)
-    except RecursionError:
-        errors = [(0, "nested too deeply")]
-    except IndexError:  # looked past the end within a construct
-        errors = [(len(text), "unexpected end")]
+    except Unjudged as deep:
+        errors = deep.args[0]
+        if not errors:
+            return [], UNJUDGED
     return errors, cause_of(text, errors) if errors else ""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-MAX_DEPTH = 1_000  # nesting that a parser follows; deeper text is reported, not crashed on
+#: Nesting that a parser follows. What lies deeper is not judged; the errors found before it count.
+MAX_DEPTH = 20_000
+_AHEAD = 8  # ends of the text that parsers may look at behind the last token
 CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)", re.M)
 
 
@@ -12,10 +14,14 @@ class Stop(Exception):
     """Leaves the construct in which an error was found; the statement loop recovers."""
 
 
+class Unjudged(Exception):
+    """A text is nested deeper than the parsers follow; ``args[0]`` holds the errors found before."""
+
+
 class Cursor:
     """Tokens as parallel lists: ``kinds`` (a keyword's or operator's own text, or a class such as "name"), ``values``, ``places``.
 
-    Parsers advance ``i``; every list ends with the kind "eof".
+    Parsers advance ``i``; every list ends with some "eof".
     """
 
     def __init__(self, text: str) -> None:
@@ -28,9 +34,10 @@ class Cursor:
         self.depth = 0
 
     def add(self, kind: str, value: str, place: int) -> None:
-        self.kinds.append(kind)
-        self.values.append(value)
-        self.places.append(place)
+        for _ in range(_AHEAD if kind == "eof" else 1):
+            self.kinds.append(kind)
+            self.values.append(value)
+            self.places.append(place)
 
     @property
     def kind(self) -> str:
@@ -58,7 +65,7 @@ class Cursor:
     def enter(self) -> None:
         self.depth += 1
         if self.depth > MAX_DEPTH:
-            raise self.fail("nested too deeply")
+            raise Unjudged(self.errors)
 
     def leave(self) -> None:
         self.depth -= 1

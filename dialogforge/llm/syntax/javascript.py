@@ -20,9 +20,9 @@ _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7,
 _UNARY = frozenset(["!", "~", "+", "-", "typeof", "void", "delete", "++", "--"])
 
 
-def _template_end(text: str, at: int) -> int:
-    """Behind the template that begins at ``at``, or -1; substitutions are skipped by their braces."""
-    i, end, braces = at + 1, len(text), []
+def _template_end(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
+    """Behind the template that begins at ``at``, or -1, and its substitutions, which end with their braces."""
+    i, end, braces, fields, begin = at + 1, len(text), [], [], 0
     while i < end:
         ch = text[i]
         if ch == "\\":
@@ -31,15 +31,19 @@ def _template_end(text: str, at: int) -> int:
         if not braces or braces[-1] == "`":
             if ch == "`":
                 if not braces:
-                    return i + 1
+                    return i + 1, fields
                 braces.pop()
             elif ch == "$" and text[i + 1 : i + 2] == "{":
                 braces.append("{")
                 i += 1
+                if len(braces) == 1:
+                    begin = i + 1
         elif ch == "{":
             braces.append("{")
         elif ch == "}":
             braces.pop()
+            if not braces:
+                fields.append((begin, i))
         elif ch == "`":
             braces.append("`")
         elif ch in "'\"":
@@ -48,7 +52,7 @@ def _template_end(text: str, at: int) -> int:
                 j += 2 if text[j] == "\\" else 1
             i = j
         i += 1
-    return -1
+    return -1, []
 
 
 class _Parser(Cursor):
@@ -69,12 +73,14 @@ class _Parser(Cursor):
             ch = text[at]
             last = self.kinds[-1] if self.kinds else ""
             if ch == "`":
-                stop = _template_end(text, at)
+                stop, fields = _template_end(text, at)
                 if stop < 0:
                     self.put("bad", "`", at, line)
                     at += 1
                 else:
                     self.put("template", "", at, line)
+                    for a, b in fields:
+                        self.errors += [(a + place, message) for place, message in _field_errors(text[a:b])]
                     at = stop
                 line = False
                 continue
@@ -603,6 +609,19 @@ class _Parser(Cursor):
                 return
 
 
+def _field_errors(text: str) -> list[tuple[int, str]]:
+    """Errors of an expression that stands within a template."""
+    c = _Parser(text)
+    c.is_async = c.is_generator = True  # what is around it is not known here
+    try:
+        c.expression()
+        if c.kind != "eof":
+            c.note(f"unexpected {c.kind!r} in a template")
+    except Stop:
+        pass
+    return c.errors
+
+
 def parse(text: str) -> list[tuple[int, str]]:
     c = _Parser(text)
     try:

@@ -9,7 +9,7 @@ from dialogforge.llm.syntax.base import Cursor, Stop
 _KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 _TOKEN = re.compile(
     r"""(?P<space>[ \t\f]+|\\\r?\n)|(?P<comment>\#[^\n]*)|(?P<newline>\r?\n|\r)"""
-    r"""|(?P<string>(?:[rRuUbBfF]|[bBfF][rR]|[rR][bBfF])?(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))"""
+    r"""|(?P<string>(?:[rRuUbBfF]|[bBfF][rR]|[rR][bBfF])?(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?!"")(?:[^"\\\n]|\\.)*"|'(?!'')(?:[^'\\\n]|\\.)*'))"""
     r"""|(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))"""
     r"""|(?P<name>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|\*\*|//|>>|<<|[-+*/%@&|^<>=!]=|[-+*/%@&|^~<>=()\[\]{},:.;])""",
     re.S,
@@ -23,12 +23,16 @@ _AFTER_NUMBER = frozenset(["and", "else", "for", "if", "in", "is", "not", "or"])
 
 
 _FORMATTED = re.compile(r"""(?:[fF][rR]?|[rR][fF])(\"\"\"|'''|"|')""")
-_QUOTED = re.compile(r"""\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+_QUOTED = re.compile(r"""\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?!"")(?:[^"\\\n]|\\.)*"|'(?!'')(?:[^'\\\n]|\\.)*'""", re.S)
 _NO_EXPRESSION = re.compile(r"\{\s*[}!:=]")
 
 
-def _formatted_end(text: str, at: int) -> int:
-    """Behind the f-string that begins at ``at``, whose fields may hold quotes of their own; -1 if it is broken."""
+def _formatted_end(text: str, at: int, fields: list[str] | None = None) -> int:
+    """Behind the f-string that begins at ``at``, whose fields may hold quotes of their own; -1 if it is broken.
+
+    fields: takes the expressions of its fields.
+    """
+    begin = -1
     m = _FORMATTED.match(text, at)
     quote, i, end, depth = m[1], m.end(), len(text), 0
     while i < end:
@@ -41,11 +45,14 @@ def _formatted_end(text: str, at: int) -> int:
                 continue
             if ch == "}" or ch == "\n" and len(quote) == 1 or ch == "{" and _NO_EXPRESSION.match(text, i):
                 return -1
-            depth += ch == "{"
+            if ch == "{":
+                depth, begin = 1, i + 1
         elif ch in "([{":
             depth += 1
         elif ch in ")]}":
             depth -= 1
+            if not depth and begin >= 0 and fields is not None:
+                fields.append(text[begin:i])
         elif ch in "'\"":
             if text[i - 1] in "fF":
                 i = _formatted_end(text, i - 1)
@@ -58,6 +65,9 @@ def _formatted_end(text: str, at: int) -> int:
             continue
         elif ch == ":" and depth == 1:  # a format, which may hold fields but no strings
             level = 0
+            if begin >= 0 and fields is not None:
+                fields.append(text[begin:i])
+            begin = -1
             while i < end and not (text[i] == "}" and level == 0):
                 if text.startswith(quote, i) or text[i] == "\n" and len(quote) == 1:
                     return -1
@@ -68,6 +78,17 @@ def _formatted_end(text: str, at: int) -> int:
     return -1
 
 
+_PLAIN_FIELD = re.compile(r"\s*[^\W\d]\w*(?:\.[^\W\d]\w*)*\s*")
+_FIELD_END = re.compile(r"(?:(?<![=!<>])=\s*)?(?:![rsa]\s*)?\Z")
+
+
+def _broken_field(expression: str) -> bool:
+    """Whether what stands in a field of an f-string, perhaps with ``=`` and a conversion, is no expression."""
+    if _PLAIN_FIELD.fullmatch(expression) and expression.strip() not in _KEYWORDS:
+        return False
+    return bool(parse(f"({_FIELD_END.sub('', expression)}\n)\n"))
+
+
 def lex(c: Cursor) -> None:
     text, at, end = c.text.removeprefix("﻿"), 0, 0
     end = len(text)
@@ -98,8 +119,9 @@ def lex(c: Cursor) -> None:
                     break
             at = j
         if text[at] in "fFrR" and _FORMATTED.match(text, at) is not None:
-            stop = _formatted_end(text, at)
-            add("string" if stop > 0 else "bad", "f-string", at)
+            fields: list[str] = []
+            stop = _formatted_end(text, at, fields)
+            add("string" if stop > 0 and not any(map(_broken_field, fields)) else "bad", "f-string", at)
             at = stop if stop > 0 else at + 2
             continue
         m = match(text, at)
@@ -123,7 +145,8 @@ def lex(c: Cursor) -> None:
                 add("newline", "", at)
                 line_start = True
         elif group == "string":
-            add("string", "", at)
+            prefix = m.group()[: re.match(r"\w*", m.group()).end()].lower()
+            add("bad" if "b" in prefix and not m.group().isascii() else "string", "b" if "b" in prefix else "", at)
         elif group == "number":
             value = m.group()
             follow = re.match(r"[^\W\d]\w*", text[m.end() : m.end() + 12])
@@ -243,7 +266,10 @@ class _Parser(Cursor):
             self.i += 1
             return 2
         if k == "string":
+            first = self.values[self.i] == "b"
             while self.kinds[self.i] == "string":
+                if (self.values[self.i] == "b") != first:
+                    raise self.fail("bytes beside text")
                 self.i += 1
             return 0
         if k in ("number", "None", "True", "False", "..."):
@@ -357,9 +383,9 @@ class _Parser(Cursor):
         self.need("}")
 
     def arguments(self) -> None:
-        keyword, unpacked = False, False
+        keyword, unpacked, begin = False, False, self.i
         while not self.take(")"):
-            k = self.kinds[self.i]
+            k, at = self.kinds[self.i], self.i
             if k == "*":
                 self.i += 1
                 self.expression()
@@ -377,6 +403,8 @@ class _Parser(Cursor):
                 self.named()
                 if self.kinds[self.i] in ("for", "async"):
                     self.comprehension()
+                    if at != begin or self.kinds[self.i] == ",":
+                        raise self.fail("generator beside other arguments")
                 elif keyword or unpacked:
                     raise self.fail("argument order")
             if not self.take(","):
@@ -683,6 +711,8 @@ class _Parser(Cursor):
 
     def small(self) -> None:
         k = self.kinds[self.i]
+        if k == "name" and self.kinds[self.i + 1] == ":=":
+            raise self.fail("misplaced ':='")
         if k in ("pass", "break", "continue"):
             self.i += 1
         elif k == "return":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from dialogforge.llm.syntax.base import MAX_DEPTH, Stop
+from dialogforge.llm.syntax.base import MAX_DEPTH, Stop, Unjudged
 
 _OPERATOR = re.compile(r"&&|\|\||;;&|;;|;&|\|&|<<<|<<-|<<|&>>|&>|>>|>&|<&|<>|>\||[;&|()<>]")
 _REDIRECT = frozenset(["<", ">", ">>", "<<", "<<-", "<<<", ">&", "<&", "<>", ">|", "&>", "&>>"])
@@ -12,6 +12,7 @@ _RESERVED = frozenset("if then elif else fi for while until do done case esac se
 _CLOSING = frozenset(["then", "elif", "else", "fi", "do", "done", "esac", "}"])
 _PLAIN = re.compile(r"[^\s\"'`$\;&|()<>]+")
 _ASSIGNMENT = re.compile(r"[^\W\d]\w*(?:\[[^\]]*\])?\+?=$")
+_DESCRIPTOR = re.compile(r"\d+|\{\w+\}")
 _NAME = re.compile(r"[^\W\d][\w-]*$")
 
 
@@ -137,7 +138,7 @@ class _Parser:
 
     def backquoted(self) -> None:
         self.at += 1
-        while self.at < self.end:
+        while self.at < self.end:  # what is within is read when it runs, as bash does
             ch = self.text[self.at]
             self.at += 2 if ch == "\\" else 1
             if ch == "`":
@@ -243,7 +244,7 @@ class _Parser:
     def enter(self) -> None:
         self.depth += 1
         if self.depth > MAX_DEPTH:
-            raise self.fail("nested too deeply")
+            raise Unjudged(self.errors)
 
     # Grammar.
 
@@ -352,6 +353,12 @@ class _Parser:
             self.need_word("}")
         elif word == "[[":
             self.test()
+        elif self.kind == "word" and self.plain and self.value == "coproc":
+            self.advance()
+            if self.kind == "word" and self.plain and not self.reserved() and _NAME.match(self.value) and self.text[self.at :].lstrip(" \t")[:1] in ("{", "("):
+                self.advance()
+            self.command()
+            compound = False
         elif word == "function":
             self.advance()
             if self.kind != "word":
@@ -394,7 +401,7 @@ class _Parser:
         if self.kind == "(" and self.text[self.at : self.at + 1] == "(" and self.arithmetic(self.at - 1):
             self.advance()
         else:
-            if self.kind != "word" or not _NAME.match(self.value):
+            if self.kind != "word":  # whether it is a name is found out when it runs
                 raise self.fail("expected a name")
             self.advance()
             self.newlines()
@@ -467,8 +474,12 @@ class _Parser:
         return True
 
     def redirects(self) -> None:
-        while self.redirect():
-            pass
+        """Redirections behind a compound command, each perhaps with the number or the name of its descriptor."""
+        while True:
+            if self.kind == "word" and _DESCRIPTOR.fullmatch(self.value) and self.text[self.at : self.at + 1] in ("<", ">"):
+                self.advance()
+            if not self.redirect():
+                return
 
     def simple(self) -> None:
         count, first, plain = 0, "", False

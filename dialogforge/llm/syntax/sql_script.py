@@ -134,13 +134,102 @@ class _Parser(Cursor):
             self.name()
             if self.take("=") or self.word("to"):
                 self.expression()
-        elif v in ("grant", "revoke"):
+        elif v in ("grant", "revoke", "copy", "lock", "vacuum", "reindex", "cluster", "notify", "listen"):
             self.i += 1
-            while self.kind not in (";", "eof"):
+            self.rest()
+        elif v == "merge":
+            self.merge()
+        elif v == "call":
+            self.i += 1
+            self.name()
+            self.need("(")
+            if not self.take(")"):
+                self.list()
+                self.need(")")
+        elif v == "declare":
+            self.i += 1
+            self.need("name")
+            self.rest()
+        elif v == "analyze":
+            self.i += 1
+            self.word("verbose")
+            if self.kind == "name":
+                self.name()
+                if self.kind == "(":
+                    self.columns()
+        elif v == "comment":
+            self.i += 1
+            self.expect("on")
+            while self.kind not in ("is", ";", "eof", "bad"):
                 self.i += 1
+            self.expect("is")
+            if not self.take("null"):
+                self.need("string")
+        elif v == "refresh":
+            self.i += 1
+            self.expect("materialized", "view")
+            self.word("concurrently")
+            self.name()
+            if self.word("with"):
+                self.word("no")
+                self.expect("data")
+        elif v in ("savepoint", "release", "deallocate", "execute", "prepare"):
+            self.i += 1
+            self.word("savepoint")
+            self.need("name")
+            self.rest(empty=True)
         else:
             raise self.fail("expected a statement")
 
+    def rest(self, empty: bool = False) -> None:
+        """What this grammar does not know of a statement; its brackets must close and its tokens be whole."""
+        begin = self.i
+        while self.kind not in (";", "eof"):
+            if self.kind == "(":
+                self.balanced()
+            elif self.kind in ("bad", ")"):
+                raise self.fail("unexpected token")
+            else:
+                self.i += 1
+        if self.i == begin and not empty:
+            raise self.fail("unfinished statement")
+
+    def merge(self) -> None:
+        self.i += 1
+        self.expect("into")
+        self.name()
+        self.alias()
+        self.expect("using")
+        self.table()
+        self.expect("on")
+        self.expression()
+        count = 0
+        while self.take("when"):
+            count += 1
+            self.word("not")
+            self.expect("matched")
+            if self.word("by"):
+                if not self.word("source"):
+                    self.expect("target")
+            if self.take("and"):
+                self.expression()
+            self.expect("then")
+            if self.word("update"):
+                self.expect("set")
+                self.assignments()
+            elif self.word("insert"):
+                if self.kind == "(":
+                    self.columns()
+                if not self.word("default", "values"):
+                    self.expect("values")
+                    self.need("(")
+                    self.list()
+                    self.need(")")
+            elif not self.word("delete") and not self.word("do", "nothing"):
+                raise self.fail("expected update, insert or delete")
+        if not count:
+            raise self.fail("expected when")
+
     def name(self) -> None:
         self.need("name")
         while self.take("."):
@@ -174,7 +263,7 @@ class _Parser(Cursor):
                 return
 
     def alias(self) -> None:
-        if self.take("as") or self.kind == "name":
+        if self.take("as") or self.kind == "name" and self.values[self.i] != "tablesample":
             self.need("name")
             if self.kind == "(" and self.kinds[self.i + 1] == "name":
                 self.columns()
@@ -234,8 +323,7 @@ class _Parser(Cursor):
             self.name()
         elif self.word("function") or self.word("procedure") or self.word("trigger") or self.word("type"):
             self.name()
-            while self.kind not in (";", "eof"):
-                self.i += 1
+            self.rest()
         else:
             raise self.fail("expected what to create")
 
@@ -539,6 +627,11 @@ class _Parser(Cursor):
                     self.list()
                     self.need(")")
         self.alias()
+        if self.word("tablesample"):
+            self.need("name")
+            self.balanced()
+            if self.word("repeatable"):
+                self.balanced()
 
     # Expressions.
 
@@ -609,7 +702,10 @@ class _Parser(Cursor):
             if self.take("::"):
                 self.type()
             elif self.take("["):
-                self.expression()
+                if self.kind != ":":
+                    self.expression()
+                if self.take(":") and self.kind != "]":
+                    self.expression()
                 self.need("]")
             elif self.word("at", "time", "zone"):
                 self.primary()

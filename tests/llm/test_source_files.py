@@ -2,11 +2,13 @@ import ast
 import glob
 import json
 import os
+import random
+import subprocess
 
 import pytest
 
 from dialogforge.llm.source_files import invalid_files, invalid_rates, parsed_files
-from dialogforge.llm.syntax import errors_of
+from dialogforge.llm.syntax import UNJUDGED, errors_of
 
 VALID = {
     "py": ["x = 1", "", "# only a comment", "async def f(a, /, b=1, *, c, **k):\n    async with a as b, c:\n        return [i async for i in b if i]\n", "match x:\n    case [1, *rest] if rest:\n        pass\n    case {'a': 1, **r} | None as q:\n        pass\n", "try:\n    pass\nexcept* E as e:\n    raise X from e\n", "BAD = '<<<<<<< HEAD'\n", "x: int = (yield)\nprint(*a, **b)\nlambda *a, k=1: (a, k)\n", "def f[T: int](x: T) -> T: return x\n", "x = f'{a[\"b\"]!r:>{w}} {{}} {f(\"y\", {1: 2})}' f\"{d[\"k\"]:%H:%M}\"\ny = rf'\\d{n}'\n", "a, *b = c = 1, 2\na[1:2, ::3] = b\nif (n := 1): pass\n"],
@@ -80,3 +82,76 @@ def test_tables(spark):
     rates = {(r.grouped, r.repo, r.language): (r.files, r.invalid, r.rate) for r in invalid_rates(df).collect()}
     assert rates["repo, language", "r", "python"] == (2, 1, 0.5) and rates["language", None, "json"] == (1, 1, 1.0) and rates["repo", None, None] == (1, 1, 1.0)
     assert parsed_files(df.limit(0)).count() == 0
+
+
+SHELL = ["for x in a; do b; done 2>&1", "( a ) 2>/dev/null", "if a; then b; fi 2>/dev/null", "while a; do b; done < f 2> g", "f() { a; } 2>/dev/null", "[[ a ]] 2>/dev/null", "coproc x { y; }", "{ a; } {fd}> f 3<&-", "x=`ls | wc -l`", "for x.y in a; do b; done", "x=`if a; then`", "( a ) 2>", "{ a; } 2", "coproc", "x=`a", "f() { a; } 2> ; b"]
+SQL_VALID = ["MERGE INTO t USING s ON t.a = s.a WHEN MATCHED AND s.b > 1 THEN UPDATE SET b = s.b WHEN NOT MATCHED THEN INSERT (a, b) VALUES (s.a, s.b)", "CALL p(1, 'x')", "COPY t (a, b) FROM '/f.csv' WITH (FORMAT csv)", "DECLARE c CURSOR FOR SELECT 1", "ANALYZE t", "SELECT * FROM t TABLESAMPLE BERNOULLI (10) REPEATABLE (1)", "COMMENT ON TABLE t IS 'x'", "LOCK TABLE t IN SHARE MODE", "REFRESH MATERIALIZED VIEW CONCURRENTLY v", "SELECT a[1:2], b[:3], c[4] FROM t", "GRANT SELECT ON t TO u", "CREATE FUNCTION f(a int) RETURNS int AS $$ SELECT 1; $$ LANGUAGE sql"]
+SQL_BROKEN = ["MERGE INTO t USING s ON t.a = s.a", "CALL p", "COMMENT ON TABLE t", "GRANT", "CREATE FUNCTION f(a int", "REFRESH VIEW v", "SELECT * FROM t TABLESAMPLE", "COPY t (a", "CREATE FUNCTION f() RETURNS int AS $$ SELECT 1;"]
+PYTHON = ['"""a"\nx = 1\n', "x = '''a''", 'x = ""\ny = "" ""', 'f"""{a}"', "x = b'é'", "u'a' b'b'", "b'a' b'b'", "f(x for x in y, 1)", "f(1, x for x in y)", "f((x for x in y), 1)", "a := 1", "(a := 1)", "x = f'{a +}'", "x = f'{a!r:>{w}} {b=} {c == d} {lambda_}'", "x = f'{m\\anifest}'", "x = f'{samp!ler}'", "x = f'{if}'", "x = f'{f\"{y}\"}'", "x = f'{ {1: 2}[1] }'"]
+
+
+@pytest.mark.parametrize("text", SHELL)
+def test_shell_agrees_with_bash(text):
+    fine = subprocess.run(["bash", "-n"], input=text.encode(), capture_output=True).returncode == 0
+    assert (errors_of("sh", text)[0] == []) == fine
+
+
+@pytest.mark.parametrize("text", PYTHON)
+def test_python_details(text):
+    try:
+        ast.parse(text)
+        fine = True
+    except SyntaxError:
+        fine = False
+    assert (errors_of("py", text)[0] == []) == fine
+
+
+def test_sql_statements():
+    assert [t for t in SQL_VALID if errors_of("sql", t)[0]] == []
+    assert [t for t in SQL_BROKEN if not errors_of("sql", t)[0]] == []
+
+
+def test_templates_are_parsed():
+    assert errors_of("js", "x = `a ${b + 1} ${f(`${c}`)}`")[0] == []
+    assert errors_of("js", "x = `a ${b +}`")[0] and errors_of("js", "x = `${}`")[0]
+
+
+def test_json_resumes_within_the_container():
+    assert len(errors_of("json", '{"a": 1, "b":, "c": 2, "d" 3}')[0]) == 2
+    assert len(errors_of("json", '[1, , {"a" 1, "b": [1 2, 3]}, nul]')[0]) == 4
+    assert errors_of("json", "[" * 200_000 + "]" * 200_000)[0] == []
+    assert errors_of("json", "[" * 1_200 + "{}")[0]
+
+
+def test_depth_gives_no_verdict(spark):
+    deep = "x = " + "(" * 30_000 + "1" + ")" * 30_000
+    assert errors_of("js", deep) == ([], UNJUDGED)
+    assert errors_of("js", "x = ;\n" + deep)[0]  # errors before it count
+    assert errors_of("js", "x = " + "(" * 1_200 + "1" + ")" * 1_200)[0] == []
+    rows = spark.createDataFrame([(1, "r", "a.js", deep), (2, "r", "a.js", "x = ;")], "msg_id bigint, repo string, file_path string, code_snippet string")
+    assert [r.msg_id for r in invalid_files(rows).collect()] == [2]
+    assert {r.msg_id: (r.valid, r.cause) for r in parsed_files(rows).collect()}[1] == (None, UNJUDGED)
+
+
+def mutated(rng, text):
+    at = rng.randrange(len(text))
+    return [text[:at] + text[at + 1 :], text[:at] + rng.choice("(){}[]:;,\"'`|&<>=*\\\n #$!.@") + text[at:], text[: at + 1], text[:at] + text[at + rng.randrange(1, 12) :]][rng.randrange(4)]
+
+
+@pytest.mark.parametrize("extension", ["py", "json", "sh"])
+def test_agreement_on_generated_texts(extension):
+    rng = random.Random(8)
+    seeds = VALID[extension] + ['{"a": [1, 2.5, {"b": null}], "c": "x"}'] * (extension == "json")
+
+    def fine(text):
+        try:
+            if extension == "sh":
+                return subprocess.run(["bash", "-n"], input=text.encode(), capture_output=True).returncode == 0
+            ast.parse(text) if extension == "py" else json.loads(text)
+            return True
+        except (SyntaxError, ValueError):
+            return False
+
+    texts = [mutated(rng, rng.choice([s for s in seeds if s])) for _ in range(500)]
+    differ = [t for t in texts if (errors_of(extension, t)[0] == []) != fine(t)]
+    assert len(differ) <= (0 if extension == "json" else 25), differ  # bash and Python check more than their grammar

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogforge.functions import tasks
 from dialogforge.functions.text import json_valid, parse_k_values
 from dialogforge.operators import codeeval, dedup, records, scores, similarity, turns
-from dialogforge.session import ship
+from dialogforge.session import clear_cuts, ship
 from dialogforge.sources import jsonl
 
 #: What the tools read of a dialogue; records keep their other fields as text.
@@ -29,20 +29,13 @@ def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     return jsonl.validated(_lines(spark, paths)).withColumn("d", F.from_json("raw", DIALOGUE)).select("file", "line_no", "raw", "d.*")
 
 
-def _with_field(raw: Column, name: str, value: Column) -> Column:
-    """A JSON object's text with one more field at its end."""
-    body = F.regexp_replace(F.rtrim(raw), r"\}\s*$", "")
-    comma = F.when(F.regexp_like(body, F.lit(r"^\s*\{\s*$")), "").otherwise(", ")
-    return F.concat(body, comma, F.lit(f'"{name}": '), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"^\{\"v\":(.*)\}$", 1), F.lit("}"))
-
-
 def check_duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
     found = _records(spark, a.inputs).select(F.col("file").alias("scope"), F.col("line_no").alias("line"), turns.opening_key(F.col("turns")).alias("key"), "raw")
     flagged = dedup.flags(dedup.near_groups(found.drop("raw"), a.threshold))
     dedup.totals(flagged).show(truncate=False)
     if a.out:
         listed = dedup.list_duplicates(flagged)
-        marked = found.join(listed, ["scope", "line"]).select("scope", "line", _with_field(F.col("raw"), a.field, F.col("flag")).alias("raw"))
+        marked = found.join(listed, ["scope", "line"]).select("scope", "line", records.with_json_field(F.col("raw"), a.field, F.col("flag")).alias("raw"))
         jsonl.write_lines(marked.orderBy("scope", "line"), a.out)
 
 
@@ -93,7 +86,7 @@ def combine(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def add_id(spark: SparkSession, a: argparse.Namespace) -> None:
     lines = records.add_ids(_lines(spark, a.inputs), a.prefix, name="_id")
-    marked = F.when(F.trim("raw") == "", F.col("raw")).otherwise(_with_field(F.col("raw"), a.json_path, F.col("_id")))
+    marked = F.when(F.trim("raw") == "", F.col("raw")).otherwise(records.with_json_field(F.col("raw"), a.json_path, F.col("_id")))
     jsonl.write_lines(lines.withColumn("raw", marked).orderBy("file", "line_no"), a.out)
 
 
@@ -157,7 +150,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = _parser().parse_args(argv)
     session = spark or SparkSession.builder.appName("dialogforge").getOrCreate()
     ship(session)
-    a.run(session, a)
+    try:
+        a.run(session, a)
+    finally:
+        clear_cuts(session)
 
 
 if __name__ == "__main__":

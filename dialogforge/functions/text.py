@@ -79,7 +79,7 @@ def run_stamp(moment: Column) -> Column:
 
 def custom_id_index(custom_id: Column, prefix: str = "id_0", offset: int = 1) -> Column:
     """The line a request id stands for: the bare prefix is line 0, a number behind it is itself plus ``offset``; null if it is neither."""
-    rest = F.substring(custom_id, len(prefix) + 1, 1_000)
+    rest = F.substring(custom_id, len(prefix) + 1, 2**31 - 1 - len(prefix))
     number = F.when(F.regexp_like(rest, F.lit(r"^\d+$")), rest.try_cast("bigint"))
     return F.when(custom_id == prefix, F.lit(0).cast("bigint")).when(custom_id.startswith(prefix), number + offset)
 
@@ -92,7 +92,8 @@ def parse_k_values(text: str) -> list[int]:
     return values
 
 
-_CODE_START = re.compile(r"^\s*(?:import|from|def|class)\b|^\s*@")
+#: How a line begins that is code (fixed value).
+_CODE_START = re.compile(r"^\s*(?:import\s+\w|from\s+\w+\s+import|def\s+\w|class\s+\w|@\w)")
 _BLOCK = re.compile(r"```[a-zA-Z0-9_+\-]*\n(.*?)```", re.S)
 
 

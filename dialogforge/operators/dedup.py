@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from dialogforge.operators.components import components
 from dialogforge.operators.similarity import difflib_ratio
@@ -69,8 +68,8 @@ def totals(flagged: DataFrame) -> DataFrame:
 def _candidates(keys: DataFrame) -> DataFrame:
     """Pairs ``scope, a, b`` of lines that share a band of their shingles' least hashes; copies have been collapsed before.
 
-    Within a band each line meets the band's least line and its neighbour by line number. This only unites large groups at
-    little cost; ``_rest`` finds every other link.
+    Within a band each line meets the band's least line, found by a map-side combined aggregation. This only unites large groups
+    at little cost; ``_rest`` finds every other link.
     """
     words = F.split("key", " +")
     grams = F.when(F.size("words") < SHINGLE, F.array("key")).otherwise(F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, F.lit(SHINGLE)), " ")))
@@ -78,9 +77,8 @@ def _candidates(keys: DataFrame) -> DataFrame:
     least = lambda k: F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(k))))
     bands = F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
     rows = hashed.select("scope", "line", "chars", F.explode(bands).alias("band"))
-    place = W.partitionBy("scope", "band").orderBy("line")
-    held = rows.withColumn("before", F.lag("line").over(place)).withColumn("first", F.min("line").over(W.partitionBy("scope", "band")))
-    pairs = held.select("scope", F.explode(F.array("before", "first")).alias("a"), F.col("line").alias("b")).filter("a is not null and a <> b")
+    least = rows.groupBy("scope", "band").agg(F.min("line").alias("a"))
+    pairs = rows.join(least, ["scope", "band"]).select("scope", "a", F.col("line").alias("b")).filter("a <> b")
     return pairs.distinct()
 
 

@@ -84,8 +84,10 @@ def parse_judgement(reply: Column, threshold: int = THRESHOLD) -> Column:
     )
 
 
-def complete(prompts: DataFrame, factory: Callable[[], Client], system: str = SYSTEM, parallel: int = 8, attempts: int = 3) -> DataFrame:
-    """``prompts`` with a ``reply`` for each ``prompt``; at most ``parallel`` calls at once, errors become ``error: ...``.
+def complete(prompts: DataFrame, factory: Callable[[], Client], system: str = SYSTEM, parallel: int | None = None, attempts: int = 3) -> DataFrame:
+    """``prompts`` with a ``reply`` for each ``prompt``; errors become ``error: ...``.
+
+    parallel: at most so many calls at once, for a service that limits them; None for a task per partition of the prompts.
 
     Write the result before using it twice: a lost task would call the model again.
     """
@@ -103,10 +105,10 @@ def complete(prompts: DataFrame, factory: Callable[[], Client], system: str = SY
             yield batch.assign(reply=replies)[[*names, "reply"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", reply string"
-    return prompts.repartition(parallel).mapInPandas(answer, schema)
+    return (prompts.repartition(parallel) if parallel else prompts).mapInPandas(answer, schema)
 
 
-def judge(pairs: DataFrame, factory: Callable[[], Client], threshold: int = THRESHOLD, parallel: int = 8) -> DataFrame:
+def judge(pairs: DataFrame, factory: Callable[[], Client], threshold: int = THRESHOLD, parallel: int | None = None) -> DataFrame:
     """``pairs`` (``guideline, reference, candidate`` and ids) with the parsed judgement."""
     if not 1 <= threshold <= 10:
         raise ValueError("threshold must lie in 1..10")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -111,13 +115,21 @@ def line_counts(lines: DataFrame, valid: Column, by: list[str]) -> DataFrame:
 
 
 def unique_ids(df: DataFrame, id_column: str, order: list[str]) -> DataFrame:
-    """Repeated ids made distinct: every further occurrence gets its number behind a hyphen.
+    """Repeated ids made distinct: every further occurrence gets its number (from 1) behind a hyphen.
 
-    Unlike renaming in sequence, which depends on every id seen before, this needs only the rows of one id, spread by a
-    hash and ordered; occurrences beyond the first are numbered from 1.
+    order: columns that name a row together with the id. A new id that some row already has gets low lines behind it until
+    it is free. Rows are numbered by ranges, so that an id of any number of rows is spread. Null ids stay null.
     """
-    place = F.row_number().over(W.partitionBy(id_column).orderBy(*order)) - 1
-    return df.withColumn("_k", place).withColumn(id_column, F.when(F.col("_k") == 0, F.col(id_column)).otherwise(F.concat_ws("-", id_column, F.col("_k").cast("string")))).drop("_k")
+    placed = numbered(df.filter(F.col(id_column).isNotNull()), [id_column, *order], "_n")
+    first = placed.groupBy(F.col(id_column).alias("_id")).agg(F.min("_n").alias("_first"))
+    ranked = placed.join(first, F.col(id_column) == F.col("_id")).withColumn("_k", F.col("_n") - F.col("_first"))
+    further = F.concat_ws("-", id_column, F.col("_k").cast("string"))
+    made = cut(ranked.withColumn("_new", F.when(F.col("_k") == 0, F.col(id_column)).otherwise(further)).drop("_n", "_id", "_first"), "made")
+    known = first.select(F.col("_id").alias("_new"), F.lit(True).alias("_taken"))
+    while made.filter("_k > 0").join(known, "_new", "left_semi").limit(1).count():  # ids that end so are rare: a round or two
+        marked = made.join(known, "_new", "left")
+        made = cut(marked.withColumn("_new", F.when((F.col("_k") > 0) & F.col("_taken"), F.concat("_new", F.lit("_"))).otherwise(F.col("_new"))).drop("_taken"), "made")
+    return made.withColumn(id_column, F.col("_new")).select(df.columns).unionByName(df.filter(F.col(id_column).isNull()))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "number", start: int = 0) -> DataFrame:
@@ -134,25 +146,32 @@ def numbered(df: DataFrame, order: list[str], name: str = "number", start: int =
 
 
 _BUCKETS = 4_096
+_ORDERED = 10_000  # rows of one bucket that may be ordered in one place
 
 
 def sample_exact(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, uniformly by a seeded hash of ``keys`` (which name a row).
 
-    The hash's leading bits are counted in buckets; whole buckets below the cut are kept and only the bucket at the cut is
-    ordered, so that a large sample never gathers in one place. Equal keys are told apart by nothing: they count as rows.
+    The hash's leading digits are counted in buckets; whole buckets below the cut are kept, and the bucket at the cut is
+    taken apart by the next digits until it is small enough to be ordered, so that no sample gathers in one place.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).withColumn("_b", F.pmod("_h", F.lit(_BUCKETS)))
-    counts = {r["_b"]: r["n"] for r in hashed.groupBy("_b").agg(F.count("*").alias("n")).collect()}  # at most _BUCKETS rows
-    left, cut = n, _BUCKETS
-    for bucket in range(_BUCKETS):
-        if counts.get(bucket, 0) > left:
-            cut = bucket
+    digit = lambda level: F.pmod(F.shiftrightunsigned("_h", 12 * level), F.lit(_BUCKETS))
+    part, kept, left = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)), [], n
+    for level in range(5):
+        counts = {r["b"]: r["n"] for r in part.groupBy(digit(level).alias("b")).agg(F.count("*").alias("n")).collect()}  # at most _BUCKETS rows
+        if sum(counts.values()) <= left:
+            kept.append(part)
+            break
+        at = 0
+        while counts.get(at, 0) <= left:
+            left -= counts.get(at, 0)
+            at += 1
+        kept.append(part.filter(digit(level) < at))
+        part = part.filter(digit(level) == at)
+        if counts[at] <= _ORDERED or level == 4:  # equal hashes are left in the end
+            kept.append(part.orderBy("_h", *keys).limit(left))
             break
-        left -= counts.get(bucket, 0)
-    whole = hashed.filter(F.col("_b") < cut)
-    part = hashed.filter(F.col("_b") == cut).orderBy("_h", *keys).limit(left)
-    return whole.unionByName(part).drop("_h", "_b")
+    return functools.reduce(DataFrame.unionByName, kept).drop("_h")
 
 
 def sample_percent(df: DataFrame, percent: float, keys: list[str], seed: int = 0) -> DataFrame:
@@ -160,3 +179,33 @@ def sample_percent(df: DataFrame, percent: float, keys: list[str], seed: int = 0
     if not 0 < percent <= 100:
         raise ValueError("percent must lie in (0, 100]")
     return sample_exact(df, round(df.count() * percent / 100), keys, seed)
+
+
+def with_json_field(raw: Column, path: str, value: Column) -> Column:
+    """A JSON object's text with ``value`` (a text) at a dotted path; a field that is there is replaced, missing objects are made.
+
+    Text that is no object stays as it is.
+    """
+
+    @F.pandas_udf("string")
+    def put(lines: pd.Series, values: pd.Series) -> pd.Series:
+        *steps, name = path.split(".")
+
+        def one(line: str | None, v: str | None) -> str | None:
+            try:
+                record = json.loads(line)
+            except (TypeError, ValueError, RecursionError):
+                return line
+            if not isinstance(record, dict):
+                return line
+            at = record
+            for step in steps:
+                if not isinstance(at.get(step), dict):
+                    at[step] = {}
+                at = at[step]
+            at[name] = v
+            return json.dumps(record, ensure_ascii=False)
+
+        return pd.Series([one(x, v) for x, v in zip(lines, values)], dtype=object)
+
+    return put(raw, value)

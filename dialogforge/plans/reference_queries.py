@@ -394,12 +394,12 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT json_extract_string(raw, '$.dialogue_id') AS key, feed, file_seq, line_no, file_name FROM raw_records WHERE trim(coalesce(raw, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AND json_valid(raw))
-SELECT key, max(CAST(file_seq AS BIGINT) * 1000000 + line_no) AS place FROM v WHERE key IS NOT NULL GROUP BY key
+SELECT key, max(struct_pack(a := file_seq, b := line_no)).a AS file_seq, max(struct_pack(a := file_seq, b := line_no)).b AS line_no FROM v WHERE key IS NOT NULL GROUP BY key
 """)
 def keyed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last record of each dialogue over all feeds' files."""
-    lines = table(spark, sf_dir, "raw_records").select("raw", (F.col("file_seq").cast("bigint") * 1_000_000 + F.col("line_no")).alias("place"))
-    return jsonl.keyed(lines, "dialogue_id", ["place"]).select("key", "place")
+    lines = table(spark, sf_dir, "raw_records").select("raw", "file_seq", "line_no")
+    return jsonl.keyed(lines, "dialogue_id", ["file_seq", "line_no"]).select("key", "file_seq", "line_no")
 
 
 @query("SELECT least(100, count(DISTINCT msg_id)) AS sampled FROM messages WHERE msg_id IS NOT NULL")

@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the setting is missing (local tests) a temporary folder is made.
+    Only where the setting is missing on a local master (tests) a temporary folder is made; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = spark.conf.get("dialogforge.shared.dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="dialogforge-")
@@ -34,13 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _cuts_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/dialogforge-{spark.sparkContext.applicationId}"
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written for this application; call it when its results have been written or read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_cuts_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame, name: str = "step", partitions: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a table instead of its lineage.
 
     The files survive the loss of any executor; later steps read columns of them only once computed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_cuts_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df if partitions is None else df.coalesce(partitions)
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -109,19 +109,25 @@ def append_with_ids(df: DataFrame, path: str, order: list[str], prefix: str = "i
 def replace(df: DataFrame, path: str, backup: bool = False) -> None:
     """Puts ``df`` (which may be read from ``path``) in the place of ``path``: written beside it, then renamed.
 
-    backup: the old folder is kept as ``<path>.backup`` if there is none yet.
+    The old folder is moved aside first and deleted last, so that a crash loses neither; if the new one can't be moved, the
+    old one comes back. backup: the old folder is kept as ``<path>.backup`` if there is none yet.
     """
     spark = df.sparkSession
     beside = f"{path}.{uuid.uuid4().hex}"
     write_jsonl(df, beside)
     as_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(as_path(path)):
-        if backup and not fs.exists(as_path(f"{path}.backup")):
-            fs.rename(as_path(path), as_path(f"{path}.backup"))
-        else:
-            fs.delete(as_path(path), True)
-    fs.rename(as_path(beside), as_path(path))
+    kept = backup and not fs.exists(as_path(f"{path}.backup"))
+    aside = f"{path}.backup" if kept else f"{beside}.old"
+    there = fs.exists(as_path(path))
+    if there and not fs.rename(as_path(path), as_path(aside)):
+        raise OSError(f"{path} can't be moved; the new data is at {beside}")
+    if not fs.rename(as_path(beside), as_path(path)):
+        if there:
+            fs.rename(as_path(aside), as_path(path))
+        raise OSError(f"{path} can't be replaced; the new data is at {beside}")
+    if there and not kept:
+        fs.delete(as_path(aside), True)
 
 
 def write_text(spark: SparkSession, path: str, content: str) -> None:

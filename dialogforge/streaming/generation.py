@@ -35,7 +35,7 @@ def restore_progress(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def generate(messages: DataFrame, factory: Callable[[], Client], rounds: int | None = None, parallel: int = 8, done: DataFrame | None = None) -> DataFrame:
+def generate(messages: DataFrame, factory: Callable[[], Client], rounds: int | None = None, parallel: int | None = None, done: DataFrame | None = None) -> DataFrame:
     """``dialogue_id, turn_index, state, prompt, reply`` of all answered turns; each round is written before the next begins.
 
     A dialogue whose call failed is in state ERROR with the error as its reply and gets no further turns.
@@ -62,24 +62,27 @@ def generate(messages: DataFrame, factory: Callable[[], Client], rounds: int | N
 
 
 def _progress(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts a dialogue's turns as they arrive; rows repeated within a batch count once, the state holds the totals."""
-    users, answers = state.get if state.exists else (0, 0)
-    seen: set[int] = set()
+    """Counts a dialogue's turns as they arrive; a message counts once, in whatever batch it is delivered again.
+
+    The state holds the totals and the ids of the dialogue's messages.
+    """
+    users, answers, known = state.get if state.exists else (0, 0, [])
+    seen = set(known)
     for batch in batches:
         for msg_id, role in zip(batch.msg_id, batch.role):
             if msg_id not in seen:
                 seen.add(msg_id)
                 users += role == "user"
                 answers += role == "assistant"
-    state.update((int(users), int(answers)))
+    state.update((int(users), int(answers), sorted(int(x) for x in seen)))
     name = "STARTING" if not users else "DONE" if answers >= users else "PROCESSING"
     yield pd.DataFrame({"dialogue_id": [key[0]], "user_turns": [users], "answers": [answers], "state": [name]})
 
 
 def follow(messages: DataFrame) -> DataFrame:
     """A stream of messages -> a stream of ``dialogue_id, user_turns, answers, state``, updated with every batch."""
-    rows = messages.filter("dialogue_id is not null").select("dialogue_id", "msg_id", role_of(F.col("role")).alias("role"))
-    return rows.groupBy("dialogue_id").applyInPandasWithState(_progress, "dialogue_id string, user_turns bigint, answers bigint, state string", "users bigint, answers bigint", "update", GroupStateTimeout.NoTimeout)
+    rows = messages.filter("dialogue_id is not null and msg_id is not null").select("dialogue_id", "msg_id", role_of(F.col("role")).alias("role"))
+    return rows.groupBy("dialogue_id").applyInPandasWithState(_progress, "dialogue_id string, user_turns bigint, answers bigint, state string", "users bigint, answers bigint, seen array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
 
 def follow_table(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:

@@ -31,3 +31,13 @@ def test_stream(spark, tmp_path):
     generation.follow_table(spark, str(source), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {r.dialogue_id: (r.user_turns, r.answers, r.state) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"d": (2, 1, "PROCESSING"), "e": (1, 0, "PROCESSING")}
+
+
+def test_a_message_that_comes_again_in_a_later_batch_counts_once(spark, tmp_path):
+    schema = "dialogue_id string, msg_id bigint, role string"
+    source, out, marks = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")
+    for rows in ([("d", 1, "user"), ("d", 2, "user"), ("d", 3, "assistant")], [("d", 3, "assistant"), ("d", 1, "user")], [("d", 4, "assistant"), ("d", None, "user")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        generation.follow_table(spark, source, out, marks)
+    got = [(r.user_turns, r.answers, r.state) for r in spark.read.parquet(out).orderBy("batch").collect()]
+    assert got == [(2, 1, "PROCESSING"), (2, 1, "PROCESSING"), (2, 2, "DONE")]

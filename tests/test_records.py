@@ -76,3 +76,27 @@ def test_percent_samples(spark):
     assert records.sample_percent(spark.range(25), 10, ["id"]).count() == 2  # half to even
     with pytest.raises(ValueError):
         records.sample_percent(spark.range(5), 0, ["id"])
+
+
+def test_unique_ids_do_not_meet_ids_that_are_there(spark):
+    rows = [("a", 1), ("a", 2), ("a-1", 3), ("a", 4), ("a-1", 5), ("a-1_", 6), (None, 7), (None, 8)]
+    got = {r.o: r.id for r in records.unique_ids(spark.createDataFrame(rows, "id string, o int"), "id", ["o"]).collect()}
+    assert got == {1: "a", 2: "a-1__", 3: "a-1", 4: "a-2", 5: "a-1-1", 6: "a-1_", 7: None, 8: None}
+    empty = spark.createDataFrame([], "id string, o int")
+    assert records.unique_ids(empty, "id", ["o"]).count() == 0
+
+
+def test_a_bucket_at_the_cut_is_taken_apart(spark, monkeypatch):
+    monkeypatch.setattr(records, "_BUCKETS", 2)
+    monkeypatch.setattr(records, "_ORDERED", 3)
+    rows = spark.range(500)
+    for n in (0, 1, 77, 499, 500, 600):
+        got = [r.id for r in records.sample_exact(rows, n, ["id"], seed=1).collect()]
+        assert len(got) == len(set(got)) == min(n, 500)
+
+
+def test_json_field_is_replaced_and_nested(spark):
+    df = spark.createDataFrame([(1, '{"id": 1, "a": 2}'), (2, '{"a": {"b": 1}}'), (3, "[1]"), (4, None), (5, "bad")], "k int, raw string")
+    put = lambda path: [r.r for r in df.orderBy("k").select(records.with_json_field(F.col("raw"), path, F.lit("x")).alias("r")).collect()]
+    assert put("id") == ['{"id": "x", "a": 2}', '{"a": {"b": 1}, "id": "x"}', "[1]", None, "bad"]
+    assert put("a.b")[:2] == ['{"id": 1, "a": {"b": "x"}}', '{"a": {"b": "x"}}']

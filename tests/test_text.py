@@ -67,3 +67,8 @@ def test_task_codes(spark):
     assert values(spark, ["SCR", "CD", "x"], tasks.evaluators_of) == [["code", "judge"], ["judge"], None]
     assert values(spark, ["SCR", "CD"], lambda c: tasks.evaluators_of(c, code_only=True)) == [["code"], []]
     assert tasks.task_table(spark).count() == 11
+
+
+def test_prose_that_begins_like_an_import_is_no_code():
+    assert text.split_text_and_code("from now on the cache is shared.\nimport") == ("from now on the cache is shared.\nimport", "")
+    assert text.split_text_and_code("see\nfrom a import b\nb()") == ("see", "from a import b\nb()")

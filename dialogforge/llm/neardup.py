@@ -7,7 +7,8 @@ lower level than the next one (early stopping), so only a few levels are looked
 
 Scale: exact copies are collapsed first; band rows are (key, id, length) only; within a band every text is compared with
 the band's pivot first, and only texts outside the pivot's group with the others, so a band full of near-copies costs a
-linear number of comparisons; sketches of 128 bits drop chance pairs before word sets are fetched. No step caps a band.
+linear number of comparisons; a large band is salted there, and no step orders or caps a band. Sketches of 128 bits drop
+chance pairs before word sets are fetched.
 
 Defined results: texts without a word and null ids are in no group; equal texts are in one group; repeated ids (a message
 delivered twice) count once; an empty table gives no rows; columns other than those named are ignored.
@@ -23,7 +24,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from dialogforge.operators.components import components
 from dialogforge.session import cut
@@ -37,6 +37,7 @@ SKETCH_BITS, SKETCH_AGREE = 128, 90
 SHARE = 0.8
 USER_ROLES = ("user", "User", "human")
 _CHUNK = 300_000  # words handled at once
+_BAND_ROWS = 10_000  # rows of a band that one task holds against the texts outside the pivot's group
 _ELEMENTS = "id bigint, n int, fp bigint, elements array<bigint>, signature binary, s0 bigint, s1 bigint"
 
 
@@ -175,11 +176,10 @@ def _grouped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = cut(described.groupBy("fp", "n").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "copies")
     members = described.select("id", "fp", "n").join(copies, ["fp", "n"]).select("id", "rep").distinct()
     reps = described.join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    rows = reps.dropDuplicates(["id"]).select("id", "n", F.explode(_band_keys(F.col("signature"))).alias("key"))
-    in_band = W.partitionBy("key")
-    least = F.min(F.struct("id", "n")).over(in_band)
-    bands = rows.withColumn("p", least).withColumn("held", F.count("*").over(in_band)).filter("held > 1")
-    bands = cut(bands.select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "held"), "bands")
+    rows = cut(reps.dropDuplicates(["id"]).select("id", "n", F.explode(_band_keys(F.col("signature"))).alias("key")), "rows")
+    # The pivot of a band comes from a map-side combined aggregation; a band of any size is split by the join.
+    pivots = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("held")).filter("held > 1")
+    bands = cut(rows.join(pivots, "key").select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "held"), "bands")
     first = bands.filter((F.col("id") != F.col("pivot")) & _near("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     linked = cut(verify(first, reps), "linked")
     parts = cut(components(linked), "parts")
@@ -188,9 +188,10 @@ def _grouped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = bands.filter("held > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_pivot = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
     labelled = labelled.join(of_pivot, "pivot", "left").withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
-    minor = labelled.filter("component <> pivot_component").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"), "pivot_component")
-    others = labelled.filter("id <> pivot").select("key", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_c"))
-    met = minor.join(others, "key").filter((F.col("x_c") != F.col("y_c")) & _near("x_n", "y_n"))
+    salts = F.ceil(F.col("held") / _BAND_ROWS).cast("int")
+    minor = labelled.filter("component <> pivot_component").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"), "pivot_component")
+    others = labelled.filter("id <> pivot").select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_c"))
+    met = minor.join(others, ["key", "salt"]).filter((F.col("x_c") != F.col("y_c")) & _near("x_n", "y_n"))
     second = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = cut(verify(second, reps), "more")
     edges = linked.unionByName(more)

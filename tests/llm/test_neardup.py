@@ -111,3 +111,28 @@ def test_links_count_every_similar_text(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
     got = {r.id: r.links for r in neardup.group_links(df).collect()}
     assert got == expected and max(expected.values()) > 20
+
+
+def test_recall_at_the_least_similarity(spark):
+    """Pairs that share exactly 80 % of equal lengths (Jaccard 2/3), the hardest true ones."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        shared = [f"s{k}x{j}" for j in range(80)]
+        for side in (0, 1):
+            words = shared + [f"o{k}x{side}x{j}" for j in range(20)]
+            rng.shuffle(words)
+            rows.append((2 * k + side, " ".join(words)))
+    groups = {r.id: r.group for r in neardup.group(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert len(groups) == 800 and all(groups[i] // 2 == i // 2 for i in groups)
+    assert sum(groups[2 * k] == groups[2 * k + 1] for k in range(400)) >= 0.98 * 400
+
+
+def test_a_salted_band_loses_no_link(spark, monkeypatch):
+    # Many groups in one band: texts share a long opening, but their groups differ by what follows.
+    shared = [f"w{j}" for j in range(70)]
+    rows = [(10 * g + k, " ".join(shared + [f"g{g}x{j}" for j in range(40)] + [f"k{g}x{k}"])) for g in range(8) for k in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    whole = {r.id: r.group for r in neardup.group(df).collect()}
+    monkeypatch.setattr(neardup, "_BAND_ROWS", 3)
+    assert {r.id: r.group for r in neardup.group(df).collect()} == whole == {i: i // 10 * 10 for i in whole}

@@ -29,19 +29,31 @@ def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     return jsonl.validated(_lines(spark, paths)).withColumn("d", F.from_json("raw", DIALOGUE)).select("file", "line_no", "raw", "d.*")
 
 
+def _write(lines: DataFrame, a: argparse.Namespace) -> None:
+    """Lines to ``--out``, or in the place of the input, of which the first version is kept as a backup."""
+    if a.inplace:
+        jsonl.replace(lines.select(F.col("raw").alias("value")), a.inputs[0], backup=True, text=True)
+    elif a.out:
+        jsonl.write_lines(lines, a.out)
+    else:
+        raise SystemExit("--out or --inplace is needed")
+
+
 def check_duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.inplace and (a.out or len(a.inputs) > 1):
+        raise SystemExit("--inplace takes one input and no --out")
     found = _records(spark, a.inputs).select(F.col("file").alias("scope"), F.col("line_no").alias("line"), turns.opening_key(F.col("turns")).alias("key"), "raw")
     flagged = dedup.flags(dedup.near_groups(found.drop("raw"), a.threshold))
     dedup.totals(flagged).show(truncate=False)
-    if a.out:
+    if a.out or a.inplace:
         listed = dedup.list_duplicates(flagged)
         marked = found.join(listed, ["scope", "line"]).select("scope", "line", records.with_json_field(F.col("raw"), a.field, F.col("flag")).alias("raw"))
-        jsonl.write_lines(marked.orderBy("scope", "line"), a.out)
+        _write(marked.orderBy("scope", "line"), a)
 
 
 def remove_duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
     lines = _lines(spark, a.inputs).withColumn("flag", F.get_json_object("raw", f"$.{a.field}"))
-    jsonl.write_lines(dedup.remove_duplicates(lines).orderBy("file", "line_no"), a.out)
+    _write(dedup.remove_duplicates(lines).orderBy("file", "line_no"), a)
 
 
 def analyze_scores(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -130,8 +142,8 @@ def _parser() -> argparse.ArgumentParser:
 
     method = (["--method"], {"choices": sorted(similarity.METHODS), "default": "difflib"})
     flag = lambda name: ([name], {"action": "store_true"})
-    command(check_duplicates, (["--threshold"], {"type": float, "default": dedup.THRESHOLD}), (["--field"], {"default": "duplicate_flag"}), out=False)
-    command(remove_duplicates, (["--field"], {"default": "duplicate_flag"}))
+    command(check_duplicates, (["--threshold"], {"type": float, "default": dedup.THRESHOLD}), (["--field"], {"default": "duplicate_flag"}), flag("--inplace"), out=False)
+    command(remove_duplicates, (["--field"], {"default": "duplicate_flag"}), flag("--inplace"), out=False)
     command(analyze_scores, (["--task-key"], {"default": "metadata.primary_task"}), (["--pass-at-k"], {"default": "1"}), flag("--no-zero-failed-code-scores"))
     command(compare_dialogues, (["--master"], {"nargs": "+", "required": True}), (["--test"], {"nargs": "+", "required": True}), method, inputs=False)
     command(compare_to_ground_truth, method)

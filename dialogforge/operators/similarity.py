@@ -21,28 +21,25 @@ def difflib_ratio(a: Column, b: Column, autojunk: bool = True) -> Column:
     return ratio(a, b)
 
 
-def tfidf_similarity(a: Column, b: Column) -> Column:
-    """Cosine of TF-IDF vectors fitted on just the two texts; 0 where a text is blank or neither has a word of two characters.
+def tfidf_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``similarity``: the cosine of TF-IDF vectors fitted on just the two texts of a row.
 
-    A term of both texts has idf 1, a term of one 1 + ln 1.5. Words are counted in the JVM.
+    0 where a text is blank or neither has a word of two characters, null where a text is null. A term of both texts has idf 1,
+    a term of one 1 + ln 1.5. Words are counted by an aggregation over (row, word); rows are told apart by a hash of their
+    texts, as equal pairs of texts have equal scores.
     """
-    tokens = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     one = (1 + math.log(1.5)) ** 2
-
-    def count(word: Column, words: Column) -> Column:
-        return F.size(F.filter(words, lambda w: w == word)).cast("double")
-
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, w: acc + f(w))
-
-    def cosine(p: Column) -> Column:
-        ta, tb = p["a"], p["b"]
-        dot = total(F.array_intersect(ta, tb), lambda w: count(w, ta) * count(w, tb))
-        norm = lambda own, other: F.sqrt(total(F.array_distinct(own), lambda w: count(w, own) * count(w, own) * F.when(F.array_contains(other, w), F.lit(1.0)).otherwise(F.lit(one))))
-        return F.try_divide(dot, norm(ta, tb) * norm(tb, ta))
-
-    # Bound by a lambda, so that the words are taken apart once and not for every use.
-    score = F.element_at(F.transform(F.array(F.struct(tokens(a).alias("a"), tokens(b).alias("b"))), cosine), 1)
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(F.coalesce(score, F.lit(0.0)))
+    tokens = lambda t: F.coalesce(F.regexp_extract_all(F.lower(t), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), F.array().cast("array<string>"))
+    texts = pairs.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    keyed = texts.select(F.sha2(F.to_json(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))), 256).alias("_pair"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    side = lambda text, x, y: F.transform(tokens(F.col(text)), lambda w: F.struct(w.alias("w"), F.lit(x).alias("x"), F.lit(y).alias("y")))
+    words = keyed.select("_pair", F.inline(F.concat(side("_a", 1, 0), side("_b", 0, 1))))
+    counted = words.groupBy("_pair", "w").agg(F.sum("x").cast("double").alias("x"), F.sum("y").cast("double").alias("y"))
+    idf = lambda other: F.when(F.col(other) > 0, F.lit(1.0)).otherwise(F.lit(one))
+    norms = counted.groupBy("_pair").agg(F.sum(F.col("x") * F.col("y")).alias("_dot"), F.sqrt(F.sum(F.col("x") * F.col("x") * idf("y"))).alias("_na"), F.sqrt(F.sum(F.col("y") * F.col("y") * idf("x"))).alias("_nb"))
+    marked = pairs.withColumn("_pair", F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.sha2(F.to_json(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))), 256)))
+    score = F.when(F.col("_pair").isNotNull(), F.coalesce(F.try_divide(F.col("_dot"), F.col("_na") * F.col("_nb")), F.lit(0.0)))
+    return marked.join(norms, "_pair", "left").withColumn("similarity", score).drop("_pair", "_dot", "_na", "_nb")
 
 
 def embedding_similarity(a: Column, b: Column) -> Column:
@@ -52,17 +49,29 @@ def embedding_similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
-#: Text methods by name; embeddings need vectors and are called directly.
-METHODS: dict[str, Callable[[Column, Column], Column]] = {"difflib": difflib_ratio, "tfidf": tfidf_similarity}
+def _embedded(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.withColumn("similarity", embedding_similarity(F.col(f"{a}_vector"), F.col(f"{b}_vector")))
+
+
+#: Methods by name; vectors stand in columns named after the texts', with "_vector" behind.
+METHODS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {
+    "embedding": _embedded,
+    "tfidf": tfidf_similarity,
+    "difflib": lambda pairs, a, b: pairs.withColumn("similarity", difflib_ratio(F.col(a), F.col(b))),
+}
 
 
 def compare(pairs: DataFrame, expected: str, actual: str, method: str = "tfidf", id_column: str = "dialogue_id") -> DataFrame:
-    """``id, similarity, method, expected_chars, actual_chars`` of the rows that have both texts; similarity to six digits."""
+    """``id, similarity, method, expected_chars, actual_chars`` of the rows that have both texts; similarity to six digits.
+
+    Without columns of vectors "embedding" falls back to "tfidf"; ``method`` names what was used.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    both = pairs.filter(F.col(expected).isNotNull() & F.col(actual).isNotNull())
-    similarity = F.round(METHODS[method](F.col(expected), F.col(actual)), 6)
-    return both.select(id_column, similarity.alias("similarity"), F.lit(method).alias("method"), F.length(expected).alias("expected_chars"), F.length(actual).alias("actual_chars"))
+    if method == "embedding" and not {f"{expected}_vector", f"{actual}_vector"} <= set(pairs.columns):
+        method = "tfidf"
+    scored = METHODS[method](pairs.filter(F.col(expected).isNotNull() & F.col(actual).isNotNull()), expected, actual)
+    return scored.select(id_column, F.round("similarity", 6).alias("similarity"), F.lit(method).alias("method"), F.length(expected).alias("expected_chars"), F.length(actual).alias("actual_chars"))
 
 
 def summary(details: DataFrame, value: str = "similarity") -> DataFrame:

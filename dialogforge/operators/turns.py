@@ -50,6 +50,23 @@ def rewrap(messages: DataFrame) -> DataFrame:
     return counted.join(firsts, "dialogue_id").select("dialogue_id", "msg_id", "msg_index", "role", (F.lit(1) + F.col("_users") + user - F.col("_first_user")).alias("turn_group"))
 
 
+def wrapped(messages: DataFrame) -> DataFrame:
+    """``dialogue_id, turns``: the flat messages of each dialogue as nested turns, in order; turn_id is the group's number.
+
+    A dialogue becomes one record, as the nested layout has it.
+    """
+    said = delivered_once(messages.withColumn("role", role_of(F.col("role"))), "dialogue_id", "msg_id", "content", "code_snippet")
+    placed = rewrap(messages).join(said, ["dialogue_id", "msg_id"])
+    message = F.struct("msg_index", "msg_id", "role", "content", "code_snippet")
+    groups = placed.groupBy("dialogue_id", F.col("turn_group").cast("int").alias("turn_id")).agg(F.transform(F.sort_array(F.collect_list(message)), lambda m: m.dropFields("msg_index", "msg_id")).alias("messages"))
+    return groups.groupBy("dialogue_id").agg(F.sort_array(F.collect_list(F.struct("turn_id", "messages"))).alias("turns"))
+
+
+def replace_turns(detailed: DataFrame, simple: DataFrame) -> DataFrame:
+    """The records of ``detailed`` that ``simple`` (``dialogue_id, turns``) knows, with its turns in the place of their own."""
+    return detailed.drop("turns").join(simple, "dialogue_id")
+
+
 def prefixes(messages: DataFrame) -> DataFrame:
     """Per message what stands before it in its dialogue: messages, user messages and characters (the history a request carries)."""
     once = delivered_once(messages.withColumn("role", role_of(F.col("role"))).withColumn("chars", F.coalesce(F.length("content"), F.lit(0))), "dialogue_id", "msg_id", "msg_index", "role", "chars")

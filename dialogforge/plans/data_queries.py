@@ -59,13 +59,38 @@ def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat score table."""
-    scores = nested.node_table(table(spark, sf_dir, "dialogues", _SCORES), "score")
-    return scores.select("record_id", "score_key", "pos_1", F.col("index").alias("sample_index"), "score", "verdict", "passed")
+    """The flat score table, each row linked to its record by interval containment."""
+    rows = table(spark, sf_dir, "dialogues", _SCORES)
+    scores = nested.link(nested.node_table(rows, "record"), nested.node_table(rows, "score"))
+    return scores.select("record_id", "parent_pre", "pre", "post", "score_key", "pos_1", F.col("index").alias("sample_index"), "score", "verdict", "passed")
+
+
+def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat turn table, linked to the record."""
+    rows = table(spark, sf_dir, "dialogues", _MESSAGES)
+    return nested.link(nested.node_table(rows, "record"), nested.node_table(rows, "turn")).select("record_id", "parent_pre", "pre", "post", "pos_1", F.col("turn_id").cast("bigint").alias("turn_id"))
+
+
+def p4_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "dialogues", nested.LABEL_SCHEMA)
+    return nested.link(nested.node_table(rows, "record"), nested.node_table(rows, "topic")).select("record_id", "parent_pre", "pre", "post", "pos_1", "topic")
+
+
+def p4_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "dialogues", nested.LABEL_SCHEMA)
+    return nested.link(nested.node_table(rows, "record"), nested.node_table(rows, "constraint")).select("record_id", "parent_pre", "pre", "post", "pos_1", "constraint_text")
+
+
+def p4_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strengths and weaknesses, each row linked to its score by interval containment."""
+    rows = table(spark, sf_dir, "dialogues", _SCORES)
+    both = [nested.node_table(rows, kind).withColumnRenamed(kind, "remark").withColumn("kind", F.lit(kind)) for kind in ("strength", "weakness")]
+    linked = nested.link(nested.node_table(rows, "score"), both[0].unionByName(both[1]))
+    return linked.select("record_id", "parent_pre", "pre", "post", "kind", "score_key", "pos_1", "pos_2", "remark")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_fields, p2_table, p2_dialogues, p4_found, p4_labels, p4_messages, p4_scores)}
+    return {f.__name__: f for f in (p2_found, p2_fields, p2_table, p2_dialogues, p4_found, p4_labels, p4_messages, p4_scores, p4_turns, p4_topics, p4_constraints, p4_remarks)}
 
 
 _UNNESTED = """
@@ -108,8 +133,31 @@ UNION ALL SELECT record_id, 'strength', 'scores.' || k || '[' || i || '].strengt
 UNION ALL SELECT record_id, 'weakness', 'scores.' || k || '[' || i || '].weaknesses[' || (j - 1) || ']' FROM score, unnest(generate_series(1, len(s.weaknesses))) AS u(j) WHERE s.weaknesses[j] IS NOT NULL
 """,
         "p4_scores": f"""
-WITH {_UNNESTED}
-SELECT record_id, k AS score_key, CAST(i AS INTEGER) AS pos_1, s.index AS sample_index, s.score AS score, s.verdict AS verdict, s.passed AS passed FROM score
+WITH {_NODES}
+SELECT s.record_id AS record_id, 0 AS parent_pre, l.pre AS pre, l.post AS post, s.k AS score_key, CAST(s.i AS INTEGER) AS pos_1, s.s.index AS sample_index, s.s.score AS score, s.s.verdict AS verdict, s.s.passed AS passed
+FROM score s JOIN labels l ON l.record_id = s.record_id AND l.kind = 'score' AND l.path = 'scores.' || s.k || '[' || s.i || ']'
+""",
+        "p4_turns": f"""
+WITH {_NODES}
+SELECT t.record_id AS record_id, 0 AS parent_pre, l.pre AS pre, l.post AS post, CAST(t.i AS INTEGER) AS pos_1, CAST(t.t.turn_id AS BIGINT) AS turn_id
+FROM turn t JOIN labels l ON l.record_id = t.record_id AND l.kind = 'turn' AND l.b = t.i
+""",
+        "p4_topics": f"""
+WITH {_NODES}
+SELECT l.record_id AS record_id, 0 AS parent_pre, l.pre AS pre, l.post AS post, CAST(l.b - 1 AS INTEGER) AS pos_1, d.metadata.topics[l.b] AS topic FROM labels l JOIN dialogues d USING (record_id) WHERE l.kind = 'topic'
+""",
+        "p4_constraints": f"""
+WITH {_NODES}
+SELECT l.record_id AS record_id, 0 AS parent_pre, l.pre AS pre, l.post AS post, CAST(l.b - 1 AS INTEGER) AS pos_1, d.final_ground_truth.constraints_to_check[l.b] AS constraint_text FROM labels l JOIN dialogues d USING (record_id) WHERE l.kind = 'constraint'
+""",
+        "p4_remarks": f"""
+WITH {_NODES},
+remark AS (
+SELECT record_id, k, i, 'strength' AS kind, j - 1 AS j, s.strengths[j] AS remark, 'strengths' AS field FROM score, unnest(generate_series(1, len(s.strengths))) AS u(j) WHERE s.strengths[j] IS NOT NULL
+UNION ALL SELECT record_id, k, i, 'weakness', j - 1, s.weaknesses[j], 'weaknesses' FROM score, unnest(generate_series(1, len(s.weaknesses))) AS u(j) WHERE s.weaknesses[j] IS NOT NULL)
+SELECT r.record_id AS record_id, p.pre AS parent_pre, l.pre AS pre, l.post AS post, r.kind AS kind, r.k AS score_key, CAST(r.i AS INTEGER) AS pos_1, CAST(r.j AS INTEGER) AS pos_2, r.remark AS remark
+FROM remark r JOIN labels p ON p.record_id = r.record_id AND p.kind = 'score' AND p.path = 'scores.' || r.k || '[' || r.i || ']'
+JOIN labels l ON l.record_id = r.record_id AND l.kind = r.kind AND l.path = 'scores.' || r.k || '[' || r.i || '].' || r.field || '[' || r.j || ']'
 """,
         "p4_labels": f"WITH {_NODES} SELECT record_id, pre, post, depth, kind, path FROM labels",
         "p4_messages": f"""

@@ -315,6 +315,20 @@ def detailed_simple_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detailed.join(simple, "dialogue_id")
 
 
+@query("""
+WITH f AS (SELECT DISTINCT dialogue_id, msg_id, msg_index, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'model' THEN 'assistant' ELSE lower(trim(role)) END AS role, content FROM messages WHERE dialogue_id IS NOT NULL AND msg_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER w AS place, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS users FROM f WINDOW w AS (PARTITION BY dialogue_id ORDER BY msg_index, msg_id)),
+g AS (SELECT dialogue_id, place, role, content, 1 + users - first_value(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY dialogue_id ORDER BY place) AS turn FROM o),
+s AS (SELECT dialogue_id, max(turn) AS turns, count(*) AS messages, md5(string_agg(turn || chr(31) || role || chr(31) || coalesce(content, ''), chr(30) ORDER BY place)) AS content_md5 FROM g GROUP BY dialogue_id)
+SELECT d.record_id AS record_id, d.dialogue_id AS dialogue_id, CAST(s.turns AS INTEGER) AS turns, s.messages AS messages, s.content_md5 AS content_md5 FROM dialogues d JOIN s ON s.dialogue_id = d.dialogue_id
+""")
+def rewrapped_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluated records with their turns replaced by the flat export's, rewrapped; the turns are shown as a digest of all they hold."""
+    made = turns.replace_turns(table(spark, sf_dir, "dialogues").select("record_id", "dialogue_id", "turns"), turns.wrapped(table(spark, sf_dir, "messages")))
+    said = F.flatten(F.transform("turns", lambda t: F.transform(t["messages"], lambda m: F.concat_ws("\x1f", t["turn_id"].cast("string"), m["role"], F.coalesce(m["content"], F.lit(""))))))
+    return made.select("record_id", "dialogue_id", F.size("turns").alias("turns"), F.size(said).cast("bigint").alias("messages"), F.md5(F.array_join(said, "\x1e").cast("binary")).alias("content_md5"))
+
+
 @query("""
 WITH master AS (SELECT dialogue_id, max_by(list_filter(turns[-1].messages, lambda m: m.role = 'assistant')[-1].content, (exported_at, record_id)) FILTER (true) AS a, arg_max({'c': list_filter(turns[-1].messages, lambda m: m.role = 'assistant')[-1].content}, (exported_at, record_id)) AS s FROM dialogues WHERE dialogue_id IS NOT NULL GROUP BY 1),
 test AS (SELECT dialogue_id, arg_max({'c': content}, (msg_index, msg_id)) AS t FROM messages WHERE dialogue_id IS NOT NULL AND msg_id IS NOT NULL AND CASE lower(trim(role)) WHEN 'model' THEN 'assistant' ELSE lower(trim(role)) END = 'assistant' GROUP BY 1)
@@ -487,9 +501,7 @@ r AS (SELECT record_id, length(a) AS expected_chars, length(b) AS actual_chars,
 @query(f"{_TFIDF} SELECT record_id, similarity, CAST(expected_chars AS INTEGER) AS expected_chars, CAST(actual_chars AS INTEGER) AS actual_chars FROM r")
 def tfidf_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final answers against the expected ones."""
-    rows = _answers(spark, sf_dir)
-    score = F.round(similarity.tfidf_similarity(F.col("expected"), F.col("actual")), 6)
-    return rows.select("record_id", score.alias("similarity"), F.length("expected").alias("expected_chars"), F.length("actual").alias("actual_chars"))
+    return similarity.compare(_answers(spark, sf_dir), "expected", "actual", "tfidf", "record_id").drop("method")
 
 
 @query(f"{_TFIDF} SELECT count(*) AS n, round(avg(similarity), 6) AS mean, round(median(similarity), 6) AS median, min(similarity) AS min, max(similarity) AS max, round(stddev_samp(similarity), 6) AS stdev FROM r")
@@ -529,6 +541,14 @@ def code_eval_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codeeval.evaluate(samples).select("record_id", "passed", "result", "completion_id", "vacuous")
 
 
+@query()
+def candidate_pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues as problems, the final code of each of their records as a candidate: runs, passes and pass@1 and pass@2."""
+    code = _python_answers(spark, sf_dir).drop("reference", "expected").withColumn("expected", F.lit(None).cast("string"))
+    runs = codeeval.evaluate(table(spark, sf_dir, "dialogues").filter("dialogue_id is not null").select("record_id", "dialogue_id").join(code, "record_id"))
+    return codeeval.candidate_rates(runs, "dialogue_id", [1, 2])
+
+
 @query()
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _python_answers(spark, sf_dir).filter("reference is not null")
@@ -580,13 +600,6 @@ def expected_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.answer_pairs(table(spark, sf_dir, "dialogues")).select("record_id", F.md5(F.col("expected").cast("binary")).alias("expected_md5"))
 
 
-@query()
-def judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every dialogue judged through the client interface (the deterministic stand-in gives no valid judgement)."""
-    judged = judging.judge(requests.judge_pairs(table(spark, sf_dir, "dialogues")), judging.EchoClient)
-    return judged.groupBy(F.col("judgement.verdict").alias("verdict")).agg(F.count("*").alias("dialogues"))
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -106,15 +106,15 @@ def append_with_ids(df: DataFrame, path: str, order: list[str], prefix: str = "i
     rows.withColumn("custom_id", F.concat(F.lit(prefix), F.col("_i").cast("string"))).drop("_i").write.mode("append").json(path)
 
 
-def replace(df: DataFrame, path: str, backup: bool = False) -> None:
+def replace(df: DataFrame, path: str, backup: bool = False, text: bool = False) -> None:
     """Puts ``df`` (which may be read from ``path``) in the place of ``path``: written beside it, then renamed.
 
     The old folder is moved aside first and deleted last, so that a crash loses neither; if the new one can't be moved, the
-    old one comes back. backup: the old folder is kept as ``<path>.backup`` if there is none yet.
+    old one comes back. text: the one column holds whole lines. backup: the old folder is kept as ``<path>.backup`` if there is none yet.
     """
     spark = df.sparkSession
     beside = f"{path}.{uuid.uuid4().hex}"
-    write_jsonl(df, beside)
+    df.write.text(beside) if text else write_jsonl(df, beside)
     as_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     kept = backup and not fs.exists(as_path(f"{path}.backup"))

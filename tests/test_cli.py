@@ -53,3 +53,24 @@ def test_lines(spark, data, tmp_path):
     assert (tmp_path / "t" / "task=SCR").is_dir()
     cli.main(["process-data", data, "--out", str(tmp_path / "p")], spark)
     assert len(lines(spark, str(tmp_path / "p"))) == 3
+
+
+def test_flags_in_place_keep_a_backup_and_one_field(spark, data, tmp_path):
+    folder = str(tmp_path / "flat")
+    spark.read.text(data).coalesce(1).write.text(folder)
+    for _ in range(2):
+        cli.main(["check-duplicates", folder, "--inplace"], spark)
+    got = [r.value for r in spark.read.text(folder).collect()]
+    assert len(got) == 3 and all(x.count("duplicate_flag") == 1 for x in got)
+    assert spark.read.text(folder + ".backup").count() == spark.read.text(data).count()
+    cli.main(["remove-duplicates", folder, "--inplace"], spark)
+    assert spark.read.text(folder).count() == 2
+    with pytest.raises(SystemExit):
+        cli.main(["remove-duplicates", folder], spark)
+
+
+def test_ids_at_a_dotted_path(spark, data, tmp_path):
+    out = str(tmp_path / "ids")
+    cli.main(["add-id", data, "--out", out, "--json-path", "metadata.id", "--prefix", "x"], spark)
+    got = [json.loads(r.value) for r in spark.read.text(out).collect() if r.value.startswith("{\"d")]
+    assert [(r["metadata"]["id"], "metadata.id" in r) for r in got] == [("x_0", False), ("x_1", False), ("x_2", False)]

@@ -20,7 +20,7 @@ def reference(a, b):
 
 def test_tfidf(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "i int, a string, b string")
-    got = [r.s for r in df.select("i", similarity.tfidf_similarity(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()]
+    got = [r.s for r in similarity.tfidf_similarity(df, "a", "b").select("i", F.col("similarity").alias("s")).orderBy("i").collect()]
     for (a, b), s in zip(PAIRS, got):
         assert s == (None if b is None else pytest.approx(reference(a, b)))
 
@@ -49,3 +49,15 @@ def test_compare_and_summary(spark):
     assert similarity.summary(similarity.compare(df.limit(0), "x", "y")).first().mean is None
     with pytest.raises(ValueError):
         similarity.compare(df, "x", "y", "unknown")
+
+
+def test_embeddings_fall_back_to_words(spark):
+    df = spark.createDataFrame([(1, "a word", "a word", [1.0, 0.0], [0.0, 1.0])], "dialogue_id int, e string, a string, e_vector array<double>, a_vector array<double>")
+    got = [similarity.compare(x, "e", "a", "embedding").first() for x in (df, df.drop("a_vector"))]
+    assert [(r.method, r.similarity) for r in got] == [("embedding", 0.0), ("tfidf", 1.0)]
+
+
+def test_repeated_rows_have_one_score_each(spark):
+    df = spark.createDataFrame([(1, "red blue blue", "blue"), (1, "red blue blue", "blue"), (2, "x", "y"), (3, None, "y")], "i int, a string, b string")
+    got = [(r.i, r.similarity) for r in similarity.tfidf_similarity(df, "a", "b").orderBy("i").collect()]
+    assert got[0] == got[1] and 0 < got[0][1] < 1 and got[2:] == [(2, 0.0), (3, None)]

@@ -64,3 +64,12 @@ def test_nested(spark):
     assert got[1] == ("A", None, "q  c")
     assert got[2] == got[3] == got[4] == got[5] == (None, None, "")
     assert got[6] == (None, "c", "a")
+
+
+def test_records_take_the_turns_of_the_flat_export(spark):
+    rows = [("d", 3, 2, "human", "q2", None), ("d", 1, 0, "user", "q1", "x = 1"), ("d", 2, 1, "model", "a1", None), ("d", 2, 1, "model", "a1", None), ("e", 4, 0, "user", None, None), (None, 5, 0, "user", "z", None)]
+    flat = spark.createDataFrame(rows, "dialogue_id string, msg_id bigint, msg_index int, role string, content string, code_snippet string")
+    detailed = spark.createDataFrame([(1, "d", "old"), (2, "d", "old"), (3, "f", "old")], "record_id int, dialogue_id string, turns string")
+    got = {r.record_id: [(t.turn_id, [(m.role, m.content, m.code_snippet) for m in t.messages]) for t in r.turns] for r in turns.replace_turns(detailed, turns.wrapped(flat)).collect()}
+    whole = [(1, [("user", "q1", "x = 1"), ("assistant", "a1", None)]), (2, [("user", "q2", None)])]
+    assert got == {1: whole, 2: whole}

@@ -160,9 +160,9 @@ def _near(a: str, b: str) -> Column:
 
 def verify(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of ids whose overlap reaches the share of the longer text, as ``a, b, overlap``."""
-    sketch = lambda side: described.select(F.col("id").alias(side), F.col("s0").alias(f"{side}0"), F.col("s1").alias(f"{side}1"))
+    sketch = lambda side: described.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("s0").alias(f"{side}0"), F.col("s1").alias(f"{side}1"))
     differing = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    likely = pairs.select("a", "b").join(sketch("a"), "a").join(sketch("b"), "b").filter(differing <= SKETCH_BITS - SKETCH_AGREE).select("a", "b")
+    likely = pairs.select("a", "b").join(sketch("a"), "a").join(sketch("b"), "b").filter(_near("a_n", "b_n") & (differing <= SKETCH_BITS - SKETCH_AGREE)).select("a", "b")
     likely = cut(likely, "likely")
     words = lambda side: described.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("elements").alias(f"{side}_e"))
     both = likely.join(words("a"), "a").join(words("b"), "b")
@@ -178,9 +178,9 @@ def _grouped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = described.join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     rows = cut(reps.dropDuplicates(["id"]).select("id", "n", F.explode(_band_keys(F.col("signature"))).alias("key")), "rows")
     # The pivot of a band comes from a map-side combined aggregation; a band of any size is split by the join.
-    pivots = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("held")).filter("held > 1")
-    bands = cut(rows.join(pivots, "key").select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "held"), "bands")
-    first = bands.filter((F.col("id") != F.col("pivot")) & _near("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pivots = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("held")).filter("held > 1")
+    bands = cut(rows.join(pivots, "key").select("key", "id", "n", "pivot", "held"), "bands")
+    first = bands.filter(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     linked = cut(verify(first, reps), "linked")
     parts = cut(components(linked), "parts")
     # Texts of a band outside the group of its pivot are compared with all of the band that isn't in their own group.

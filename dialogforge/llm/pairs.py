@@ -16,6 +16,7 @@ is an empty text; very long texts are judged whole; columns other than those nam
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ ANSWER_ROLES = ("assistant", "Assistant", "ASSISTANT", "model")
 SHINGLE = 3
 #: A copy leaves at most so many words that are not the prompt's, and at most this share of the response.
 OWN_WORDS, OWN_SHARE = 10, 0.45
+#: A response of at least so many words is a reordered copy if at most this share of its words is its own and it holds so much of the prompt.
+MOVED_WORDS, MOVED_OWN, MOVED_SHARE = 8, 0.1, 0.6
 #: Share of a refusal template's words that a sentence must hold in order, and words that other sentences may have.
 TEMPLATE_SHARE, OTHER_WORDS = 0.8, 12
 
@@ -67,9 +70,17 @@ for _language, _words in _LANGUAGES.items():
 _SCORES = {w: [(k, 1.0 / len(v)) for k, _ in v] for w, v in _SCORES.items()}
 _ASKED = re.compile(
     r"\b(?:in|auf|en)\s+(?:(?P<de>german|deutsch|allemand|alemán)|(?P<fr>french|französisch|français|francés)|(?P<es>spanish|spanisch|espagnol|español)|(?P<en>english|englisch|anglais|inglés))\b"
-    r"|\b(?:translate|übersetze|tradui\w*|traduce)\b",
+    r"|\b(?:translate|übersetze|tradui\w*|traduce)\b"
+    r"|\b(?:in|into|auf|en)\s+(?:chinese|mandarin|japanese|korean|russian|ukrainian|greek|arabic|hebrew|hindi|thai|chinesisch|japanisch|koreanisch|russisch|griechisch|arabisch|chinois|japonais|coréen|russe|grec|arabe|chino|japonés|coreano|ruso|griego|árabe)\b",
     re.I,
 )
+#: Languages told by their script: name -> its letters (fixed ranges); Han with Kana is Japanese.
+_SCRIPTS = {
+    "ja": re.compile("[\u3040-\u30ff]"), "zh": re.compile("[\u3400-\u4dbf\u4e00-\u9fff]"), "ko": re.compile("[\uac00-\ud7af]"), "cyrillic": re.compile("[\u0400-\u04ff]"), "el": re.compile("[\u0370-\u03ff]"),
+    "ar": re.compile("[\u0600-\u06ff]"), "he": re.compile("[\u0590-\u05ff]"), "hi": re.compile("[\u0900-\u097f]"), "th": re.compile("[\u0e00-\u0e7f]"),
+}
+#: Share of the letters that must be of a script, and Latin words that make a prompt one in a Latin script.
+_SCRIPT_SHARE, _LATIN_WORDS = 0.5, 4
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _NAMES = re.compile(r"\S*[_/\\@=<>{}|]\S*|\d\S*")
 _ALPHA = re.compile(r"[^\W\d_]+")
@@ -188,6 +199,9 @@ def is_copy(prompt: str, content: str) -> bool:
     a, b = _WORD.findall(prompt.lower()), _WORD.findall(content.lower())
     if len(b) < SHINGLE or len(a) < SHINGLE:
         return bool(b) and a == b and len(b) > 1
+    held = sum((Counter(a) & Counter(b)).values())
+    if len(b) >= MOVED_WORDS and len(b) - held <= MOVED_OWN * len(b) and held >= MOVED_SHARE * len(a):
+        return True  # the prompt's words in another order
     known = set(zip(*(a[k:] for k in range(SHINGLE))))
     covered = bytearray(len(b))
     for k, gram in enumerate(zip(*(b[k:] for k in range(SHINGLE)))):
@@ -236,9 +250,21 @@ def is_truncated(content: str, has_code: bool) -> bool:
     return not (len(words) == 1 and len(lines) == 1)
 
 
+def script(text: str) -> str | None:
+    """The language or script of a text whose letters are mostly not Latin."""
+    letters = sum(map(str.isalpha, text))
+    counts = {name: len(pattern.findall(text)) for name, pattern in _SCRIPTS.items()}
+    if counts["ja"]:
+        counts["ja"], counts["zh"] = counts["ja"] + counts["zh"], 0
+    best = max(counts, key=counts.get)
+    return best if counts[best] and counts[best] >= _SCRIPT_SHARE * letters else None
+
+
 def language(text: str) -> str | None:
-    """The natural language by function words, None if they don't tell; code, names and numbers are left out."""
+    """The natural language by its script or by function words, None if they don't tell; code, names and numbers are left out."""
     plain = _NAMES.sub(" ", _FENCE.sub(" ", text) if "```" in text else text)
+    if not plain.isascii() and (written := script(plain)) is not None:
+        return written
     scores = dict.fromkeys(_LANGUAGES, 0.0)
     for w in _ALPHA.findall(plain.lower()):
         if w in _SCORES:
@@ -253,6 +279,8 @@ def is_other_language(prompt: str, content: str) -> bool:
     if said is None:
         return False
     spoken = language(prompt)
+    if spoken is None and said in _SCRIPTS and len(_ALPHA.findall(prompt)) >= _LATIN_WORDS:
+        spoken = "latin"
     if spoken is None or spoken == said:
         return False
     for asked in _ASKED.finditer(prompt):

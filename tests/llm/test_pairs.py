@@ -87,3 +87,22 @@ def test_refusals_of_any_length(content):
 @pytest.mark.parametrize("content", [f"I can't help with the cache, but {ANSWER}", f"I can't help with {SUBJECT}. {ANSWER}", f"I see that the worker drains the queue before it looks at {SUBJECT}, so this must not decline to keep the order of the second queue when it is done.", f"{ANSWER} " * 12 + f"I can't help with {SUBJECT}."])
 def test_long_answers_are_no_refusals(content):
     assert pairs.defect_of(ASK, content, False) is None
+
+
+def test_other_scripts():
+    question = "Why does the parser drop the last token of this line?"
+    chinese, japanese, russian = "解析器在读取最后一个标记之前就停止了，因此需要先刷新缓冲区。", "パーサーは最後のトークンを読む前に止まります。", "Парсер останавливается до последнего токена, поэтому его нужно сбросить."
+    for answer in (chinese, japanese, russian):
+        assert pairs.defect_of(question, answer, False) == "other_language"
+        assert pairs.defect_of(answer, "The parser stops before the last token, so that it has to be flushed.", False) == "other_language"
+    assert pairs.defect_of(chinese, chinese[4:] + "请先检查缓冲区的大小设置。", False) in (None, "copy")
+    assert pairs.defect_of("Answer in Chinese: " + question, chinese, False) is None
+    assert pairs.defect_of(question, "The sign 解析 stands for parsing, as the author of the file says.", False) is None
+    assert {pairs.language(x) for x in (chinese, japanese, russian)} == {"zh", "ja", "cyrillic"}
+
+
+def test_a_reordered_copy():
+    prompt = "the parser drops the last token of every line when the buffer is full and nobody knows why"
+    words = prompt.split()
+    assert pairs.defect_of(prompt, " ".join(words[::-1]) + ".", False) == "copy"
+    assert pairs.defect_of(prompt, "It drops the token because the buffer is flushed before the last line was read; flush it later.", False) is None

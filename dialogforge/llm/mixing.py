@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -37,7 +40,6 @@ BLOCK = 1_024
 _CHUNK = 65_536  # slots, or documents, that one chunk holds about
 _POINTS = 1 << 31
 _GOLDEN = 1_327_217_885  # the odd number nearest to 2**31 / phi
-_MAX_TARGETS = 10_000
 
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
@@ -47,7 +49,8 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(path, "rb") as f:
+        sent = SparkFiles.get(os.path.basename(path))
+        with open(sent if os.path.exists(sent) else path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         encoding = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
@@ -61,18 +64,17 @@ def source_name(source: Column) -> Column:
 
 
 def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, tokens`` of the usable documents."""
+    """``doc_id, source, tokens`` of the usable documents; the tokenizer's file is sent to the executors by Spark."""
+    documents.sparkSession.sparkContext.addFile(path)
     usable = documents.filter("doc_id is not null and text is not null and source is not null")
     return usable.select("doc_id", source_name(F.col("source")).alias("source"), token_count(F.col("text"), path).alias("tokens"))
 
 
 def _plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None) -> list[dict]:
-    """Per source: share, allowed repeats, tokens at hand; a handful of rows."""
+    """Per source: share, allowed repeats, tokens at hand; as many rows as there are targets, whatever the documents."""
     wanted = targets.filter("source is not null and target_share > 0").select(source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).dropDuplicates(["source"])
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
-    rows = [r.asDict() for r in wanted.join(have, "source", "left").orderBy("source").limit(_MAX_TARGETS + 1).collect()]
-    if len(rows) > _MAX_TARGETS:
-        raise ValueError(f"more than {_MAX_TARGETS} sources have targets")
+    rows = [r.asDict() for r in wanted.join(have, "source", "left").orderBy("source").collect()]
     whole = sum(r["target_share"] for r in rows) or 1.0
     for r in rows:
         r["share"], r["tokens"], r["documents"] = r["target_share"] / whole, r["tokens"] or 0, r["documents"] or 0
@@ -86,15 +88,14 @@ def _plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None) -> lis
 def schedule(sizes: DataFrame, plan: list[dict], block: int) -> DataFrame:
     """``slot, source, rank``: the source of every slot and the slot's rank within it."""
     slots = plan[0]["total"] // block if plan else 0
-    bounds, at = [], 0.0
-    for r in plan:
-        at += r["share"]
-        bounds.append(at)
+    bounds, names = np.cumsum([r["share"] for r in plan]), np.array([r["source"] for r in plan], dtype=object)
+
+    @F.pandas_udf("string")
+    def drawn(point: pd.Series) -> pd.Series:
+        return pd.Series(names[np.minimum(np.searchsorted(bounds, point, side="right"), len(names) - 1)], dtype=object)
+
     point = F.pmod(F.pmod(F.col("id"), F.lit(_POINTS)) * F.lit(_GOLDEN), F.lit(_POINTS)) / F.lit(float(_POINTS))
-    which = F.least(F.size(F.filter(F.lit(bounds or [1.0]), lambda b: b <= F.col("point"))), F.lit(max(0, len(plan) - 1)))
-    names = F.lit([r["source"] for r in plan] or [""])
-    rows = sizes.sparkSession.range(slots).withColumn("point", point)
-    rows = rows.select(F.col("id").alias("slot"), F.element_at(names, which + 1).alias("source"), (F.col("id") / _CHUNK).cast("bigint").alias("chunk"))
+    rows = sizes.sparkSession.range(slots).select(F.col("id").alias("slot"), drawn(point).alias("source"), (F.col("id") / _CHUNK).cast("bigint").alias("chunk"))
     return before(rows, ["source"], ["chunk"], ["slot"], {"rank": F.lit(1)}).select("slot", "source", "rank")
 
 

@@ -61,3 +61,21 @@ def test_empty(corpus):
     assert mixing.mix(docs.limit(0), targets).count() == 0
     assert mixing.mix(docs, targets.limit(0)).count() == 0
     assert {r.tokens for r in mixing.shares(mixing.mix(docs.limit(0), targets), targets).collect()} == {0}
+
+
+def test_any_number_of_sources(corpus):
+    docs, _ = corpus
+    spark = docs.sparkSession
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.25, 3)] + [(f"s{k}", 0.25 / 12_000, 1) for k in range(12_000)], T)
+    report = mixing.shares(mixing.mix(docs, targets, total_tokens=4_000, block=64), targets)
+    assert report.count() == 12_002
+    assert {r.source for r in report.filter("tokens > 0").collect()} == {"big", "small"}
+
+
+def test_the_error_of_a_share_is_bounded_by_blocks_and_texts(corpus):
+    docs, targets = corpus
+    block = 64
+    longest = mixing.sized(docs).agg({"tokens": "max"}).first()[0]
+    for total in (2_000, 4_000):
+        for r in mixing.shares(mixing.mix(docs, targets, total_tokens=total, block=block), targets).collect():
+            assert abs(r.tokens - r.target_share * total) <= 3 * block + longest

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dialogforge.functions import tasks
 from dialogforge.functions.text import json_valid, parse_k_values
-from dialogforge.operators import codeeval, dedup, records, scores, similarity, turns
+from dialogforge.operators import codeeval, dedup, records, requests, scores, similarity, turns
 from dialogforge.session import clear_cuts, ship
 from dialogforge.sources import jsonl
 
@@ -74,9 +74,32 @@ def _compared(details: DataFrame, out: str) -> None:
 def compare_dialogues(spark: SparkSession, a: argparse.Namespace) -> None:
     def answers(paths: list[str], name: str) -> DataFrame:
         rows = _records(spark, paths).select("dialogue_id", "file", "line_no", turns.final_assistant(F.col("turns")).alias(name))
-        return records.last_wins(rows, "dialogue_id", ["file", "line_no"]).select("dialogue_id", name)
+        return records.last_wins(rows, "dialogue_id", ["file", "line_no"])
 
-    _compared(similarity.compare(answers(a.test, "actual").join(answers(a.master, "expected"), "dialogue_id"), "expected", "actual", a.method), a.out)
+    matched = similarity.match_outcomes(answers(a.test, "actual"), answers(a.master, "expected"))
+    _compared(similarity.compare(matched.filter("outcome = 'compared'"), "expected", "actual", a.method), a.out)
+    skipped = matched.filter("outcome <> 'compared'").orderBy("file", "line_no")
+    jsonl.write_jsonl(skipped.select("dialogue_id", "outcome"), f"{a.out}/skipped", "overwrite")
+
+
+def rewrap(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Records of the inputs with their turns replaced by the messages of ``--simple``, rewrapped; other fields stay."""
+    container = requests.message_container(F.col("raw"))
+    flat = jsonl.validated(_lines(spark, a.simple)).select(F.get_json_object("raw", "$.dialogue_id").alias("dialogue_id"), F.posexplode(container).alias("msg_index", "m"))
+    simple = turns.wrapped(flat.select("dialogue_id", F.col("msg_index").cast("bigint").alias("msg_id"), "msg_index", "m.role", "m.content", "m.code_snippet"))
+    detailed = jsonl.validated(_lines(spark, a.inputs)).withColumn("dialogue_id", F.get_json_object("raw", "$.dialogue_id"))
+    made = turns.replace_turns(detailed, simple)
+    _write(made.withColumn("raw", records.with_json_field(F.col("raw"), "turns", F.to_json("turns"), parse=True)).orderBy("file", "line_no"), a)
+
+
+def extract_code(spark: SparkSession, a: argparse.Namespace) -> None:
+    lines = jsonl.validated(jsonl.scan_records(spark, [f"{x.rstrip('/')}/*.jsonl" for x in a.inputs]))
+    jsonl.write_same_names(lines.withColumn("raw", requests.split_records(F.col("raw"))).filter("raw is not null"), a.out)
+
+
+def prep_batch(spark: SparkSession, a: argparse.Namespace) -> None:
+    prompts = _lines(spark, a.inputs).filter(F.trim("raw") != "").select("file", "line_no", F.col("raw").alias("prompt"))
+    jsonl.write_jsonl(requests.batch_requests(prompts, ["file", "line_no"], a.model, a.header, a.copies, a.limit, a.max_tokens), a.out)
 
 
 def compare_to_ground_truth(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -147,6 +170,9 @@ def _parser() -> argparse.ArgumentParser:
     command(analyze_scores, (["--task-key"], {"default": "metadata.primary_task"}), (["--pass-at-k"], {"default": "1"}), flag("--no-zero-failed-code-scores"))
     command(compare_dialogues, (["--master"], {"nargs": "+", "required": True}), (["--test"], {"nargs": "+", "required": True}), method, inputs=False)
     command(compare_to_ground_truth, method)
+    command(rewrap, (["--simple"], {"nargs": "+", "required": True}), flag("--inplace"), out=False)
+    command(extract_code)
+    command(prep_batch, (["--model"], {"required": True}), (["--header"], {"default": ""}), (["--copies"], {"type": int, "default": 1}), (["--limit"], {"type": int}), (["--max-tokens"], {"type": int, "default": requests.MAX_TOKENS}))
     command(sample, (["--int"], {"type": int, "dest": "count"}), (["--percent"], {"type": float, "default": 10.0}), (["--seed"], {"type": int, "default": 0}), flag("--validate-json"))
     command(combine, flag("--skip-invalid"))
     command(add_id, (["--json-path"], {"default": "id"}), (["--prefix"], {"default": ""}))

@@ -181,8 +181,8 @@ def sample_percent(df: DataFrame, percent: float, keys: list[str], seed: int = 0
     return sample_exact(df, round(df.count() * percent / 100), keys, seed)
 
 
-def with_json_field(raw: Column, path: str, value: Column) -> Column:
-    """A JSON object's text with ``value`` (a text) at a dotted path; a field that is there is replaced, missing objects are made.
+def with_json_field(raw: Column, path: str, value: Column, parse: bool = False) -> Column:
+    """A JSON object's text with ``value`` (a text; with ``parse`` JSON) at a dotted path; a field that is there is replaced, missing objects are made.
 
     Text that is no object stays as it is.
     """
@@ -203,9 +203,15 @@ def with_json_field(raw: Column, path: str, value: Column) -> Column:
                 if not isinstance(at.get(step), dict):
                     at[step] = {}
                 at = at[step]
-            at[name] = v
+            at[name] = json.loads(v) if parse and v is not None else v
             return json.dumps(record, ensure_ascii=False)
 
         return pd.Series([one(x, v) for x, v in zip(lines, values)], dtype=object)
 
     return put(raw, value)
+
+
+def require_path(df: DataFrame, raw: str, path: str) -> DataFrame:
+    """``df``, whose job fails at the first row without a value at the dotted path; the error names the path."""
+    there = F.when(get_path(F.col(raw), path).isNull(), F.raise_error(F.lit(f"no value at {path}")).cast("boolean")).otherwise(F.lit(True))
+    return df.filter(there)

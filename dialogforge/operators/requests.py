@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +85,43 @@ def message_container(raw: Column) -> Column:
     nested = F.from_json(turns, f"array<struct<messages:{_FLAT}>>")
     inner = F.flatten(F.filter(F.transform(nested, lambda t: t["messages"]), lambda m: m.isNotNull()))
     return F.coalesce(direct("conversation"), direct("messages"), F.when(F.size(inner) > 0, inner), F.from_json(turns, _FLAT))
+
+
+def split_record(record: dict) -> dict:
+    """A record whose messages are rebuilt with prose and code apart, wherever it keeps them; all its other fields stay.
+
+    The first of ``conversation``, ``messages`` and ``turns`` that holds a list counts. Messages that are no objects stay as they
+    are, and so does content that is no text.
+    """
+
+    def message(m: object) -> object:
+        if not isinstance(m, dict):
+            return m
+        content = m.get("content")
+        prose, code = split_text_and_code(content) if isinstance(content, str) else (content, "")
+        return {"role": m.get("role"), "content": prose, "code_snippet": code, "metadata": {"contains_code": bool(code), "intent": ""}}
+
+    place = next((k for k in ("conversation", "messages", "turns") if isinstance(record.get(k), list)), None)
+    if place is None:
+        return record
+    if place != "turns":
+        return record | {place: [message(m) for m in record[place]]}
+    whole = lambda t: t | {"messages": [message(m) for m in t["messages"]]} if isinstance(t, dict) and isinstance(t.get("messages"), list) else t
+    return record | {"turns": [whole(t) for t in record["turns"]]}
+
+
+def split_records(raw: Column) -> Column:
+    """JSON texts of records with their messages rebuilt by ``split_record``; null for text that is no JSON object."""
+
+    @F.pandas_udf("string")
+    def rebuilt(lines: pd.Series) -> pd.Series:
+        def one(line: str | None) -> str | None:
+            try:
+                record = json.loads(line)
+            except (TypeError, ValueError, RecursionError):
+                return None
+            return json.dumps(split_record(record), ensure_ascii=False) if isinstance(record, dict) else None
+
+        return pd.Series([one(x) for x in lines], dtype=object)
+
+    return rebuilt(raw)

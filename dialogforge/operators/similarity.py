@@ -78,3 +78,13 @@ def summary(details: DataFrame, value: str = "similarity") -> DataFrame:
     """One row: ``n, mean, median, min, max, stdev`` of the values; all null without values, stdev null below two."""
     x = F.col(value)
     return details.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.when(F.count(x) > 1, F.stddev_samp(x)).alias("stdev"))
+
+
+def match_outcomes(test: DataFrame, master: DataFrame, id_column: str = "dialogue_id") -> DataFrame:
+    """``test`` (id, ``actual``) with the master's ``expected`` and an ``outcome``: compared, not in master or missing content.
+
+    Both have one row per id; rows of ``test`` keep their other columns, such as the place they are listed by.
+    """
+    known = master.select(id_column, "expected", F.lit(True).alias("_known"))
+    outcome = F.when(F.col("_known").isNull(), "not in master").when(F.col("expected").isNull() | F.col("actual").isNull(), "missing content").otherwise("compared")
+    return test.join(known, id_column, "left").withColumn("outcome", outcome).drop("_known")

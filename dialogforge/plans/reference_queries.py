@@ -344,6 +344,20 @@ def master_test_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.join(master, "dialogue_id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("dialogues"))
 
 
+@query("""
+WITH master AS (SELECT dialogue_id, arg_max({'c': list_filter(turns[-1].messages, lambda m: m.role = 'assistant')[-1].content}, (exported_at, record_id)) AS s FROM dialogues WHERE dialogue_id IS NOT NULL GROUP BY 1),
+test AS (SELECT dialogue_id, arg_max({'c': content}, (msg_index, msg_id)) AS t FROM messages WHERE dialogue_id IS NOT NULL AND msg_id IS NOT NULL AND CASE lower(trim(role)) WHEN 'model' THEN 'assistant' ELSE lower(trim(role)) END = 'assistant' GROUP BY 1)
+SELECT dialogue_id, CASE WHEN m.dialogue_id IS NULL THEN 'not in master' ELSE 'missing content' END AS outcome FROM test t LEFT JOIN master m USING (dialogue_id) WHERE m.dialogue_id IS NULL OR m.s.c IS NULL OR t.t.c IS NULL
+""")
+def skipped_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialogues of the flat export that can't be compared with the evaluated ones, and why."""
+    d = table(spark, sf_dir, "dialogues", _SPOKEN).select("dialogue_id", "record_id", "exported_at", turns.final_assistant(F.col("turns")).alias("expected"))
+    answers = turns.delivered_once(table(spark, sf_dir, "messages").filter(turns.role_of(F.col("role")) == "assistant"), "dialogue_id", "msg_id", "msg_index", "content")
+    test = records.last_wins(answers, "dialogue_id", ["msg_index", "msg_id"]).withColumnRenamed("content", "actual")
+    matched = similarity.match_outcomes(test, records.last_wins(d, "dialogue_id", ["exported_at", "record_id"]))
+    return matched.filter("outcome <> 'compared'").select("dialogue_id", "outcome")
+
+
 @query("SELECT doc_id AS line_index, event_id, event_type FROM documents JOIN (SELECT event_id + 1 AS doc_id, event_id, event_type FROM events) USING (doc_id)")
 def pair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as request lines, events as replies named after them."""
@@ -580,6 +594,13 @@ def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("custom_id", F.md5(F.element_at("body.messages", 1)["content"].cast("binary")).alias("content_md5"), F.col("body.max_tokens").alias("max_tokens"))
 
 
+@query()
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The received records with prose and code of their messages apart, all other fields as they came."""
+    lines = table(spark, sf_dir, "raw_records").select("file_name", "line_no", requests.split_records(F.col("raw")).alias("raw"))
+    return lines.filter("raw is not null")
+
+
 @query()
 def transformed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of evaluated dialogues rebuilt with prose and code apart, per record."""

@@ -81,9 +81,15 @@ def read_excel(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame(sheet) for name, sheet in pd.read_excel(path, sheet_name=None).items()}
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON lines in UTF-8; the folder appears as a whole."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "error", ascii: bool = False) -> None:
+    """JSON lines in UTF-8, or with escapes for what is not ASCII; the folder appears as a whole."""
+    df.write.mode(mode).option("ignoreNullFields", False).option("writeNonAsciiCharacterAsCodePoint", ascii).json(path)
+
+
+def write_same_names(df: DataFrame, path: str, file: str = "file", column: str = "raw", mode: str = "error") -> None:
+    """Lines in one folder per file they came from, named after it (``source=<name>``)."""
+    name = F.element_at(F.split(file, "/"), -1)
+    df.select(name.alias("source"), F.col(column).alias("value")).write.mode(mode).partitionBy("source").text(path)
 
 
 def write_lines(df: DataFrame, path: str, column: str = "raw", mode: str = "error") -> None:

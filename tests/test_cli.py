@@ -74,3 +74,17 @@ def test_ids_at_a_dotted_path(spark, data, tmp_path):
     cli.main(["add-id", data, "--out", out, "--json-path", "metadata.id", "--prefix", "x"], spark)
     got = [json.loads(r.value) for r in spark.read.text(out).collect() if r.value.startswith("{\"d")]
     assert [(r["metadata"]["id"], "metadata.id" in r) for r in got] == [("x_0", False), ("x_1", False), ("x_2", False)]
+
+
+def test_rewrap_extract_and_batches(spark, data, tmp_path):
+    simple = tmp_path / "simple.jsonl"
+    simple.write_text(json.dumps({"dialogue_id": "d1", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}, {"role": "user", "content": "r"}]}) + "\n")
+    cli.main(["rewrap", data, "--simple", str(simple), "--out", str(tmp_path / "re")], spark)
+    (one,) = lines(spark, str(tmp_path / "re"))
+    assert one["kept"] == [1] and [[m["content"] for m in t["messages"]] for t in one["turns"]] == [["q", "a"], ["r"]]
+    cli.main(["extract-code", str(tmp_path), "--out", str(tmp_path / "code")], spark)
+    assert {p.name for p in (tmp_path / "code").iterdir() if p.is_dir()} == {"source=in.jsonl", "source=simple.jsonl"}
+    prompts = tmp_path / "prompts.txt"
+    prompts.write_text("one\n\ntwo\n")
+    cli.main(["prep-batch", str(prompts), "--model", "m", "--header", "H", "--copies", "2", "--out", str(tmp_path / "b")], spark)
+    assert {(r["custom_id"], r["body"]["messages"][0]["content"]) for r in lines(spark, str(tmp_path / "b"))} == {("id_0", "H\none"), ("id_1", "H\none"), ("id_2", "H\ntwo"), ("id_3", "H\ntwo")}

@@ -85,3 +85,9 @@ def test_names():
 def test_excel_is_gated(spark):
     with pytest.raises(RuntimeError):
         jsonl.read_excel(spark, "x.xlsx")
+
+
+def test_ascii_lines(spark, tmp_path):
+    out = str(tmp_path / "a")
+    jsonl.write_jsonl(spark.createDataFrame([("é",)], "x string"), out, ascii=True)
+    assert [r.value.lower() for r in spark.read.text(out).collect()] == ['{"x":"\\u00e9"}']

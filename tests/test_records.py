@@ -100,3 +100,10 @@ def test_json_field_is_replaced_and_nested(spark):
     put = lambda path: [r.r for r in df.orderBy("k").select(records.with_json_field(F.col("raw"), path, F.lit("x")).alias("r")).collect()]
     assert put("id") == ['{"id": "x", "a": 2}', '{"a": {"b": 1}, "id": "x"}', "[1]", None, "bad"]
     assert put("a.b")[:2] == ['{"id": 1, "a": {"b": "x"}}', '{"a": {"b": "x"}}']
+
+
+def test_a_missing_path_stops_the_job(spark):
+    df = spark.createDataFrame([('{"a": {"b": 1}}',), ('{"a": {}}',)], "raw string")
+    assert records.require_path(df.limit(1), "raw", "a.b").count() == 1
+    with pytest.raises(Exception, match="no value at a.b"):
+        records.require_path(df, "raw", "a.b").collect()

@@ -49,3 +49,12 @@ def test_judge_pairs(spark):
     assert [tuple(r) for r in requests.answer_pairs(df).collect()] == [(1, "e")]
     many = spark.createDataFrame([(1, "g", "r", ["a", "b"])], "record_id bigint, guideline string, reference string, candidates array<string>")
     assert {(r["index"], r.candidate) for r in requests.judged_candidates(many).collect()} == {(0, "a"), (1, "b")}
+
+
+def test_records_are_split_wherever_they_keep_messages(spark):
+    rows = ['{"k": 1, "messages": [{"role": "user", "content": "see\\nimport a\\na.b()", "x": 1}, 5]}', '{"turns": [{"turn_id": 1, "messages": [{"role": "r", "content": null}]}, null]}', '{"conversation": "none", "messages": []}', "[1]", "bad", None]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, raw string")
+    got = [None if r.o is None else json.loads(r.o) for r in df.orderBy("k").select(requests.split_records(F.col("raw")).alias("o")).collect()]
+    assert got[0] == {"k": 1, "messages": [{"role": "user", "content": "see", "code_snippet": "import a\na.b()", "metadata": {"contains_code": True, "intent": ""}}, 5]}
+    assert got[1]["turns"] == [{"turn_id": 1, "messages": [{"role": "r", "content": None, "code_snippet": "", "metadata": {"contains_code": False, "intent": ""}}]}, None]
+    assert got[2:] == [{"conversation": "none", "messages": []}, None, None, None]

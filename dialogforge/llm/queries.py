@@ -92,8 +92,26 @@ leaks AS (SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g))
 """
 
 
+_OPENINGS = r"""
+o AS (SELECT arg_min({'id': msg_id, 'text': concat_ws(' ', content, code_snippet)}, (coalesce(turn_id, 2147483647), coalesce(msg_index, 2147483647), msg_id)) AS o FROM messages WHERE role IN ('user', 'User', 'human') AND dialogue_id IS NOT NULL AND msg_id IS NOT NULL GROUP BY dialogue_id),
+t AS (SELECT DISTINCT o.id AS id, list_sort(regexp_extract_all(lower(o.text), '[\p{L}\p{N}_]+')) AS w FROM o),
+u AS (SELECT id, md5(array_to_string(w, ' ')) AS fp, len(w) AS n, w FROM t WHERE len(w) > 0),
+c AS (SELECT id, x AS w, count(*) AS n FROM (SELECT id, unnest(w) AS x FROM u) GROUP BY ALL),
+s AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS overlap FROM c a JOIN c b ON a.w = b.w AND a.id <> b.id GROUP BY ALL),
+e AS (SELECT s.a AS a, s.b AS b FROM s JOIN u x ON x.id = s.a JOIN u y ON y.id = s.b WHERE s.overlap * 5 >= greatest(x.n, y.n) * 4),
+r(id, m) AS (SELECT id, id FROM u UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id),
+g AS (SELECT id, min(m) AS group_id FROM r GROUP BY id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": f"WITH RECURSIVE {_OPENINGS} SELECT a.id AS msg_id_a, b.id AS msg_id_b FROM g a JOIN g b ON a.group_id = b.group_id AND a.id < b.id",
+        "p5_groups": f"""
+WITH RECURSIVE {_OPENINGS},
+k AS (SELECT e.a AS id, count(DISTINCT y.fp) AS links FROM e JOIN u x ON x.id = e.a JOIN u y ON y.id = e.b WHERE x.fp <> y.fp GROUP BY e.a)
+SELECT g.id AS msg_id, group_id, coalesce(links, 0) AS links FROM g LEFT JOIN k ON k.id = g.id
+""",
         "p6_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM leaks",
         "p6_leaked_items": f"""
 WITH {_RUNS},

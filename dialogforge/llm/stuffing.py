@@ -33,7 +33,7 @@ from dialogforge.session import BROADCAST_ROWS, cut
 
 SHINGLE = 5
 #: Least sum of list density and stitched share of a case, and least number of hosts of a replicated phrase.
-CASE, HOSTS = 0.8, 2
+CASE, HOSTS = 0.85, 2
 #: A keyword that makes up this share of the words of its sentences is stuffed.
 KEYWORD_SHARE, KEYWORD_DISTINCT = 0.1, 0.5
 #: A page's own keywords: words that make up this share of its words, function words and numbers aside, and stand there so often.

@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,13 +84,30 @@ def layout_of(record: dict) -> dict[tuple[str, str], list]:
     return out
 
 
+_FOUND = "feed_key string, file_name string, file_seq int, dialogue_id string, paths array<string>, types array<string>, places array<array<int>>, leaves array<array<bigint>>"
+_FOUND_ARROW = {"paths": pa.list_(pa.string()), "types": pa.list_(pa.string()), "places": pa.list_(pa.list_(pa.int32())), "leaves": pa.list_(pa.list_(pa.int64()))}
+
+
 def layouts(df: DataFrame) -> DataFrame:
-    """``feed_key, file_name, file_seq, dialogue_id, paths, types, places, leaves`` of every valid line, as ``ingest`` found it.
+    """``feed_key, file_name, file_seq, dialogue_id, paths, types, places, leaves`` of every valid line, as the ingestion found it.
 
     paths: container and field; types: kind of the container, JSON type, kept or rescued; feed_key: the feed, "" for null.
     """
-    rows = ingest(df.filter("file_seq is not null and file_name is not null").select("feed", "file_name", "file_seq", "raw"), layout=True, typed=False)
-    return rows.filter("not parse_error").select(F.coalesce("feed", F.lit("")).alias("feed_key"), "file_name", "file_seq", "dialogue_id", "layout.*")
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [conform(x, {}, layout=True, typed=False) for x in batch.column("raw").to_pylist()]
+            valid = pa.array([not f[4] for f in found], pa.bool_())
+            kept = batch.select(["feed_key", "file_name", "file_seq"]).filter(valid)
+            found = [f for f in found if not f[4]]
+            made = [pa.array([f[0] for f in found], pa.string())] + [pa.array([f[5][name] for f in found], kind) for name, kind in _FOUND_ARROW.items()]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=["feed_key", "file_name", "file_seq", "dialogue_id", *_FOUND_ARROW])
+
+    lines = df.filter("file_seq is not null and file_name is not null").select(F.coalesce("feed", F.lit("")).alias("feed_key"), "file_name", F.col("file_seq").cast("int").alias("file_seq"), "raw")
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < wide:  # a small table in few files: parsing is worth a shuffle
+        lines = lines.repartition(wide)
+    return lines.mapInArrow(described, _FOUND)
 
 
 def field_inventory(found: DataFrame) -> DataFrame:
@@ -354,26 +372,21 @@ def _alias_column(aliases: dict[str, list[str]] | Column | None) -> Column:
     return aliases if isinstance(aliases, Column) else F.lit(json.dumps(aliases or {}))
 
 
-_LAYOUT = "layout struct<paths:array<string>,types:array<string>,places:array<array<int>>,leaves:array<array<bigint>>>"
-
-
-def ingest(df: DataFrame, aliases: dict[str, list[str]] | Column | None = None, layout: bool = False, typed: bool = True) -> DataFrame:
+def ingest(df: DataFrame, aliases: dict[str, list[str]] | Column | None = None) -> DataFrame:
     """Every line in one schema: the columns of ``df`` but raw, then the target columns, ``rescued`` and ``parse_error``.
 
     aliases: target path -> further approved names (for ``messages``, ``metadata.language``, ``messages[].content`` ...), or a
-    column that holds them as JSON, where they differ by file. layout: with the column ``layout`` (see ``layouts``). typed: False
-    leaves out ``metadata``, ``messages`` and ``rescued``, for those who want the layout only. Columns of ``df`` that clash with
-    a column of the result are dropped.
+    column that holds them as JSON, where they differ by file. Columns of ``df`` that clash with a column of the result are
+    dropped.
     """
-    made = [f.strip() for f in re.split(r",\s(?=[a-z_]+ )", INGESTED)] + [_LAYOUT]
-    wanted = [k for k, f in enumerate(made) if (layout or f is not _LAYOUT) and (typed or f.split()[0] not in ("metadata", "messages", "rescued"))]
-    names = [made[k].split()[0] for k in wanted]
+    names = ["dialogue_id", "metadata", "messages", "rescued", "parse_error"]
     carried = [c for c in df.columns if c not in {*names, "raw"}]
+    made = ",".join(f.strip().replace(" ", ":", 1) for f in re.split(r",\s(?=[a-z_]+ )", INGESTED))
 
-    @F.pandas_udf(f"struct<{','.join(made[k].replace(' ', ':', 1) for k in wanted)}>")
+    @F.pandas_udf(f"struct<{made}>")
     def conformed(raw: pd.Series, named: pd.Series) -> pd.DataFrame:
-        rows = [conform(x, _names(n), layout, typed) for x, n in zip(raw, named)]
-        return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for n, k in zip(names, wanted)})
+        rows = [conform(x, _names(n)) for x, n in zip(raw, named)]
+        return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
 
     return df.select(*carried, conformed("raw", _alias_column(aliases)).alias("_c")).select(*carried, "_c.*")
 

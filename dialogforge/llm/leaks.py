@@ -21,10 +21,13 @@ empty corpus or item table gives no rows; columns other than those named are ign
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +46,13 @@ TABLE_BITS, SALTS = 26, 8
 _PHI = 0x9E3779B97F4A7C15
 _BATCH_WORDS, _BATCH_CHARS = 50_000, 500_000  # windows embedded, and characters of texts read, at once
 _BUCKET = 32_768  # bits of a row of Spark's bitmaps
+#: The bytes of ASCII text with letters in lower case and blanks between words.
+_ASCII = bytes(c if chr(c).isalnum() else 32 for c in bytes(range(128)).lower()) + bytes(128)
 
 
 def words_of(text: str) -> list[str]:
+    if text.isascii():  # the same words without the regular expression
+        return text.encode().translate(_ASCII).decode().split()
     return WORD.findall(text.lower())
 
 
@@ -59,12 +66,13 @@ class Texts:
     """The words of texts as one array of numbers, the numbers' hashes, and where each text begins."""
 
     def __init__(self, texts: list[str]) -> None:
-        ids: dict[str, int] = {}
-        numbers = [[ids.setdefault(w, len(ids)) for w in words_of(t)] for t in texts]
+        ids: defaultdict[str, int] = defaultdict(count().__next__)
+        numbers = [list(map(ids.__getitem__, words_of(t))) for t in texts]
         self.begins = np.cumsum([0, *map(len, numbers)])
-        self.words = np.fromiter((n for x in numbers for n in x), dtype=np.int32, count=int(self.begins[-1]))
-        self.vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), dtype=np.uint64, count=len(ids))
+        self.words = np.fromiter(chain.from_iterable(numbers), dtype=np.int64, count=int(self.begins[-1]))
+        self.vocabulary = np.fromiter(map(xxhash.xxh64_intdigest, ids), dtype=np.uint64, count=len(ids))
         self.hashes = self.vocabulary[self.words] if len(ids) else np.zeros(0, dtype=np.uint64)
+        self._octets: dict[tuple[int, int], np.ndarray] = {}
 
     def windows(self, run: int) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first word, text) of every window of ``run`` words."""
@@ -72,18 +80,43 @@ class Texts:
         text = np.repeat(np.arange(len(sizes)), sizes)
         return np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.begins[text], text
 
+    def octet(self, number: int, eighth: int) -> np.ndarray:
+        """For each word of the vocabulary the random bits of steps ``8 * eighth`` to ``8 * eighth + 7`` of a walk, the first one lowest."""
+        if (number, eighth) not in self._octets:
+            bits = np.zeros(len(self.vocabulary), dtype=np.uint8)
+            for k in range(8):
+                salt = np.uint64((8 * eighth + k + 1 + number * 1_000) * _PHI & 0xFFFFFFFFFFFFFFFF)
+                bits |= (_mix(self.vocabulary + salt) & np.uint64(1)).astype(np.uint8) << np.uint8(k)
+            self._octets[number, eighth] = bits
+        return self._octets[number, eighth]
 
-def walk(texts: Texts, starts: np.ndarray, run: int, number: int) -> Iterator[np.ndarray]:
-    """The place of every window's walk at each step; ``starts + run`` once it has left its window. Starts are in order."""
+
+def walk(texts: Texts, starts: np.ndarray, run: int, number: int, steps: Iterable[int] | None = None) -> Iterator[np.ndarray]:
+    """The place of every window's walk at each step, or those of ``steps``; ``starts + run`` once it has left its window.
+
+    Starts and steps are in order. The steps between two wanted ones are first made from every word, side by side, so that
+    the walks are moved on once for each wanted step. What leaves a window never comes back, so its end is looked at only there.
+    """
     first = int(starts[0])
     words = np.append(texts.words[first : int(starts[-1]) + run], 0)
-    at = (starts - first).astype(np.int32)
-    limit = at + np.int32(run)
-    for step in range(PACE * run):
+    at = starts - first
+    limit = at + run
+    bits: dict[int, np.ndarray] = {}  # of the steps of one eighth, for every word
+    done = 0
+    for step in range(PACE * run) if steps is None else steps:
+        if step > done:
+            for s in range(done, step):
+                if s not in bits:
+                    octet = texts.octet(number, s // 8)[words]
+                    bits |= {k: octet >> np.uint8(k % 8) & np.uint8(1) for k in range(s, s // 8 * 8 + 8)}
+            moved = bits.pop(step - 1)
+            for s in range(step - 2, done - 1, -1):  # moved: words that the walk moves on in steps s to step - 1 from each word
+                bit = bits.pop(s)
+                moved[:-1] += bit[:-1] * (moved[1:] - moved[:-1])
+                moved += bit
+            at = np.minimum(at + moved.take(at), limit)
+            done = step
         yield at + first
-        salt = np.uint64((step + 1 + number * 1_000) * _PHI & 0xFFFFFFFFFFFFFFFF)
-        bits = (_mix(texts.vocabulary + salt) & np.uint64(1)).astype(np.int8)[words]
-        at = np.minimum(at + bits[at], limit)
 
 
 def lsh_keys(texts: Texts, starts: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -93,17 +126,16 @@ def lsh_keys(texts: Texts, starts: np.ndarray, run: int = RUN) -> np.ndarray:
         return keys.T
     limit, hashes = starts + run, np.append(texts.hashes, np.uint64(0))
     for number in range(WALKS):
-        sampled = [np.random.default_rng((60_001, run, number, k)).choice(PACE * run, min(SAMPLED, PACE * run), replace=False) for k in range(KEYS)]
-        last = max(int(s.max()) for s in sampled)
-        for step, at in enumerate(walk(texts, starts, run, number)):
-            wanted = [k for k in range(KEYS) if step in sampled[k]]
-            if wanted:
-                said = hashes[at]
-                said[at >= limit] = 0
-                for k in wanted:
-                    keys[number * KEYS + k] += said * np.uint64((step * 2 + 1) * _PHI & 0xFFFFFFFFFFFFFFFF | 1)
-            if step == last:
-                break
+        sampled = [np.random.default_rng((60_001, run, number, k)).choice(PACE * run, min(SAMPLED, PACE * run), replace=False).tolist() for k in range(KEYS)]
+        wanted = sorted(set().union(*sampled))
+        for step, at in zip(wanted, walk(texts, starts, run, number, wanted)):
+            said = hashes.take(at)
+            if step >= run:  # before that no walk has left its window
+                np.putmask(said, at >= limit, 0)
+            said *= np.uint64((step * 2 + 1) * _PHI & 0xFFFFFFFFFFFFFFFF | 1)
+            for k in range(KEYS):
+                if step in sampled[k]:
+                    keys[number * KEYS + k] += said
     return _mix(keys.T + np.arange(1, WALKS * KEYS + 1, dtype=np.uint64) * np.uint64(_PHI))
 
 
@@ -126,41 +158,46 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 def _around(words: list[bytes], lead: np.ndarray, pad: int, run: int, fill: int) -> np.ndarray:
     """Windows with ``pad`` words on both sides as rows; ``fill`` stands where a text has no words."""
     out = np.full((len(words), run + 2 * pad), fill, dtype=np.uint64)
-    for row, held, before in zip(out, words, lead.tolist()):
-        held = np.frombuffer(held, dtype=np.uint64)
-        row[pad - before : pad - before + len(held)] = held
+    begin = (pad - lead)[:, None]
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))[:, None] // 8
+    column = np.arange(out.shape[1])
+    out[(column >= begin) & (column < begin + size)] = np.frombuffer(b"".join(words), dtype=np.uint64)
     return out
 
 
 def passage_distance(a: np.ndarray, b: np.ndarray, run: int, shift: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """(least edit distance of the passages at most ``shift`` words around two windows that met, whether the windows are equal)."""
     pad = shift + edits
+    equal = (a[:, pad : pad + run] == b[:, pad : pad + run]).all(axis=1)
+    least = np.zeros(len(a), dtype=np.int8)
+    a, b = a[~equal], b[~equal]
     region = a[:, edits : a.shape[1] - edits]  # the words of the windows that may be meant
     # All but ``edits`` words of a passage stand in the document within the band.
     found = np.zeros(region.shape, dtype=bool)
     for d in range(2 * edits + 1):
         found |= region == b[:, d : d + region.shape[1]]
     held = np.cumsum(np.pad(found, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
-    equal = (a[:, pad : pad + run] == b[:, pad : pad + run]).all(axis=1)
-    best = np.where(equal, 0, edits + 1).astype(np.int8)
+    best = np.full(len(a), edits + 1, dtype=np.int8)
     for t in sorted(range(-shift, shift + 1), key=abs):
         whole = (a[:, pad + t] != 0) & (a[:, pad + t + run - 1] != 0)  # the window lies within the item
         rows = np.flatnonzero(whole & (held[:, shift + t + run] - held[:, shift + t] >= run - edits) & (best > 0))
         if len(rows):
             best[rows] = np.minimum(best[rows], edit_distance(a[rows, pad + t : pad + t + run], b[rows, pad + t - edits : pad + t + run + edits], edits))
-    return best, equal
+    least[~equal] = best
+    return least, equal
 
 
-def _described(batches: Iterator[pd.DataFrame], run: int, pad: int, table: np.ndarray | None) -> Iterator[pd.DataFrame]:
+def _described(batches: Iterator[pa.RecordBatch], run: int, pad: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """``id, place, keys, lead, words`` of the windows of ``id, text``; with a bit table, those with a key in it and only these keys.
 
     words: the window and at most ``pad`` words on both sides; lead: the number of words before it.
     """
     for batch in batches:
-        part = (batch.text.str.len().cumsum() // _BATCH_CHARS).to_numpy()
+        all_ids, all_texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+        part = np.cumsum([len(t) for t in all_texts]) // _BATCH_CHARS
         for p in np.unique(part):
-            rows = batch[part == p]
-            texts, ids = Texts(rows.text.tolist()), rows.id.to_numpy()
+            begin, end = np.searchsorted(part, [p, p + 1])
+            texts, ids = Texts(all_texts[begin:end]), all_ids[begin:end]
             all_starts, all_owners = texts.windows(run)
             for begin in range(0, len(all_starts), _BATCH_WORDS):
                 starts, owners = all_starts[begin : begin + _BATCH_WORDS], all_owners[begin : begin + _BATCH_WORDS]
@@ -168,21 +205,21 @@ def _described(batches: Iterator[pd.DataFrame], run: int, pad: int, table: np.nd
                 hit = np.ones(keys.shape, dtype=bool)
                 if table is not None:
                     bit = keys >> np.uint64(65 - (8 * len(table)).bit_length())
-                    hit = (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    hit = (table.take((bit >> np.uint64(3)).view(np.int64)) >> (bit & np.uint64(7)).astype(np.uint8) & 1).view(bool)
                 kept = np.flatnonzero(hit.any(axis=1))
                 if not len(kept):
                     continue
                 begins = np.maximum(starts[kept] - pad, texts.begins[owners[kept]])
                 ends = np.minimum(starts[kept] + run + pad, texts.begins[owners[kept] + 1])
-                yield pd.DataFrame(
-                    {
-                        "id": ids[owners[kept]],
-                        "place": starts[kept] - texts.begins[owners[kept]],
-                        "keys": [keys[k][hit[k]].astype(np.int64) for k in kept],
-                        "lead": starts[kept] - begins,
-                        "words": [texts.hashes[a:b].tobytes() for a, b in zip(begins, ends)],
-                    }
-                )
+                held, hits = keys[kept].view(np.int64), hit[kept]
+                columns = [
+                    pa.array(ids[owners[kept]]),
+                    pa.array(starts[kept] - texts.begins[owners[kept]]),
+                    pa.ListArray.from_arrays(np.cumsum([0, *hits.sum(axis=1)], dtype=np.int32), held[hits]),
+                    pa.array((starts[kept] - begins).astype(np.int32)),
+                    pa.array([texts.hashes[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "place", "keys", "lead", "words"])
 
 
 _WINDOWS = "id bigint, place bigint, keys array<bigint>, lead int, words binary"
@@ -207,10 +244,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, edits: in
     """
     pad = SHIFT + edits
     known = items.filter("item_id is not null and text is not null").select(F.col("item_id").alias("id"), "text").distinct()
-    windows = cut(known.mapInPandas(lambda batches: _described(batches, run, pad, None), _WINDOWS), "items")
+    windows = cut(known.mapInArrow(lambda batches: _described(batches, run, pad, None), _WINDOWS), "items")
     table = documents.sparkSession.sparkContext.broadcast(_key_table(windows, table_bits))
     texts = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
-    hits = cut(texts.mapInPandas(lambda batches: _described(batches, run, pad, table.value), _WINDOWS), "hits")
+    hits = cut(texts.mapInArrow(lambda batches: _described(batches, run, pad, table.value), _WINDOWS), "hits")
     ours = hits.select(F.col("id").alias("doc_id"), "place", F.explode("keys").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     theirs = windows.select(F.col("id").alias("item_id"), F.col("place").alias("at"), F.explode(F.array_distinct("keys")).alias("key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = ours.join(theirs, ["key", "salt"]).select("doc_id", "place", "item_id", "at").distinct()

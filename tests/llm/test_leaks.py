@@ -111,3 +111,35 @@ def test_embedding_keeps_small_edits_near():
     outputs = lambda at, number: np.stack([np.where(p < at + 60, np.append(texts.words, -1)[p], -2) for p in leaks.walk(texts, np.array([at]), 60, number)])
     distance = lambda at: np.mean([(outputs(0, n) != outputs(at, n)).mean() for n in range(8)])
     assert distance(0) == 0 and distance(60) < 0.8 * distance(120)
+
+
+def test_walks_move_on_only_at_wanted_steps():
+    rng = random.Random(5)
+    texts = leaks.Texts([" ".join(f"w{rng.randrange(30)}" for _ in range(n)) for n in (90, 5, 20, 33)])
+    starts, _ = texts.windows(leaks.RUN)
+    for number in range(leaks.WALKS):
+        places = starts.tolist()
+        brute = []
+        for step in range(leaks.PACE * leaks.RUN):
+            brute.append(list(places))
+            salt = np.uint64((step + 1 + number * 1_000) * leaks._PHI & 0xFFFFFFFFFFFFFFFF)
+            bits = (leaks._mix(texts.vocabulary + salt) & np.uint64(1)).tolist()
+            places = [p if p == s + leaks.RUN else p + bits[texts.words[p]] for p, s in zip(places, starts.tolist())]
+        for steps in (range(40), [0, 1, 9, 26, 27, 39], [7, 8, 16], [31]):
+            assert [at.tolist() for at in leaks.walk(texts, starts, leaks.RUN, number, steps)] == [brute[s] for s in steps]
+
+
+def test_random_bits_of_words_are_made_once(monkeypatch):
+    texts = leaks.Texts([" ".join(f"w{k % 37}" for k in range(400))])
+    starts, _ = texts.windows(leaks.RUN)
+    mixed, mix = [], leaks._mix
+    monkeypatch.setattr(leaks, "_mix", lambda x: mixed.append(x.shape) or mix(x))
+    whole = leaks.lsh_keys(texts, starts)
+    mixed.clear()
+    parts = [leaks.lsh_keys(texts, starts[k : k + 100]) for k in range(0, len(starts), 100)]
+    assert (np.concatenate(parts) == whole).all() and (37,) not in mixed
+
+
+def test_words_of_plain_and_other_texts():
+    texts = ["Ab_c  D9\x1c\x00e-f\n_G__h'i", "".join(map(chr, range(128))), "Ünd_ſo ²³ İx\x85y\xa0ßZ"]
+    assert [leaks.words_of(t) for t in texts] == [leaks.WORD.findall(t.lower()) for t in texts]

@@ -59,6 +59,11 @@ _FUNCTION = frozenset(
 )
 #: Kinds of tokens.
 _MARK, _PLAIN, _SMALL, _NUMBER, _LINKED = range(5)
+#: Printable ASCII with tabs, and the bytes of such lines with words and ends of parts only, or with words in lower case and marks only.
+_PRINTABLE = bytes((*range(32, 127), 9))
+_WORDS = bytes(c if chr(c).isalnum() or c == 95 else 32 for c in range(128)) + bytes(128)
+_PARTED = bytes(44 if chr(c) in "|,;/>#\t" else _WORDS[c] for c in range(256))
+_MARKED = bytes(44 if chr(c) in '.!?:;,|#/>()[]"\t' else _WORDS[c] for c in range(256)).lower()
 _PHI = 0x9E3779B97F4A7C15
 _BATCH_CHARS = 1_000_000  # characters of pages handled at once
 
@@ -69,37 +74,78 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _is_list(line: str, rest: str, words: int, links: int, small: int) -> bool:
-    """Whether a line is one of links, short entries or words that are no sentence. small: its function words."""
+class _Tokens(dict):
+    """Numbers of the tokens of a batch of pages; what is known of a token is found out once. All marks are one token."""
+
+    def __init__(self) -> None:
+        super().__init__({"\n": 0, ",": 1})
+        self.kinds = bytearray((_MARK, _MARK))
+
+    def __missing__(self, token: str) -> int:
+        self.kinds.append(_LINKED if token[0] == "@" else _SMALL if token in _FUNCTION else _NUMBER if token.isdecimal() else _PLAIN)
+        self[token] = len(self)
+        return len(self) - 1
+
+    def number(self, tokens: list[str]) -> list[int]:
+        return list(map(self.__getitem__, tokens))
+
+    def small(self, numbers: list[int]) -> int:
+        return bytes(map(self.kinds.__getitem__, numbers)).count(_SMALL)
+
+
+# Lines of printable ASCII are parted by tables of bytes, others by the regular expressions, with the same words.
+
+
+def _plain(line: str) -> bytes | None:
+    """The bytes of a line of printable ASCII with the ends of clauses and parts that are no single sign as commas."""
+    if not line.isascii() or (plain := line.encode()).translate(None, _PRINTABLE):
+        return None
+    return plain.replace(b" - ", b" , ").replace(b" -\t", b" , ").replace(b"  ", b" , ")
+
+
+def _tokens(line: str) -> list[str]:
+    """The words of a line in lower case, and a comma or more where a clause or an entry ends."""
+    plain = _plain(line)
+    if plain is None:
+        return [t if t[0].isalnum() else "," for t in _TOKEN.findall(line.lower())]
+    plain = plain.translate(_MARKED).replace(b",", b" , ")
+    if b"_" in plain:  # it joins words only if it stands alone between them
+        plain = b" %b " % plain.replace(b"__", b"  ")
+        plain = plain.replace(b" _", b" ").replace(b"_ ", b" ")
+    return plain.decode().split()
+
+
+def _parts(line: str) -> list[str]:
+    plain = _plain(line)
+    return _PARTS.split(line) if plain is None else plain.translate(_PARTED).decode().split(",")
+
+
+def _word_count(text: str) -> int:
+    if not text.isascii():
+        return len(_WORD.findall(text))
+    words = text.encode().translate(_WORDS).replace(b"__", b"  ").split()
+    return len(words) - words.count(b"_")
+
+
+def _is_list(line: str, rest: str, words: int, links: int, numbers: list[int], known: _Tokens) -> bool:
+    """Whether a line is one of links, short entries or words that are no sentence. numbers: its tokens."""
     if links and words <= 2 + 2 * links:
         return True
     stripped = rest.strip()
     if stripped[:1] == "|" and stripped[-1:] == "|" or stripped.startswith(("# ", "## ")):
         return False
-    if _SENTENCE_END.search(stripped) is None and _ITEM.match(line) is None and (words <= 4 or words >= 6 and small <= 0.08 * words):
+    if _SENTENCE_END.search(stripped) is None and _ITEM.match(line) is None and (words <= 4 or words >= 6 and known.small(numbers) <= 0.08 * words):
         return True
-    if len(_PARTS.findall(rest)) < 3:
+    parts = _parts(rest)
+    if len(parts) < 4:
         return False
-    parts = [p for p in (len(_WORD.findall(x)) for x in _PARTS.split(rest)) if p]
-    return len(parts) >= 4 and sum(p <= 3 for p in parts) >= 0.8 * len(parts)
-
-
-class _Tokens:
-    """Tokens of a batch of pages as numbers; what is known of a token is found out once."""
-
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {"\n": 0}
-        self.kinds: list[int] = [_MARK]
-
-    def number(self, tokens: list[str]) -> list[int]:
-        ids, kinds, out = self.ids, self.kinds, []
-        for t in tokens:
-            k = ids.get(t)
-            if k is None:
-                k = ids[t] = len(ids)
-                kinds.append(_LINKED if t[0] == "@" else _MARK if not t[0].isalnum() else _SMALL if t in _FUNCTION else _NUMBER if t.isdecimal() else _PLAIN)
-            out.append(k)
-        return out
+    short = long = 0
+    for size in map(_word_count, parts):
+        short += 0 < size <= 3
+        long += size > 3
+        if long > 0.2 * len(parts) + 0.001:  # too many, whatever follows
+            return False
+    return short + long >= 4 and short >= 0.8 * (short + long)
 
 
 def evidence(texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -112,16 +158,16 @@ def evidence(texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
         fenced = "```" in text
         plain = _FENCE.sub("\n", text) if fenced else text
         if fenced:
-            totals[page] = len(_WORD.findall(text))
+            totals[page] = _word_count(text)
         for line in plain.split("\n"):
             found, rest, linked = [], line, 0
-            if _LINK_SIGN.search(line):
+            # Every sign of a link holds one of these.
+            if ("/" in line or "](" in line or "www." in line.lower()) and _LINK_SIGN.search(line):
                 found = _LINK.findall(line)
                 rest = _LINK.sub(" ", line)
-                linked = sum(len(_WORD.findall(x)) for x in found)
-            numbers = known.number(_TOKEN.findall(rest.lower()))
-            kinds = [known.kinds[k] for k in numbers]
-            words = len(numbers) - kinds.count(_MARK)
+                linked = sum(map(_word_count, found))
+            numbers = known.number(_tokens(rest))
+            words = len(numbers) - numbers.count(1)
             if not (words or linked):
                 continue
             if not fenced:
@@ -132,18 +178,18 @@ def evidence(texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
             flat += numbers
             flat.append(0)
             pages.append(page)
-            listed.append(_is_list(line, rest, words, len(found), kinds.count(_SMALL)))
+            listed.append(_is_list(line, rest, words, len(found), numbers, known))
             weights.append(linked / len(found) if found else 0.0)
     token = np.array(flat, dtype=np.int64)
     if not len(token):
         return [(0.0, np.zeros(0, dtype=np.int64), np.zeros(0))] * len(texts)
-    kind = np.array(known.kinds, dtype=np.int8)[token]
+    kind = np.frombuffer(known.kinds, dtype=np.int8)[token]
     line = np.cumsum(token == 0) - (token == 0)
     page, in_list = np.array(pages)[line], np.array(listed)[line]
     size = np.where(kind == _LINKED, np.array(weights)[line], kind != _MARK)  # words of a token
     in_list = in_list | _stuffed(token, kind, page, in_list, len(texts))[page]
     density = np.bincount(page, size * in_list, len(texts)) / np.maximum(totals, 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in known.ids), dtype=np.uint64, count=len(known.ids))[token]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))[token]
     hashes[kind == _NUMBER] = 1
     hashes[_own(token, kind, page)] = 2
     at, phrase, share = _phrases(hashes, kind, size)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from dialogforge.llm import stuffing
@@ -59,3 +61,28 @@ def test_pages(spark):
     got = {r.doc_id: r for r in stuffing.find_stuffed(df).collect()}
     assert set(got) == {1, 2, 6} and abs(got[1].stitched - 1) < 1e-9 and got[6].stitched == 0.0
     assert stuffing.find_stuffed(df.limit(0)).count() == 0
+
+
+def random_lines(rng, count):
+    pieces = ["cheap", "The", "a_b", "_x", "__init__", "x__y", "_", "-", " - ", "  ", "\t-\t", " -\t", "\t- ", " ", ", ", "|", "# ", "42 ", "é", "İ", "ſo", "·", "•", ";", "/", ">", "...", ": ", "\r", "\x0b", "\x1c", "\x00", "\x7f", "\x85", "\xa0", "(x)", "[1] ", "- ", "'", '"', "²"]
+    for _ in range(count):
+        few = rng.sample(pieces, rng.choice([5, 12, len(pieces)]))
+        yield rng.choice(["", " ", ", "]).join(rng.choice(few) for _ in range(rng.choice([0, 3, 10, 40])))
+
+
+def test_tables_of_bytes_part_lines_like_the_regular_expressions():
+    clauses = lambda tokens: [c.split() for c in " ".join(t if t[0].isalnum() else "," for t in tokens).split(",") if c.split()]
+    sizes = lambda parts, count: [n for n in map(count, parts) if n]
+    for line in random_lines(random.Random(8), 5_000):
+        tokens = stuffing._tokens(line)
+        assert clauses(tokens) == clauses(stuffing._TOKEN.findall(line.lower())), line
+        assert sizes(stuffing._parts(line), stuffing._word_count) == sizes(stuffing._PARTS.split(line), lambda x: len(stuffing._WORD.findall(x))), line
+        assert stuffing._word_count(line) == len(stuffing._WORD.findall(line)), line
+
+
+def test_plain_lines_need_no_regular_expression(monkeypatch):
+    whole = [stuffing.evidence([text]) for text in (PROSE, TAGS, STUFFED, PRODUCTS, "a_b __c__\n\n```x\n1```" + PROSE)]
+    for name in ("_TOKEN", "_PARTS", "_WORD"):
+        monkeypatch.setattr(stuffing, name, None)
+    again = [stuffing.evidence([text]) for text in (PROSE, TAGS, STUFFED, PRODUCTS, "a_b __c__\n\n```x\n1```" + PROSE)]
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for (a,), (b,) in zip(whole, again))

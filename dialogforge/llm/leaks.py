@@ -8,8 +8,10 @@ Hamming distance. Hashes of sampled places of the outputs are the LSH keys. Wind
 recall of unedited passages is 1; the number of keys (``KEYS``) and of sampled places (``SAMPLED``) is chosen for a recall
 of at least 0.9 at three edits in 20 words (measured: 1 edit 1.00, 2 edits 0.99, 3 edits 0.97; the tests ask for 0.9).
 Where two windows meet, the passages around them are verified by their edit distance, in a band of ``edits`` on each side.
+A bound that loses none of these comes first: edits leave a passage in at most ``edits + 1`` pieces, so the longest one has
+``seed_length`` words that stand in both texts side by side. Windows of the corpus with no such seed around them are not embedded.
 
-Scale: the corpus is read once, whatever the number of items. The keys of all items make a bit table of a fixed size
+Scale: the corpus is read once, whatever the number of items. The keys and seeds of all items make a bit table of a fixed size
 (``TABLE_BITS``), the only thing that is broadcast; windows whose keys hit it are the only ones that leave the scan. They meet
 the items' windows by a join on the key, salted by the document, and the verification runs on the joined rows. With so many
 items that the table fills up, more windows are joined, and none is lost.
@@ -139,6 +141,30 @@ def lsh_keys(texts: Texts, starts: np.ndarray, run: int = RUN) -> np.ndarray:
     return _mix(keys.T + np.arange(1, WALKS * KEYS + 1, dtype=np.uint64) * np.uint64(_PHI))
 
 
+def seed_length(run: int, edits: int) -> int:
+    """Words of the longest piece that a passage keeps unedited, at least; 0, which every text has, if all words may be edited."""
+    return max(0, -(-(run - edits) // (edits + 1)))
+
+
+def seeds(texts: Texts, length: int) -> np.ndarray:
+    """Hashes of the ``length`` words from every place on; some of them run from one text into the next."""
+    out = np.zeros(max(len(texts.words) - length + 1, 0), dtype=np.uint64)
+    for k in range(length):
+        out = out * np.uint64(_PHI) + texts.hashes[k : k + len(out)]
+    return _mix(out)
+
+
+def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys >> np.uint64(65 - (8 * len(table)).bit_length())
+    return (table.take((bit >> np.uint64(3)).view(np.int64)) >> (bit & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+
+
+def _near(texts: Texts, starts: np.ndarray, run: int, pad: int, length: int, table: np.ndarray) -> np.ndarray:
+    """Which windows have a seed of the table in themselves and the ``pad`` words on both sides."""
+    held = np.append(0, np.cumsum(_marked(table, seeds(texts, length))))
+    return held[np.minimum(starts + run + pad - length + 1, len(held) - 1)] > held[np.maximum(starts - pad, 0)]
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Least edit distance of each row of ``a`` (windows) to a part of the same row of ``b``, ``most + 1`` if it is more.
 
@@ -187,25 +213,31 @@ def passage_distance(a: np.ndarray, b: np.ndarray, run: int, shift: int, edits:
     return least, equal
 
 
-def _described(batches: Iterator[pa.RecordBatch], run: int, pad: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _parts(texts: list[str]) -> Iterator[slice]:
+    """Slices of texts of about ``_BATCH_CHARS`` characters."""
+    part = np.cumsum([len(t) for t in texts]) // _BATCH_CHARS
+    for p in np.unique(part):
+        yield slice(*np.searchsorted(part, [p, p + 1]).tolist())
+
+
+def _described(batches: Iterator[pa.RecordBatch], run: int, edits: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """``id, place, keys, lead, words`` of the windows of ``id, text``; with a bit table, those with a key in it and only these keys.
 
-    words: the window and at most ``pad`` words on both sides; lead: the number of words before it.
+    words: the window and at most ``SHIFT + edits`` words on both sides; lead: the number of words before it.
     """
+    pad = SHIFT + edits
     for batch in batches:
         all_ids, all_texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
-        part = np.cumsum([len(t) for t in all_texts]) // _BATCH_CHARS
-        for p in np.unique(part):
-            begin, end = np.searchsorted(part, [p, p + 1])
-            texts, ids = Texts(all_texts[begin:end]), all_ids[begin:end]
+        for part in _parts(all_texts):
+            texts, ids = Texts(all_texts[part]), all_ids[part]
             all_starts, all_owners = texts.windows(run)
+            if table is not None:
+                near = _near(texts, all_starts, run, pad, seed_length(run, edits), table)
+                all_starts, all_owners = all_starts[near], all_owners[near]
             for begin in range(0, len(all_starts), _BATCH_WORDS):
                 starts, owners = all_starts[begin : begin + _BATCH_WORDS], all_owners[begin : begin + _BATCH_WORDS]
                 keys = lsh_keys(texts, starts, run)
-                hit = np.ones(keys.shape, dtype=bool)
-                if table is not None:
-                    bit = keys >> np.uint64(65 - (8 * len(table)).bit_length())
-                    hit = (table.take((bit >> np.uint64(3)).view(np.int64)) >> (bit & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+                hit = np.ones(keys.shape, dtype=bool) if table is None else _marked(table, keys)
                 kept = np.flatnonzero(hit.any(axis=1))
                 if not len(kept):
                     continue
@@ -222,12 +254,20 @@ def _described(batches: Iterator[pa.RecordBatch], run: int, pad: int, table: np.
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "place", "keys", "lead", "words"])
 
 
+def _seeded(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """``key``: the seeds of ``text``."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for part in _parts(texts):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(seeds(Texts(texts[part]), length)).view(np.int64))], names=["key"])
+
+
 _WINDOWS = "id bigint, place bigint, keys array<bigint>, lead int, words binary"
 
 
-def _key_table(windows: DataFrame, bits: int) -> np.ndarray:
+def _key_table(keys: DataFrame, bits: int) -> np.ndarray:
     """A table of the leading ``bits`` bits of all keys, built by Spark; its size does not depend on the number of keys."""
-    bit = windows.select(F.explode("keys").alias("key")).select((F.shiftrightunsigned("key", 64 - bits) + 1).alias("bit"))  # Spark's bitmaps count from 1
+    bit = keys.select((F.shiftrightunsigned("key", 64 - bits) + 1).alias("bit"))  # Spark's bitmaps count from 1
     rows = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     table = np.zeros(1 << bits >> 3, dtype=np.uint8)
     for r in rows.collect():  # at most 2 ** bits / _BUCKET rows of 4 KB
@@ -244,10 +284,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, edits: in
     """
     pad = SHIFT + edits
     known = items.filter("item_id is not null and text is not null").select(F.col("item_id").alias("id"), "text").distinct()
-    windows = cut(known.mapInArrow(lambda batches: _described(batches, run, pad, None), _WINDOWS), "items")
-    table = documents.sparkSession.sparkContext.broadcast(_key_table(windows, table_bits))
+    windows = cut(known.mapInArrow(lambda batches: _described(batches, run, edits, None), _WINDOWS), "items")
+    pieces = known.select("text").mapInArrow(lambda batches: _seeded(batches, seed_length(run, edits)), "key bigint")
+    keys = windows.select(F.explode("keys").alias("key")).union(pieces)
+    table = documents.sparkSession.sparkContext.broadcast(_key_table(keys, table_bits))
     texts = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
-    hits = cut(texts.mapInArrow(lambda batches: _described(batches, run, pad, table.value), _WINDOWS), "hits")
+    hits = cut(texts.mapInArrow(lambda batches: _described(batches, run, edits, table.value), _WINDOWS), "hits")
     ours = hits.select(F.col("id").alias("doc_id"), "place", F.explode("keys").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     theirs = windows.select(F.col("id").alias("item_id"), F.col("place").alias("at"), F.explode(F.array_distinct("keys")).alias("key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = ours.join(theirs, ["key", "salt"]).select("doc_id", "place", "item_id", "at").distinct()

@@ -245,8 +245,8 @@ def _described(batches: Iterator[pa.RecordBatch], run: int, edits: int, table: n
                 ends = np.minimum(starts[kept] + run + pad, texts.begins[owners[kept] + 1])
                 held, hits = keys[kept].view(np.int64), hit[kept]
                 columns = [
-                    pa.array(ids[owners[kept]]),
-                    pa.array(starts[kept] - texts.begins[owners[kept]]),
+                    pa.array(ids[owners[kept]], pa.int64()),
+                    pa.array(starts[kept] - texts.begins[owners[kept]], pa.int64()),
                     pa.ListArray.from_arrays(np.cumsum([0, *hits.sum(axis=1)], dtype=np.int32), held[hits]),
                     pa.array((starts[kept] - begins).astype(np.int32)),
                     pa.array([texts.hashes[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())], pa.binary()),

@@ -183,3 +183,10 @@ def test_only_windows_near_a_seed_are_embedded(monkeypatch):
     rows = [r for b in leaks._described(iter([batch]), leaks.RUN, leaks.EDITS, table) for r in b.to_pylist()]
     assert {(2, 1_000 + k) for k in range(21)} <= {(r["id"], r["place"]) for r in rows}
     assert 21 <= len(embedded) < 200  # of 4,002 windows
+
+
+def test_narrow_ids(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    d, i = tables(spark, [(1, text)], [(7, text, "s")])
+    found = leaks.find_leaks(d.withColumn("doc_id", d.doc_id.cast("int")), i.withColumn("item_id", i.item_id.cast("smallint"))).collect()
+    assert [(r.doc_id, r.item_id, r.distance, r.shared_runs) for r in found] == [(1, 7, 0, 11)]
